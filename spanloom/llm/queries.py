@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
+from .simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_simhash": op5_simhash,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
