@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
+from .html_main_text import op1_html_main_text
 from .sharding import op2_sharding
 from .simhash import op5_simhash
 from .substring_dedup import op4_substring_dedup
@@ -14,6 +15,7 @@ from .substring_dedup import op4_substring_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_main_text": op1_html_main_text,
         "op2_sharding": op2_sharding,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
