@@ -11,12 +11,14 @@ from .html_main_text import op1_html_main_text
 from .sharding import op2_sharding
 from .simhash import op5_simhash
 from .substring_dedup import op4_substring_dedup
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_main_text": op1_html_main_text,
         "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
         "op10_byte_bpe": op10_byte_bpe,
