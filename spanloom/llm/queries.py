@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
+from .decontamination import op7_decontamination
 from .html_main_text import op1_html_main_text
 from .sharding import op2_sharding
 from .simhash import op5_simhash
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op7_decontamination": op7_decontamination,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
