@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -179,19 +180,23 @@ class ByteBPE:
             self.unit_memo.put(unit, found)
         return found
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
+    def round_trip(self, text: str) -> tuple[int, str, bytes]:
+        """Number of ids, the decimal ids joined by spaces, the decoded bytes."""
         if not self.unit_safe:
             ids = self.encode(text)
-            return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+            return len(ids), " ".join(map(str, ids)), self.decode(ids)
         get, unit = self.unit_memo.get, self._unit
         young = self.unit_memo.young.get
         found = [young(u) or get(u) or unit(u) for u in self.units(text)]
         if not found:
-            empty = hashlib.sha256().hexdigest()
-            return 0, empty, empty
+            return 0, "", b""
         sizes, ids, data = zip(*found)
-        return sum(sizes), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
+        return sum(sizes), " ".join(ids), b"".join(data)
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
+        n, ids, data = self.round_trip(text)
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
 # The characters with the Unicode property White_Space, as ranges.
@@ -260,6 +265,30 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenize_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of every row of ``docs``."""
+    common.arrow_rows(docs.sparkSession)
+    names = ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path, pattern)
+        for batch in batches:
+            done, ids = [], []
+            for text in batch.column(3).to_pylist():
+                n, decimal, data = bpe.round_trip(text)
+                done.append((n, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
+                ids.append(np.array(decimal.split(), np.int32))
+            ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            offsets = np.cumsum([0] + [d[0] for d in done]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([d[0] for d in done], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())],
+                names,
+            )
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
