@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
 from .decontamination import op7_decontamination
+from .hnsw import op8_hnsw
 from .html_main_text import op1_html_main_text
+from .lm_scoring import op9_lm_scoring
 from .sharding import op2_sharding
 from .simhash import op5_simhash
 from .substring_dedup import op4_substring_dedup
@@ -23,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
         "op7_decontamination": op7_decontamination,
+        "op8_hnsw": op8_hnsw,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
