@@ -15,6 +15,7 @@ from .sharding import op2_sharding
 from .simhash import op5_simhash
 from .substring_dedup import op4_substring_dedup
 from .toxicity import op3_toxicity
+from .warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op6_warc": op6_warc,
         "op7_decontamination": op7_decontamination,
         "op8_hnsw": op8_hnsw,
         "op9_lm_scoring": op9_lm_scoring,
