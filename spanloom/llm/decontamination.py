@@ -195,7 +195,10 @@ class Items:
             part = term_ids(words[low : low + piece + SCALES[-1]])
             padded = np.full(-(-len(part) // step) * step, len(self.weighted) - 1)
             padded[: len(part)] = part
-            sums = np.add.reduceat(self.weighted[padded], np.arange(0, len(padded), step), axis=0)
+            padded = padded.reshape(-1, step)
+            sums = self.weighted[padded[:, 0]]
+            for i in range(1, step):
+                sums += self.weighted[padded[:, i]]
             width = step
             for scale, (held, vectors) in self.groups.items():
                 # block sums of half a window; two of them are a window
