@@ -220,6 +220,19 @@ def near_links(nodes: DataFrame, bound: int) -> DataFrame:
     return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
+def _components(nodes: DataFrame, tables: list[str], bound: int) -> DataFrame:
+    """(node, component) of nodes with one fingerprint per table: a link in any table is a link."""
+    links = None
+    for fp in tables:
+        firsts = common.materialize(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("node")), "nodes")
+        found = near_links(firsts, bound)
+        if len(tables) > 1:  # several nodes may have the fingerprint: each is linked to the first
+            star = nodes.join(firsts.select(F.col("fp").alias(fp), F.col("node").alias("b")), fp).where("node <> b").select(F.col("node").alias("a"), "b")
+            found = found.unionByName(star)
+        links = found if links is None else links.unionByName(found)
+    return connected_components(links)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFrame:
     """Return (doc_id, fingerprint, component_id), one row per row of ``docs``.
 
@@ -231,11 +244,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFram
     columns besides doc_id and text are ignored.
     """
     prints = common.materialize(fingerprints(docs, words), "fingerprints")
-    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     # fingerprints held by rows without a doc_id only still carry links: they get a node above all doc_ids
     nameless = F.lit(1 << 62) + (F.xxhash64("fp").bitwiseAND(F.lit((1 << 61) - 1)))
-    named = nodes.select("fp", F.coalesce("node", nameless).alias("node"))
-    components = connected_components(near_links(named, bound))
+    named = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", nameless).alias("node")), "nodes")
+    components = _components(named, ["fp"], bound)
     final = named.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(final, "fp").select(
         "doc_id",
@@ -244,13 +256,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFram
     )
 
 
-def keep_one(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFrame:
+#: Tables of `keep_one`: seeds of the word hashes.
+SEEDS = (42, 43, 44, 45)
+
+
+def word_set_fingerprints(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """(doc_id, text_key, f0, f1, ...): per seed the fingerprint of the text's set of words."""
+    common.arrow_rows(docs.sparkSession)
+    digest = xxhash.xxh64_intdigest
+
+    def one(words: list[bytes], seed: int) -> int:
+        h = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        return int.from_bytes(np.packbits(bits.sum(axis=0) * 2 > len(h)).tobytes(), "big")
+
+    names = ["doc_id", *[f"f{i}" for i in range(len(seeds))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, len(seeds)), np.uint64)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = list(set(text.lower().split()))
+                if words:
+                    found[i] = [one(words, s) for s in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T]], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names[1:]]]))
+
+
+def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows without a doc_id stay; of rows with the same doc_id that stay, all do.
+    Near-duplicates are texts that share about 0.8 of their five-word shingles or
+    more.  Fingerprints of shingles differ too much at that similarity to be found
+    within three bits (six in a hundred such pairs are); fingerprints of the sets of words differ less, and
+    several tables, each with its own hashes, make up for the chance in one.
+
+    Rows without a doc_id stay; of rows with the same doc_id that stay, all do;
+    texts without words are equal to each other.
     """
-    found = near_duplicates(docs, words, bound).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    prints = common.materialize(word_set_fingerprints(docs.where("doc_id is not null"), seeds), "fingerprints")
+    tables = [c for c in prints.columns if c != "doc_id"]
+    # texts with the same fingerprints in all tables are one node
+    nodes = common.materialize(prints.groupBy(*tables).agg(F.min("doc_id").alias("node")), "nodes")
+    components = _components(nodes, tables, bound)
+    first = nodes.join(components, "node", "left").select(*tables, F.coalesce("component", "node").alias("component_id"))
+    extra = prints.join(first, tables).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(common.materialize(extra, "extra"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
