@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import retrieval
+from spanloom.plans import catalog, retrieval
 
-QUERIES = dict(retrieval.QUERIES)
+QUERIES = retrieval.QUERIES | catalog.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
