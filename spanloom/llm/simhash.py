@@ -33,8 +33,9 @@ from .components import connected_components
 
 #: Fingerprints that fit the upper part of the index.
 SAMPLE = 65_536
-#: Leaves of the upper part, and fingerprints that a leaf is meant to hold.
-MAX_LEAVES, LEAF_SIZE = 2_048, 2_000
+#: Leaves of the upper part: so many at least, more when they would hold more than LEAF_SIZE fingerprints.
+#: Searchers go to more leaves the more there are, so the number does not follow the input before it must.
+LEAST_LEAVES, MAX_LEAVES, LEAF_SIZE = 64, 2_048, 200_000
 SEGMENT = 4  # bits that one level of the lower part looks at
 
 
@@ -91,10 +92,10 @@ def mask(bits: int) -> int:
 
 
 def upper_leaves(sample: np.ndarray, total: int) -> list[tuple[int, int]]:
-    """Masked patterns (pattern, bits) that part all 64-bit values, each with about LEAF_SIZE of ``total``."""
+    """Masked patterns (pattern, bits) that part all 64-bit values, each with a like share of ``total``."""
     sample = np.unique(sample)
     sample = sample[np.argsort(gray_rank(sample))]
-    most = max(1, min(MAX_LEAVES, -(-total // LEAF_SIZE)) // 2)
+    most = max(LEAST_LEAVES, min(MAX_LEAVES, -(-total // LEAF_SIZE))) // 2
     cap = max(4, len(sample) // most)
     out: list[tuple[int, int]] = []
     todo = [(0, 0, sample)]
