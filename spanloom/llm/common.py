@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,39 @@ def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def utf8(name: str):
     """Column ``name`` as UTF-8 bytes; null becomes the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
+
+
+#: Bits of the filter of `member`: one megabyte, whatever the number of keys.
+MEMBER_BITS = 1 << 23
+
+
+def member(keys: DataFrame, column: str):
+    """A function from a column to a boolean: true for every key in ``keys``, false for most others.
+
+    A Bloom filter of fixed size, so it may be broadcast.  It keeps rows that a join
+    would drop out of the join's shuffle; with very many keys it lets all pass.
+    """
+    spark = keys.sparkSession
+
+    def places(c):
+        return [F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(MEMBER_BITS)) for salt in (1, 2, 3)]
+
+    found = (
+        keys.select(F.explode(F.array(*places(F.col(column)))).alias("p"))
+        .groupBy(F.floor(F.col("p") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+        .collect()  # MEMBER_BITS / 32768 rows at most
+    )
+    table = np.zeros((MEMBER_BITS // 32768, 4096), np.uint8)
+    for r in found:
+        table[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = spark.sparkContext.broadcast(table.ravel())
+
+    @F.pandas_udf("boolean")
+    def has(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        bits = shared.value
+        out = np.ones(len(a), bool)
+        for p in (a.to_numpy(), b.to_numpy(), c.to_numpy()):
+            out &= (bits[p >> 3] >> (p & 7)) & 1 == 1
+        return pd.Series(out)
+
+    return lambda c: has(*places(c))

@@ -239,13 +239,17 @@ class FingerprintIndex:
             held.join(shared, "anchor").groupBy("doc_id", "content").agg(F.collect_list("anchor").alias("anchors"))
             .join(mine, ["doc_id", "content"])
         )
-        texts = common.materialize(source.join(wanted, "doc_id").select("doc_id", "content", "text", "anchors"), "candidates")
+        wanted = common.materialize(wanted, "wanted")
+        asked = common.member(wanted, "doc_id")
+        texts = common.materialize(source.where(asked(F.col("doc_id"))).join(wanted, "doc_id").select("doc_id", "content", "text", "anchors"), "candidates")
         found = windows(texts, every=True)
         new_windows = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("h1", "h2", owner)
         if newly is not None:
-            lists = newly.groupBy("batch", "doc_id", "content").agg(F.collect_list("anchor").alias("anchors"))
+            lists = common.materialize(newly.groupBy("batch", "doc_id", "content").agg(F.collect_list("anchor").alias("anchors")), "newly")
             for b, past_source in enumerate(self.sources):
-                known = past_source.join(lists.where(F.col("batch") == b).drop("batch"), "doc_id")
+                of_batch = lists.where(F.col("batch") == b).drop("batch")
+                asked = common.member(of_batch, "doc_id")
+                known = past_source.where(asked(F.col("doc_id"))).join(of_batch, "doc_id")
                 had = windows(known, every=False).select("h1", "h2", F.struct(F.lit(b).alias("batch"), F.col("doc_id")).alias("owner"))
                 new_windows = new_windows.unionByName(had)
         new_windows = common.materialize(new_windows.groupBy("h1", "h2").agg(F.min("owner").alias("owner")), "windows")
@@ -261,7 +265,7 @@ class FingerprintIndex:
         self.append("window", new_windows)
         self.append("content", contents)
         self.sources.append(source)
-        common.discard(self.spark, first, texts)
+        common.discard(self.spark, first, texts, wanted)
         return signed, decided
 
 
@@ -312,7 +316,8 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
             columns = list(zip(*done)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "content", "n_removed", "kept"])
 
-    changed = source.join(cut, "doc_id").select("doc_id", "text", "content", "starts").mapInArrow(run, "doc_id long, content long, n_removed long, kept string").distinct()
+    asked = common.member(cut, "doc_id")
+    changed = source.where(asked(F.col("doc_id"))).join(cut, "doc_id").select("doc_id", "text", "content", "starts").mapInArrow(run, "doc_id long, content long, n_removed long, kept string").distinct()
     whole = decided.where("starts is null").select("doc_id", "content", F.lit(-1).cast("long").alias("n_removed"), F.lit(hashlib.sha256().hexdigest()).alias("kept"))
     return (
         signed.drop("anchors").join(changed.unionByName(whole), ["doc_id", "content"], "left")
@@ -347,10 +352,13 @@ def without_repeats(docs: DataFrame, batches: int = 2, text: str = "text") -> Da
 
     # a doc_id that stands for several texts has a list of decisions
     lists = decided.groupBy("doc_id").agg(F.collect_list(F.struct("content", F.coalesce("starts", F.array()).alias("starts"), F.col("starts").isNull().alias("whole"))).alias("__decided"))
-    joined = docs.join(lists, "doc_id", "left")
+    # only the texts that may change are shuffled
+    asked = common.member(decided, "doc_id")
+    key = F.col("doc_id").cast("long")
+    joined = docs.where(asked(key)).join(lists, "doc_id", "left")
     starts = F.transform("__decided", lambda d: F.when(d["whole"], F.lit(None)).otherwise(d["starts"]))
     new = F.when(F.col("__decided").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__decided.content"), starts))
-    return joined.withColumn(text, new).select(docs.columns)
+    return docs.where(~asked(key)).unionByName(joined.withColumn(text, new).select(docs.columns))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
