@@ -51,28 +51,30 @@ _LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)[ \t]*\r?$")
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, bytes, refers_to): refers_to is the response of a revisit, else null."""
+    """(page_id, url, html, digest, bytes, first, nth): first is the response of equal payloads, null without any.
+
+    Only payloads that may come more than once are shuffled; of those a revisit's is dropped before.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes")
     )
-    # only payloads that come more than once are on the right side of the join
-    first = (
-        rows.where(F.col("bytes") >= REVISIT_LEAST).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
-    )
-    return rows.join(first, rows.digest == F.col("d"), "left").drop("d")
+    first = rows.where(F.col("bytes") >= REVISIT_LEAST).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
+    first = common.materialize(first, "first")
+    repeated = common.member(first, "d")
+    alone = rows.where(~repeated(F.col("digest"))).select("*", F.lit(None).cast("long").alias("first"), F.lit(1).alias("nth"))
+    several = rows.where(repeated(F.col("digest"))).join(first, F.col("digest") == F.col("d"), "left").drop("d")
+    several = several.withColumn("html", F.when(F.col("first").isNull() | (F.col("page_id") == F.col("first")), F.col("html")))
+    # of several rows with the response's page_id one is the response
+    copies = Window.partitionBy("digest", "page_id").orderBy("url")
+    answers = several.where("page_id = first").withColumn("nth", F.row_number().over(copies))
+    others = several.where("not (page_id <=> first) or first is null").withColumn("nth", F.lit(1))
+    return alone.unionByName(answers).unionByName(others)
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Write the archive of (page_id, url, html) under ``path``."""
     rows = plan_records(pages)
-    # of several rows with the response's page_id one is the response
-    nth = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    twins = rows.where("first = page_id").groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("twin"))
-    rows = rows.join(twins, rows.page_id == F.col("twin"), "left")
-    plain = rows.where("twin is null").withColumn("nth", F.lit(1))
-    double = rows.where("twin is not null").withColumn("nth", nth)
-    rows = plain.unionByName(double)
     revisit = F.col("first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("nth") > 1))
     clean_url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     crlf = "\r\n"
@@ -86,7 +88,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.lit(crlf + "Content-Type: text/html; charset=utf-8" + crlf + "Content-Length: "),
         F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")),
         F.lit(crlf + crlf),
-        F.when(revisit, F.lit("")).otherwise(F.col("html")),
+        F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit(""))),
     )
     rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
