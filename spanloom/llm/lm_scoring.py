@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,21 +100,32 @@ def pair_ids(text: bytes, ids: dict) -> np.ndarray:
     return first * VOCABULARY + second
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Negative log-probability of each pair under the interpolated model of these counts."""
-    table = counts.reshape(VOCABULARY, VOCABULARY).astype(np.float64)
-    unigram = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * VOCABULARY)
-    total = table.sum(axis=1, keepdims=True)
-    weight = np.where(total > 0, WEIGHT * total / (total + 1.0), 0.0)
-    bigram = np.divide(table, total, out=np.zeros_like(table), where=total > 0)
-    return -np.log(weight * bigram + (1.0 - weight) * unigram).ravel().astype(np.float32)
+def losses(counts: DataFrame) -> np.ndarray:
+    """Negative log-probability of each pair under the interpolated model of these counts.
 
+    The rows of the table are made in the cluster, one for each first word; the
+    driver gets VOCABULARY rows of VOCABULARY small floats.
+    """
+    counts = common.materialize(counts, "counts")
+    single = np.zeros(VOCABULARY)
+    for r in counts.groupBy((F.col("pair") % VOCABULARY).alias("second")).agg(F.sum("n").alias("n")).collect():
+        single[r.second] = r.n
+    unigram = (single + 0.5) / (single.sum() + 0.5 * VOCABULARY)
 
-def _gathered(counts: DataFrame) -> np.ndarray:
-    out = np.zeros(VOCABULARY * VOCABULARY, np.int64)
-    part = counts.toPandas()  # at most VOCABULARY squared rows
-    out[part["pair"].to_numpy(np.int64)] = part["n"].to_numpy(np.int64)
-    return out
+    def row(group: pd.DataFrame) -> pd.DataFrame:
+        first = int(group["pair"].iloc[0]) // VOCABULARY
+        n = np.zeros(VOCABULARY)
+        n[group["pair"].to_numpy() % VOCABULARY] = group["n"].to_numpy()
+        total = n.sum()
+        weight = WEIGHT * total / (total + 1.0)
+        return pd.DataFrame({"first": [first], "row": [(-np.log(weight * n / total + (1.0 - weight) * unigram)).astype(np.float32).tobytes()]})
+
+    out = np.tile(-np.log(unigram).astype(np.float32), (VOCABULARY, 1))
+    made = counts.groupBy(F.floor(F.col("pair") / VOCABULARY).cast("int").alias("f")).applyInPandas(row, "first int, row binary")
+    for r in made.toLocalIterator():
+        out[r.first] = np.frombuffer(r.row, np.float32)
+    common.discard(counts.sparkSession, counts)
+    return out.ravel()
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -121,8 +133,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.arrow_rows(spark)
     words = vocabulary(docs)
-    background = losses(_gathered(bigram_counts(docs, words)))
-    goal = losses(_gathered(bigram_counts(target, words)))
+    background = losses(bigram_counts(docs, words))
+    goal = losses(bigram_counts(target, words))
     shared = spark.sparkContext.broadcast((words, goal, background))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
