@@ -9,7 +9,9 @@
    the columns, so one pass over the documents gives both counts and sketch.
 3. Candidate search: every document is swept by half-overlapping windows no longer
    than the items; windows with a cosine to an item of at least ``cosine`` in latent
-   space are candidates.
+   space are candidates.  So are, whatever the weights, the places that share
+   `GRAM` successive words with an item: an item that stands in many passages
+   makes its own words common, and they lose their weight.
 4. Verification: the longest common subsequence of the item's words with the words
    around the window must cover ``least`` of the item; and the answer check: of the
    item's most telling words (highest IDF; they stand for the answer) the share
@@ -44,6 +46,8 @@ MAX_ITEMS = 4_096
 COMMON, COMMON_LEAST = 0.03, 50
 #: Window lengths; an item is looked for with the longest that it fills.
 SCALES = (6, 12, 24, 48, 96, 192)
+#: Successive words that make a place a candidate without the model; a shorter item must be there whole.
+GRAM = 4
 
 # ASCII punctuation separates words, save the apostrophe and the hyphen; A-Z become a-z.
 _TABLE = bytes(32 if chr(c) in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -94,7 +98,7 @@ def _reduced(docs: DataFrame, per_task) -> dict[int, np.ndarray]:
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, TERMS x LATENT): what folds words into the latent space.
+    """(idf, TERMS x LATENT): what folds words into the latent space; common terms have the zero vector there.
 
     The right singular vectors are divided by the singular values, so that the
     words that all passages share do not drown the others.
@@ -135,12 +139,14 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = _reduced(docs, per_task)
     df = rows.pop(-1, np.zeros(TERMS + 1)).astype(np.float64)
     idf = np.log((df[TERMS] + 2.0) / (df[:TERMS] + 1.0))
-    idf[df[:TERMS] > max(COMMON_LEAST, COMMON * df[TERMS])] = 0.0
+    common_terms = df[:TERMS] > max(COMMON_LEAST, COMMON * df[TERMS])
     if not rows:
         return idf, np.zeros((TERMS, LATENT), np.float32)
-    _, size, right = np.linalg.svd(np.array([rows[k] for k in sorted(rows)]) * idf, full_matrices=False)
+    _, size, right = np.linalg.svd(np.array([rows[k] for k in sorted(rows)]) * np.where(common_terms, 0.0, idf), full_matrices=False)
     size = np.maximum(size[:LATENT], 1e-6 * max(size[0], 1e-6))
-    return idf, np.ascontiguousarray((right[:LATENT] / size[:, None]).T, np.float32)
+    latent = np.ascontiguousarray((right[:LATENT] / size[:, None]).T, np.float32)
+    latent[common_terms] = 0.0
+    return idf, latent
 
 
 # ---- verification
@@ -161,6 +167,18 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` <= GRAM successive term ids from every place, as one number each."""
+    out = ids[: max(0, len(ids) - n + 1)].copy()
+    for i in range(1, n):
+        out = out * TERMS + ids[i : len(ids) - n + 1 + i]
+    return out
+
+
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
 class Items:
     """The benchmark's items in the form in which a task uses them."""
 
@@ -168,6 +186,8 @@ class Items:
         # the last row stands for the padding
         self.weighted = np.vstack([latent * idf[:, None], np.zeros((1, latent.shape[1]))]).astype(np.float32)
         by_scale: dict[int, list] = {}
+        # per length of gram: gram to (item, its place there), and a small table that most other grams fail
+        self.grams: dict[int, tuple[dict, np.ndarray]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -177,6 +197,12 @@ class Items:
             order = np.argsort(-idf[ids], kind="stable")
             telling = frozenset(words[i] for i in order[: max(1, len(words) // 4)])
             by_scale.setdefault(scale, []).append((item_id, words, telling, self.weighted[ids].sum(axis=0)))
+            n = min(GRAM, len(words))
+            at, may = self.grams.setdefault(n, ({}, np.zeros(1 << 20, bool)))
+            found = grams(ids, n)
+            may[_slot(found)] = True
+            for i, gram in enumerate(found.tolist()):
+                at.setdefault(gram, []).append(((item_id, words, telling), i))
         self.groups: dict[int, tuple[list, np.ndarray]] = {}
         for scale, found in sorted(by_scale.items()):
             vectors = np.array([f[3] for f in found], np.float32)
@@ -191,8 +217,26 @@ class Items:
             return []
         step, piece = self.step, self.step * 2_048
         best: dict[int, float] = {}
+
+        def verify(item_id, item, telling, start, length):
+            if best.get(item_id, 0.0) >= 1.0:
+                return
+            around = words[max(0, start - len(item)) : start + length + len(item)]
+            if len(telling.intersection(around)) >= answer * len(telling):
+                share = lcs_length(item, around) / len(item)
+                if share >= least and share > best.get(item_id, 0.0):
+                    best[item_id] = share
+
         for low in range(0, len(words), piece):  # long texts in pieces that overlap by the longest window
             part = term_ids(words[low : low + piece + SCALES[-1]])
+            for n, (held, may) in self.grams.items():
+                found = grams(part, n)
+                seen = set()  # the grams of one copy all say where the item begins
+                for at in np.flatnonzero(may[_slot(found)]).tolist():
+                    for item, i in held.get(int(found[at]), ()):
+                        if (item[0], at - i) not in seen:
+                            seen.add((item[0], at - i))
+                            verify(*item, low + at - i, len(item[1]))
             padded = np.full(-(-len(part) // step) * step, len(self.weighted) - 1)
             padded[: len(part)] = part
             padded = padded.reshape(-1, step)
@@ -211,15 +255,7 @@ class Items:
                 near = w @ vectors
                 hits = np.nonzero(near >= cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None])
                 for at, i in zip(*(h.tolist() for h in hits)):
-                    item_id, item, telling = held[i]
-                    if best.get(item_id, 0.0) >= 1.0:
-                        continue
-                    start = low + at * width
-                    around = words[max(0, start - len(item)) : start + scale + len(item)]
-                    if len(telling.intersection(around)) >= answer * len(telling):
-                        share = lcs_length(item, around) / len(item)
-                        if share >= least and share > best.get(item_id, 0.0):
-                            best[item_id] = share
+                    verify(*held[i], low + at * width, scale)
         return sorted(best.items())
 
 

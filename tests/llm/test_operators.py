@@ -297,6 +297,30 @@ def test_items_are_found_and_clean_texts_left_alone(spark, edge):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_in_a_third_of_the_rows_are_found(spark):
+    rnd = random.Random(12)
+    vocabulary = ["term%d" % i for i in range(3000)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    hot, short, rows, want = text(30), text(3), [], set()
+    for i in range(300):
+        words = text(rnd.randint(30, 100))
+        at = rnd.randint(0, len(words))
+        if i % 3 == 0:
+            words[at:at] = hot if i % 2 else [rnd.choice(vocabulary) if rnd.random() < 0.12 else w for w in hot]
+            want.add((i, 0))
+        elif i % 3 == 1:
+            words[at:at] = short
+            want.add((i, 1))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(hot)), (1, " ".join(short))], "item_id long, text string")
+    idf, latent = decontamination.fit(docs)
+    assert not latent[decontamination.term_ids(hot)].any()  # their words have no weight
+    got = {(r.doc_id, i) for r in decontamination.contaminated(docs, bench).collect() for i in r.item_ids}
+    assert got == want
+    assert {r.doc_id for r in decontamination.without_contaminated(docs, bench).collect()} == set(range(2, 300, 3))
+
+
 # ---- 8
 
 
