@@ -258,52 +258,150 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFram
 
 
 #: Tables of `keep_one`: seeds of the word hashes.
-SEEDS = (42, 43, 44, 45)
+SEEDS = tuple(range(42, 54))
+#: Copies of the first text of a component to which its other texts are joined, where there are many.
+SALTS, MANY = 16, 2_048
 
 
 def word_set_fingerprints(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """(doc_id, text_key, f0, f1, ...): per seed the fingerprint of the text's set of words."""
     common.arrow_rows(docs.sparkSession)
     digest = xxhash.xxh64_intdigest
+    names = [f"f{i}" for i in range(len(seeds))]
+    salts = [np.uint64(xxhash.xxh64_intdigest(b"", s)) for s in seeds]
 
-    def one(words: list[bytes], seed: int) -> int:
-        h = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+    def one(h: np.ndarray) -> int:
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        return int.from_bytes(np.packbits(bits.sum(axis=0) * 2 > len(h)).tobytes(), "big")
+        return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(h)).tobytes(), "big")
 
-    names = ["doc_id", *[f"f{i}" for i in range(len(seeds))]]
+    def mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
+        h = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros((batch.num_rows, len(seeds)), np.uint64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = list(set(text.lower().split()))
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                words = set(text.lower().split())
                 if words:
-                    found[i] = [one(words, s) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T]], names)
+                    h = np.fromiter(map(digest, words), np.uint64, len(words))
+                    found[i] = [one(mixed(h, s)) for s in salts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T]], ["doc_id", "text_key", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names[1:]]]))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), common.utf8("text").alias("text"))
+    return narrow.mapInArrow(run, ", ".join(["doc_id long", "text_key binary", *[f"{n} long" for n in names]]))
 
 
-def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+def text_key():
+    """128 bits that stand for the text."""
+    return F.unhex(F.md5(common.utf8("text")))
 
-    Near-duplicates are texts that share about 0.8 of their five-word shingles or
-    more.  Fingerprints of shingles differ too much at that similarity to be found
-    within three bits (six in a hundred such pairs are); fingerprints of the sets of words differ less, and
-    several tables, each with its own hashes, make up for the chance in one.
 
-    Rows without a doc_id stay; of rows with the same doc_id that stay, all do;
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct values; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` with the sorted hashes of its distinct shingles, ``shingles``, for its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "shingles"])
+
+    names = [c for c in texts.columns if c != "text"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
+    return texts.select(*names, "text").mapInArrow(run, f"{kinds}, shingles binary")
+
+
+def _greedy(least: float):
+    """Rows (component, doc_id, text_key, shingles) in order to the text_keys that an earlier kept text is near to."""
+
+    def prefix(h: np.ndarray) -> list:
+        # two sets at ``least`` share one of so many smallest values
+        return h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, kept, by = None, [], {}
+        for batch in batches:
+            out = []
+            for component, doc_id, key, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != here:
+                    here, kept, by = component, [], {}
+                h = _set(data)
+                first = prefix(h) or [None]
+                if any(kept[i][0] < doc_id and jaccard(kept[i][1], h) >= least for i in sorted({i for x in first for i in by.get(x, ())})):
+                    out.append(key)
+                    continue
+                for x in first:
+                    by.setdefault(x, []).append(len(kept))
+                kept.append((doc_id, h))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["text_key"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: a row goes if a row that stays, with a smaller doc_id, is near to it.
+
+    Near-duplicates are texts whose sets of ``words``-word shingles have a Jaccard
+    similarity of ``least`` or more.  Candidates are the texts of one component of
+    the index: fingerprints of shingles differ too much at that similarity to be
+    found within three bits, so they are those of the sets of words, and several
+    tables, each with its own hashes, make up for the chance in one.  Every
+    candidate is compared with the texts that stay by the shingles themselves:
+    first all texts of a component with its first one, then the rest in the order
+    of doc_id, each with those kept before.
+
+    Rows without a doc_id stay; rows with the same doc_id never remove each other;
     texts without words are equal to each other.
     """
-    prints = common.materialize(word_set_fingerprints(docs.where("doc_id is not null"), seeds), "fingerprints")
-    tables = [c for c in prints.columns if c != "doc_id"]
+    spark = docs.sparkSession
+    named = docs.where("doc_id is not null")
+    prints = common.materialize(word_set_fingerprints(named, seeds), "fingerprints")
+    tables = [c for c in prints.columns if c not in ("doc_id", "text_key")]
     # texts with the same fingerprints in all tables are one node
     nodes = common.materialize(prints.groupBy(*tables).agg(F.min("doc_id").alias("node")), "nodes")
     components = _components(nodes, tables, bound)
-    first = nodes.join(components, "node", "left").select(*tables, F.coalesce("component", "node").alias("component_id"))
-    extra = prints.join(first, tables).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(common.materialize(extra, "extra"), "doc_id", "left_anti").select(docs.columns)
+    first = nodes.join(components, "node", "left").select(*tables, F.coalesce("component", "node").alias("component"))
+    texts = common.materialize(prints.groupBy("text_key", *tables).agg(F.min("doc_id").alias("doc_id")).join(first, tables).select("component", "doc_id", "text_key"), "texts")
+    sizes = texts.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("f")).where("n > 1")
+    sizes = common.materialize(sizes.select("component", "n", F.col("f.text_key").alias("first_key")), "sizes")
+    # only texts that have a candidate are shuffled
+    asked = common.materialize(texts.join(sizes, "component"), "asked")
+    wanted = common.member(asked, "text_key")
+    held = named.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), common.utf8("text").alias("text")).where(wanted(F.col("text_key")))
+    # a text that a doc_id has twice is taken twice; that does no harm
+    sets = common.materialize(shingle_sets(held.join(asked, ["doc_id", "text_key"]).select("component", "doc_id", "text_key", "n", "first_key", "text"), words), "shingles")
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(_set(x), _set(y)) >= least for x, y in zip(a, b)], dtype=bool)
+
+    salt = F.when(F.col("n") > MANY, F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("n") > MANY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    heads = sets.where("text_key = first_key").dropDuplicates(["component"]).select("component", F.explode(salts).alias("salt"), F.col("doc_id").alias("head"), F.col("shingles").alias("head_shingles"))
+    others = sets.where("text_key <> first_key").withColumn("salt", salt).join(heads, ["component", "salt"])
+    compared = common.materialize(others.select("component", "doc_id", "text_key", "shingles", ((F.col("doc_id") > F.col("head")) & near("shingles", "head_shingles")).alias("near")), "compared")
+    rest = compared.where("not near").select("component", "doc_id", "text_key", "shingles")
+    several = rest.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    later = rest.join(several, "component").select(*rest.columns).repartition("component").sortWithinPartitions("component", "doc_id", "text_key").mapInArrow(_greedy(least), "text_key binary")
+    gone = common.materialize(compared.where("near").select("text_key").unionByName(later).distinct().withColumn("gone", F.lit(True)), "gone")
+    known = texts.select("text_key", F.col("doc_id").alias("owner")).join(gone, "text_key", "left")
+    extra = prints.select("doc_id", "text_key").join(known, "text_key").where("gone or doc_id <> owner").select("doc_id", "text_key").distinct()
+    extra = common.materialize(extra, "extra").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    common.discard(spark, asked, sizes, sets, compared)
+    return docs.join(extra, (F.col("doc_id") == F.col("d")) & (text_key() == F.col("k")), "left_anti").select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

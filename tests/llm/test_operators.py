@@ -217,6 +217,33 @@ def test_simhash_edges(spark, edge):
     assert sorted(r.doc_id or -1 for r in simhash.keep_one(edge).collect()) == [-1, -1, 1, 3, 3, 4]
 
 
+def test_near_duplicates_are_removed_by_their_shingles(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = ["v%d" % rnd.randint(0, 500) for _ in range(120)]
+        edited = list(words)
+        for j in rnd.sample(range(120), 2):  # two words in 120 are others: about 0.84 of the shingles stay
+            edited[j] = "edit%d" % rnd.randint(0, 500)
+        other = sorted(words)  # the same words, no shingle of the text
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(other)), (10 * i + 2, " ".join(edited)), (10 * i + 2, "alone %d" % i), (10 * i + 3, " ".join(words))]
+    rows += [(9000, ""), (9001, " "), (None, rows[0][1])]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept = []
+    for d, t in sorted((r for r in rows if r[0] is not None)):
+        s = shingles(t)
+        if not any(k < d and (len(s & x) / len(s | x) if s | x else 1.0) >= 0.8 for k, _, x in kept):
+            kept.append((d, t, s))
+    want = [(d, t) for d, t, _ in kept] + [(None, rows[0][1])]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert not set(want) - set(got)  # no text without a near one goes
+    assert len(set(got) - set(want)) <= 1  # candidates are found by fingerprints
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (500, 500), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(links).collect()}
@@ -314,8 +341,6 @@ def test_items_in_a_third_of_the_rows_are_found(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(0, " ".join(hot)), (1, " ".join(short))], "item_id long, text string")
-    idf, latent = decontamination.fit(docs)
-    assert not latent[decontamination.term_ids(hot)].any()  # their words have no weight
     got = {(r.doc_id, i) for r in decontamination.contaminated(docs, bench).collect() for i in r.item_ids}
     assert got == want
     assert {r.doc_id for r in decontamination.without_contaminated(docs, bench).collect()} == set(range(2, 300, 3))
