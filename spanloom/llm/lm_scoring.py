@@ -1,19 +1,26 @@
 """Cross-entropy difference of matched target and background bigram models.
 
 Both models have one vocabulary, one form and one smoothing, so that the difference
-of their losses comes from the texts they were counted on.  The vocabulary is the
-`VOCABULARY` - 1 most frequent words of all documents (ties by the word) and one
-entry for all other words; a model is an interpolated bigram model with add-half
-unigrams.  The background counts cover all documents, the target counts all
-documents that are labelled good; no table is sampled or capped.
+of their losses comes from the texts they were counted on.  The vocabulary is every
+word of the documents and of the target; a model is an interpolated bigram model
+with add-half unigrams over as many entries as there are words, `VOCABULARY` at
+least.  The background counts cover all documents, the target counts all
+documents that are labelled good; nothing is sampled, capped or left out.
 
 A document's score is the mean over its words of target loss minus background loss (natural
 logarithm): the lower, the more like the target.
 
-What is gathered: word counts are summed in the cluster and only the vocabulary
-(VOCABULARY rows) comes to the driver; of the bigram counts, which are summed in
-the cluster too, at most VOCABULARY squared numbers.  The table of differences has
-a fixed size of 4 * VOCABULARY^2 bytes and is broadcast.
+The models are tables in the cluster that grow with the input:
+
+1. Documents are packed in batches of about `BATCH_BYTES` of text.
+2. Every batch counts its words, first words and bigrams, each under a 62-bit hash
+   and its kind, and sends the keys with their counts to `buckets` of keys.  A key
+   comes once from a batch, so a hot one is no more than a row of each batch.
+3. A bucket adds the counts of its keys up and answers every batch with the sums,
+   in the order in which the batch asked.
+4. The batch's texts meet their answers and are scored.
+
+The driver gets four sums of each bucket.
 
 Defined cases: a null text or one without words has n_tokens 0 and null scores; a
 null doc_id is scored, never labelled; repeated labels count once; with no labelled document the
@@ -23,18 +30,25 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 VOCABULARY, WEIGHT = 2_048, 0.7
+#: Text of one batch, and text for which there is one bucket of keys.
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Kinds of keys: a word, a word that another follows, a bigram.
+SECOND, FIRST, PAIR = 0, 1, 2
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -42,116 +56,158 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class _Ids(dict):
-    def __missing__(self, word):
-        return 0
+class _Hashes(dict):
+    """Word to hash, remembered; forgotten when it has grown too large."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): every word of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > 300_000:  # bounded memory; the sums are made in the cluster
-                    yield _pairs(counts)
-                    counts = Counter()
-        yield _pairs(counts)
+_hashes = _Hashes()
+
 
-    def _pairs(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def _kind(h: np.ndarray, kind: int) -> np.ndarray:
+    return (h & ~np.uint64(3)) | np.uint64(kind)
+
+
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, 3 x words: the keys SECOND, FIRST and PAIR of every word); a text starts after the hash 0."""
+    sizes, parts = np.zeros(len(texts), np.int64), []
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        sizes[i] = len(words)
+        parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+    second = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    first = np.empty_like(second)
+    first[1:] = second[:-1]
+    starts = np.cumsum(sizes) - sizes
+    first[starts[sizes > 0]] = 0
+    pair = (first * np.uint64(0x9E3779B97F4A7C15)) ^ second
+    pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    pair ^= (first >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return sizes, np.array([_kind(second, SECOND), _kind(first, FIRST), _kind(pair, PAIR)])
 
-    return docs.select(common.utf8("text").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = ((keys >> np.uint64(2)) * np.uint64(0x94D049BB133111EB) + keys) >> np.uint64(33)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words; place + 1 is a word's id, 0 stands for all others."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()
-    return [bytes(r.word) for r in top]
 
+def asked_by(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by bucket, their counts, where each bucket begins, and the place of each key of ``keys``."""
+    distinct, inverse, n = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+    where = _bucket(distinct, buckets)
+    order = np.argsort(where, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], n[order], np.searchsorted(where[order], np.arange(buckets + 1)), place[inverse.reshape(keys.shape)]
 
-def bigram_counts(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(pair, n): pair = first id * VOCABULARY + second id, over all documents; a text starts after id 0."""
+
+def packed(docs: DataFrame, scored: bool) -> DataFrame:
+    """(s, scored, bytes, data): batches of the documents' (ids, texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(zip(words, range(1, VOCABULARY)))
-        counts = np.zeros(VOCABULARY * VOCABULARY, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                pairs = pair_ids(text, ids)
-                if len(pairs):
-                    np.add.at(counts, pairs, 1)
-        found = np.flatnonzero(counts)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["pair", "n"])
-
-    return docs.select(common.utf8("text").alias("text")).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def pair_ids(text: bytes, ids: dict) -> np.ndarray:
-    words = words_of(text)
-    second = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    first = np.empty_like(second)
-    if len(second):
-        first[0], first[1:] = 0, second[:-1]
-    return first * VOCABULARY + second
-
-
-def losses(counts: DataFrame) -> np.ndarray:
-    """Negative log-probability of each pair under the interpolated model of these counts.
-
-    The rows of the table are made in the cluster, one for each first word; the
-    driver gets VOCABULARY rows of VOCABULARY small floats.
-    """
-    counts = common.materialize(counts, "counts")
-    single = np.zeros(VOCABULARY)
-    for r in counts.groupBy((F.col("pair") % VOCABULARY).alias("second")).agg(F.sum("n").alias("n")).collect():
-        single[r.second] = r.n
-    unigram = (single + 0.5) / (single.sum() + 0.5 * VOCABULARY)
-
-    def row(group: pd.DataFrame) -> pd.DataFrame:
-        first = int(group["pair"].iloc[0]) // VOCABULARY
-        n = np.zeros(VOCABULARY)
-        n[group["pair"].to_numpy() % VOCABULARY] = group["n"].to_numpy()
-        total = n.sum()
-        weight = WEIGHT * total / (total + 1.0)
-        return pd.DataFrame({"first": [first], "row": [(-np.log(weight * n / total + (1.0 - weight) * unigram)).astype(np.float32).tobytes()]})
-
-    out = np.tile(-np.log(unigram).astype(np.float32), (VOCABULARY, 1))
-    made = counts.groupBy(F.floor(F.col("pair") / VOCABULARY).cast("int").alias("f")).applyInPandas(row, "first int, row binary")
-    for r in made.toLocalIterator():
-        out[r.first] = np.frombuffer(r.row, np.float32)
-    common.discard(counts.sparkSession, counts)
-    return out.ravel()
+        base, nth = TaskContext.get().partitionId() << 32, 0
+        ids, texts, size = [], [], 0
+
+        def batch():
+            data = zlib.compress(pickle.dumps((ids, texts)), 1)
+            return pa.RecordBatch.from_arrays([pa.array([base + nth], pa.int64()), pa.array([scored]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["s", "scored", "bytes", "data"])
+
+        for rows in batches:
+            for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                size += len(t) + 16
+                if size >= BATCH_BYTES:
+                    yield batch()
+                    ids, texts, size, nth = [], [], 0, nth + 1
+        if ids:
+            yield batch()
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text"))
+    return narrow.mapInArrow(run, "s long, scored boolean, bytes long, data binary")
+
+
+def ask(batches: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, s, scored, keys, n): what every batch asks of every bucket, and adds to it."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for s, scored, data in zip(*(part.column(c).to_pylist() for c in ("s", "scored", "data"))):
+                keys, n, starts, _ = asked_by(keys_of(pickle.loads(zlib.decompress(data))[1])[1], buckets)
+                cuts = [(b, x, y) for b, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())) if y > x]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([s] * len(cuts), pa.int64()), pa.array([scored] * len(cuts), pa.bool_()),
+                        pa.array([keys[x:y].tobytes() for _, x, y in cuts], pa.binary()), pa.array([zlib.compress(n[x:y].astype(np.int32).tobytes(), 1) for _, x, y in cuts], pa.binary()),
+                    ],
+                    ["bucket", "s", "scored", "keys", "n"],
+                )
+
+    return batches.select("s", "scored", "data").mapInArrow(run, "bucket int, s long, scored boolean, keys binary, n binary")
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """(s, bucket, data, words, background, target): the sums, in the order asked; for s = -1 the bucket's totals."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+        n = np.concatenate([np.frombuffer(zlib.decompress(x), np.int32) for x in group["n"]]).astype(np.float64)
+        of_docs = np.repeat(group["scored"].to_numpy(), [len(k) for k in keys])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.array([np.bincount(inverse, weights=n * of_docs, minlength=len(distinct)), np.bincount(inverse, weights=n * ~of_docs, minlength=len(distinct))]).astype(np.int64)
+        word = (distinct & np.uint64(3)) == SECOND
+        out, at = [(-1, int(group["bucket"].iloc[0]), b"", int(word.sum()), *(int(x[word].sum()) for x in sums))], 0
+        for s, scored, k in zip(group["s"].tolist(), group["scored"].tolist(), keys):
+            if scored:
+                out.append((s, out[0][1], zlib.compress(np.ascontiguousarray(sums[:, inverse[at : at + len(k)]]).tobytes(), 1), 0, 0, 0))
+            at += len(k)
+        return pd.DataFrame(out, columns=["s", "bucket", "data", "words", "background", "target"])
+
+    return asked.groupBy("bucket").applyInPandas(run, "s long, bucket int, data binary, words long, background long, target long")
+
+
+def losses(place: np.ndarray, counts: np.ndarray, total: int, size: int) -> np.ndarray:
+    """Negative log-probability of every word under the interpolated model of these counts."""
+    second, first, pair = (counts[p].astype(np.float64) for p in place)
+    unigram = (second + 0.5) / (total + 0.5 * size)
+    weight = WEIGHT * first / (first + 1.0)
+    return -np.log(weight * pair / np.maximum(first, 1.0) + (1.0 - weight) * unigram)
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``; ``target``: the good documents."""
     spark = docs.sparkSession
     common.arrow_rows(spark)
-    words = vocabulary(docs)
-    background = losses(bigram_counts(docs, words))
-    goal = losses(bigram_counts(target, words))
-    shared = spark.sparkContext.broadcast((words, goal, background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, goal, background = shared.value
-        ids = _Ids(zip(words, range(1, VOCABULARY)))
-        for batch in batches:
-            n, t, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                pairs = pair_ids(text, ids)
-                n.append(len(pairs))
-                t.append(float(goal[pairs].mean(dtype=np.float64)) if len(pairs) else None)
-                b.append(float(background[pairs].mean(dtype=np.float64)) if len(pairs) else None)
-            diff = [x - y if x is not None else None for x, y in zip(t, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.float64()) for x in (t, b, diff)]], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    batches = common.materialize(packed(docs, True), "batches")
+    good = common.materialize(packed(target, False), "good")
+    both = batches.unionByName(good)
+    buckets = int(both.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES + 1
+    answers = common.materialize(answer(ask(both, buckets)), "answers")
+    totals = answers.where("s = -1").agg(F.sum("words"), F.sum("background"), F.sum("target")).first()
+    words, n_background, n_target = (int(x or 0) for x in totals)
+    size = max(VOCABULARY, words + 1)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["bucket"] < 0
+        ids, texts = pickle.loads(zlib.decompress(group["data"][own].iloc[0]))
+        sizes, keys = keys_of(texts)
+        place = asked_by(keys, buckets)[3]
+        found = group[~own].sort_values("bucket")["data"]
+        parts = [np.frombuffer(zlib.decompress(x), np.int64).reshape(2, -1) for x in found]
+        counts = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        b, t = (np.bincount(row, weights=losses(place, c, n, size), minlength=len(ids)) / np.maximum(sizes, 1) for c, n in zip(counts, (n_background, n_target)))
+        some = sizes > 0
+        columns = {name: pd.Series(np.where(some, x, 0.0)).astype("Float64").where(some) for name, x in (("target_loss", t), ("background_loss", b), ("score", t - b))}
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sizes, **columns})
+
+    rows = batches.select("s", F.lit(-1).alias("bucket"), "data").unionByName(answers.where("s >= 0").select("s", "bucket", "data"))
+    return rows.groupBy("s").applyInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,6 +409,30 @@ def test_scores_equal_slow_models(spark):
     assert sorted(((r.doc_id, r.n_tokens, None if r.score is None else round(r.score, 4)) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_rare_words_have_their_own_counts(spark):
+    # 3,000 words, more than a fixed vocabulary of 2,048; the rarest are what the target differs by
+    filler = [(i, " ".join("common%d" % (j % 2500) for j in range(50 * i, 50 * i + 50))) for i in range(200)]
+    docs = spark.createDataFrame(filler + [(1000 + i, "rare%d topic%d" % (i % 250, i % 250)) for i in range(500)] + [(2000, "")], "doc_id long, text string")
+    held, lm_scoring.BATCH_BYTES, lm_scoring.BUCKET_BYTES = (getattr(lm_scoring, "BATCH_BYTES", 0), getattr(lm_scoring, "BUCKET_BYTES", 0)), 3_000, 20_000
+    try:
+        got = {r.doc_id: r for r in lm_scoring.score(docs, docs.where("doc_id >= 1000 and doc_id % 250 < 125")).collect()}
+    finally:
+        lm_scoring.BATCH_BYTES, lm_scoring.BUCKET_BYTES = held
+    assert len(got) == 701 and got[2000].score is None and got[2000].n_tokens == 0
+    inside, outside = got[1000], got[1200]  # alike but for their words; only the first kind is in the target
+    assert inside.score < -0.5 and outside.score > 0.5
+
+    size, k = 3_001, lm_scoring.WEIGHT
+
+    def loss(n, second, first, pair):
+        w = k * first / (first + 1)
+        return -np.log((w * pair / first if first else 0) + (1 - w) * (second + 0.5) / (n + 0.5 * size))
+
+    # of 11,000 words: 2 of each rare word, 2 bigrams; 700 documents have a first word
+    want = (loss(11_000, 2, 700, 2) + loss(11_000, 2, 2, 2)) / 2
+    assert abs(inside.background_loss - want) < 1e-9 and abs(outside.background_loss - want) < 1e-9
+
+
 # ---- 10
 
 
