@@ -98,7 +98,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 def _header(piece: bytes) -> tuple[int, int]:
     """(bytes up to the payload, payload bytes) of a piece without its magic; (-1, -1) if it has no header."""
-    end = piece.find(END, 0, 65_536)
+    end = piece.find(END)
     if end < 0:
         return -1, -1
     found = _LENGTH.search(piece, 0, end + 2)

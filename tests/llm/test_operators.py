@@ -282,6 +282,14 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_warc_keeps_pages_with_very_long_urls(spark):
+    rows = [(i, "http://h/" + "u" * (70_000 if i == 3 else 5), "page %d " % i + "x" * 200) for i in range(10)]
+    path = common.scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: r.payload_digest for r in warc.report(warc.read_warc(spark, path)).collect()}
+    assert got == {p: hashlib.sha256(h.encode()).hexdigest() for p, _, h in rows}
+
+
 # ---- 7
 
 
