@@ -53,7 +53,7 @@ _TAG = re.compile(
     r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|$)|(?P<other>[!?/][^>]*)(?:>|$))",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
 
@@ -67,6 +67,8 @@ def _looks_like_furniture(name: str, attrs: str) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
+        if key == "style" and _HIDDEN_STYLE.search(value):
+            return True
         if key == "role" and value in FURNITURE_ROLES:
             return True
         if key in ("class", "id"):
@@ -74,7 +76,7 @@ def _looks_like_furniture(name: str, attrs: str) -> bool:
                 parts = _WORDS.findall(word)
                 if parts and (parts[0] in FURNITURE_WORDS or parts[-1] in FURNITURE_WORDS):
                     return True
-    return bool(_HIDDEN_STYLE.search(attrs))
+    return False
 
 
 class Token:

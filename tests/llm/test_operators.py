@@ -53,6 +53,11 @@ def test_main_text_edges(html, text):
     assert html_main_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("attrs, furniture", [('href="/hidden-valley"', 0), ('href="/p?id=comments"', 0), ("href=/p?id=comments", 0), ('title="the hidden display: none"', 0), ('data-role="search"', 0), ("hidden", 1), ('href="/a"class="nav"', 1), ("ID = comments", 1), ("role='search'", 1), ('style="display: none"', 1), ('aria-hidden="true"', 1)])
+def test_attributes_are_known_by_whole_names(attrs, furniture):
+    assert html_main_text._looks_like_furniture("a", " " + attrs) == bool(furniture)
+
+
 def test_best_region():
     assert html_main_text.best_region([1, -2, 3, -1, 2, -5, 1]) == (2, 5)
     assert html_main_text.best_region([-1, -2]) == (0, 0)
