@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 BLOOM_BITS, BLOOM_HASHES = 1 << 20, 7
 CMS_WIDTH, CMS_DEPTH = 1 << 17, 4
-#: Items above which a sketch should be started anew.
+#: Items above which a sketch should be started anew (the caller's task); a full filter is taken to hold one more.
 ROTATE_AT = 150_000
 
 
@@ -27,9 +27,10 @@ def bloom(items: DataFrame, column: str) -> DataFrame:
 
 
 def bloom_estimate(bits: DataFrame) -> DataFrame:
-    """(set_bits, estimate): how many different items made the filter."""
+    """(set_bits, estimate): how many different items made the filter; ROTATE_AT + 1 for a full one."""
     n = F.count("*")
-    return bits.agg(n.alias("set_bits"), F.round(-F.lit(BLOOM_BITS / BLOOM_HASHES) * F.log(1 - n / BLOOM_BITS), 4).alias("estimate"))
+    estimate = F.round(-F.lit(BLOOM_BITS / BLOOM_HASHES) * F.log(1 - n / BLOOM_BITS), 4)
+    return bits.agg(n.alias("set_bits"), F.when(n >= BLOOM_BITS, F.lit(float(ROTATE_AT + 1))).otherwise(estimate).alias("estimate"))
 
 
 def bloom_contains(probes: DataFrame, column: str, bits: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import fusion, graph, scoring, windows
+from spanloom.operators import fusion, graph, scoring, sketch, windows
 from spanloom.plans import planner
 from spanloom.sources import parsers
 from spanloom.streaming import live
@@ -63,6 +63,12 @@ def test_rrf_sums_reciprocal_ranks(spark):
     assert rows[0].score == round(1 / 62 + 1 / 61, 6)
 
 
+def test_a_full_filter_has_an_estimate(spark):
+    full = sketch.bloom_estimate(spark.range(sketch.BLOOM_BITS).withColumnRenamed("id", "bit")).first()
+    assert tuple(full) == (sketch.BLOOM_BITS, 150_001.0)
+    assert sketch.bloom_estimate(spark.range(0).withColumnRenamed("id", "bit")).first().estimate == 0.0
+
+
 def test_diffusion_of_nothing_stays_zero(spark):
     nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.0, 0.0)], "node string, l double, s double")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
