@@ -6,6 +6,9 @@ are revisits, which name the response and have no payload.  Spark's text sink
 writes the records: a record is a row, and the line separator is the two CRLF
 that end a WARC record, so the part files are plain WARC files of any size.
 
+Which record is a revisit is decided on ids and digests; a revisit's payload is
+dropped where it lies, and only single payloads of rows that come more than once are shuffled.
+
 Reading: Spark's text reader cuts the files at the magic ``WARC/1.0`` CRLF, in
 splits that different tasks read.  A piece between two magics is a candidate
 record; payloads may hold the magic, so not every candidate is a record.
@@ -18,18 +21,19 @@ record; payloads may hold the magic, so not every candidate is a record.
 4. Walking from the reachable entry of each split marks the true records.
    Candidates off the chain are parts of payloads; a record whose payload was cut
    is joined together from its pieces, in order.
+A chain that ends before its file does is an error (`BrokenArchive`), so no record is lost
+unsaid; only with ``strict`` off the records before the break are returned.
 
 Defined cases: null html is the empty payload; empty payloads are responses; a null page_id
 is written without an id and reads back as null, and as such never is the
 response of others (equal payloads without any id are all responses); repeated
-rows revisit the first; a file that breaks off ends the chain there and the
-unfinished record is dropped; an empty table gives no rows; extra columns are ignored.
+rows revisit the first; urls and headers may have any length, white space in a url is
+percent-encoded; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,51 +48,72 @@ REVISIT_LEAST = 100
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
 
-_LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)[ \t]*\r?$")
+# White space that may not stand in a header line, and its percent-encoding.
+_ENCODED = {"\r": "%0D", "\n": "%0A", "\t": "%09", "\x0b": "%0B", "\x0c": "%0C", " ": "%20"}
+
+
+class BrokenArchive(RuntimeError):
+    """The chain of records ends before the file does, or records are missing."""
 
 
 # ---- writing
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, bytes, first, nth): first is the response of equal payloads, null without any.
-
-    Only payloads that may come more than once are shuffled; of those a revisit's is dropped before.
-    """
+    """(page_id, url, digest, bytes, html, first): of revisits ``first`` is the response, of responses null."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes")
-    )
-    first = rows.where(F.col("bytes") >= REVISIT_LEAST).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
-    first = common.materialize(first, "first")
-    repeated = common.member(first, "d")
-    alone = rows.where(~repeated(F.col("digest"))).select("*", F.lit(None).cast("long").alias("first"), F.lit(1).alias("nth"))
-    several = rows.where(repeated(F.col("digest"))).join(first, F.col("digest") == F.col("d"), "left").drop("d")
-    several = several.withColumn("html", F.when(F.col("first").isNull() | (F.col("page_id") == F.col("first")), F.col("html")))
-    # of several rows with the response's page_id one is the response
-    copies = Window.partitionBy("digest", "page_id").orderBy("url")
-    answers = several.where("page_id = first").withColumn("nth", F.row_number().over(copies))
-    others = several.where("not (page_id <=> first) or first is null").withColumn("nth", F.lit(1))
-    return alone.unionByName(answers).unionByName(others)
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"), html.alias("html")
+    ).withColumn("k", F.xxhash64("digest", "page_id"))
+    keys = rows.drop("html")
+    big = keys.where(F.col("bytes") >= REVISIT_LEAST)
+    first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
+    # rows that revisit another, and rows of which the response has several
+    roles = big.join(first, "digest").groupBy("k", "digest", "page_id", "first").agg(F.count("*").alias("n"), F.min("url").alias("least_url")).where("not (page_id <=> first) or n > 1")
+    roles = common.materialize(roles, "roles")
+    special = common.member(roles, "k")
+    plain = rows.where(~special(F.col("k"))).select("page_id", "url", "digest", "bytes", "html", F.lit(None).cast("long").alias("first"))
+
+    others = keys.where(special(F.col("k"))).alias("x").join(roles.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.digest") == F.col("y.digest")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")), "left")
+    others = common.materialize(others.select("x.*", "first", "n", "least_url"), "others")
+    bare = ["page_id", "url", "digest", "bytes", F.lit(None).cast("string").alias("html"), "first"]
+    revisits = others.where("first is not null and not (page_id <=> first)").select(*bare)
+    # of repeated rows of a response all but one revisit it
+    again = others.where("page_id = first").groupBy("page_id", "url", "digest", "bytes", "first", "least_url").agg(F.count("*").alias("n"))
+    again = again.withColumn("n", F.col("n") - F.col("url").eqNullSafe(F.col("least_url")).cast("long")).where("n > 0")
+    again = again.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*bare)
+    # payloads of responses with repeated rows, and of rows that the filter let through
+    wanted = others.where("first is null or page_id = first").select("k", "digest", F.col("page_id").alias("of"), "first").distinct()
+    wanted = common.materialize(wanted, "wanted")
+    asked = common.member(wanted, "k")
+    held = rows.where(special(F.col("k"))).where(asked(F.col("k"))).join(wanted, ["k", "digest"]).where(F.col("page_id").eqNullSafe(F.col("of")))
+    once = held.where("first is not null").groupBy("page_id", "digest", "bytes").agg(F.min("url").alias("url"), F.first("html").alias("html"))
+    strays = held.where("first is null")
+    out = plain.unionByName(revisits).unionByName(again)
+    for part in (once, strays):
+        out = out.unionByName(part.select("page_id", "url", "digest", "bytes", "html", F.lit(None).cast("long").alias("first")))
+    return out
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Write the archive of (page_id, url, html) under ``path``."""
     rows = plan_records(pages)
-    revisit = F.col("first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("nth") > 1))
-    clean_url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
+    revisit = F.col("first").isNotNull()
+    url = F.coalesce("url", F.lit(""))
+    for raw, encoded in _ENCODED.items():
+        url = F.replace(url, F.lit(raw), F.lit(encoded))
     crlf = "\r\n"
     record = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
         F.lit(crlf + "WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">" + crlf + "WARC-Date: 1970-01-01T00:00:00Z" + crlf),
-        F.lit("WARC-Target-URI: "), clean_url,
+        F.lit("WARC-Target-URI: "), url,
         F.lit(crlf + "WARC-Payload-Digest: sha256:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit(crlf + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + crlf + "WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))).otherwise(""),
         F.lit(crlf + "Content-Type: text/html; charset=utf-8" + crlf + "Content-Length: "),
         F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")),
         F.lit(crlf + crlf),
-        F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit(""))),
+        F.coalesce("html", F.lit("")),
     )
     rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
@@ -96,19 +121,35 @@ def write_warc(pages: DataFrame, path: str) -> None:
 # ---- reading
 
 
-def _header(piece: bytes) -> tuple[int, int]:
-    """(bytes up to the payload, payload bytes) of a piece without its magic; (-1, -1) if it has no header."""
+def _header(piece: bytes) -> tuple[int, int, dict[bytes, bytes]]:
+    """(bytes up to the payload, payload bytes, fields) of a piece without its magic; (-1, -1, {}) if it has no header."""
     end = piece.find(END)
     if end < 0:
-        return -1, -1
-    found = _LENGTH.search(piece, 0, end + 2)
-    return (end + len(END), int(found[1])) if found else (-1, -1)
+        return -1, -1, {}
+    fields: dict[bytes, bytes] = {}
+    for line in piece[:end].split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    length = fields.get(b"content-length", b"")
+    return (end + len(END), int(length), fields) if length.isdigit() else (-1, -1, {})
+
+
+FIELDS = "page_id long, type string, refers_to long, stated string"
+
+
+def _fields(found: dict[bytes, bytes]) -> tuple:
+    def number(name):
+        value = found.get(name, b"").removeprefix(b"<urn:page:").removesuffix(b">")
+        return int(value) if value.removeprefix(b"-").isdigit() and abs(int(value)) < 1 << 63 else None
+
+    return number(b"warc-record-id"), found.get(b"warc-type", b"").decode("utf-8", "replace"), number(b"warc-refers-to"), found.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("utf-8", "replace")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, nth, size, next, header, digest, piece): every piece between two magics.
+    """(file, split, nth, size, next, FIELDS, bytes, digest, piece): every piece between two magics.
 
-    size counts the piece and the magic that ends it; ``next`` is where the record
+    size counts the piece and the magic before it; ``next`` is where the record
     would end, counted from its own start; ``piece`` is kept only where the record is not complete in itself.
     """
     raw = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
@@ -117,19 +158,20 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, nth = None, 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(10)]
             for file, split, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if (file, split) != place:
                     place, nth = (file, split), 0
-                head, payload = _header(piece)
+                head, payload, fields = _header(piece)
                 whole = head >= 0 and len(piece) == head + payload + len(END) and piece.endswith(END)
-                for column, x in zip(out, (nth, len(piece) + len(MAGIC), len(MAGIC) + head + payload + len(END) if head >= 0 else -1, piece[:head].decode("utf-8", "replace") if head >= 0 else None, hashlib.sha256(piece[head : head + payload]).hexdigest() if whole else None, None if whole else piece)):
+                row = nth, len(piece) + len(MAGIC), len(MAGIC) + head + payload + len(END) if head >= 0 else -1, *(_fields(fields) if whole else (None,) * 4), payload, hashlib.sha256(piece[head : head + payload]).hexdigest() if whole else None, None if whole else piece
+                for column, x in zip(out, row):
                     column.append(x)
                 nth += 1
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types)]], ["file", "split", "nth", "size", "next", "header", "digest", "piece"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types)]], ["file", "split", "nth", "size", "next", "page_id", "type", "refers_to", "stated", "bytes", "digest", "piece"])
 
-    return raw.mapInArrow(run, "file string, split long, nth long, size long, next long, header string, digest string, piece binary")
+    return raw.mapInArrow(run, f"file string, split long, nth long, size long, next long, {FIELDS}, bytes long, digest string, piece binary")
 
 
 def _exits(start: list[int], succ: list[int], end: int) -> list[int]:
@@ -140,8 +182,8 @@ def _exits(start: list[int], succ: list[int], end: int) -> list[int]:
     return [out[s] for s in start]
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(header, digest, bytes, payload) of every true record; payload only where it was cut by the magic, else null."""
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(FIELDS, digest, bytes, payload) of every true record; payload only where it was cut by the magic, else null."""
     found = common.materialize(candidates(spark, path), "candidates")
     sums = found.groupBy("file", "split").agg(F.sum("size").alias("bytes"))
     # a file has few splits: its running sums are small
@@ -189,9 +231,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     marked = placed.groupBy("file", "split").cogroup(entries.groupBy("file", "split")).applyInPandas(walk, "file string, split long, nth long, at long, succ long, real boolean")
     marked = common.materialize(marked, "marked")
-    whole = found.where("piece is null").select("file", "split", "nth", "header", "digest", "next").join(marked.where("real").select("file", "split", "nth"), ["file", "split", "nth"])
-    size = F.regexp_extract("header", r"(?i)Content-Length:[ \t]*(\d+)", 1).cast("long")
-    whole = whole.select("header", "digest", size.alias("bytes"), F.lit(None).cast("binary").alias("payload"))
+    # every chain must end where its file does
+    ends = placed.groupBy("file").agg(F.max("end").alias("end")).join(marked.where("real").groupBy("file").agg(F.max("succ").alias("upto")), "file", "left")
+    broken_off = ends.where("not (end <=> upto)").limit(3).collect() if strict else []
+    if broken_off:
+        raise BrokenArchive(f"the chain of records ends before the file does: {broken_off}")
+    kept = ["page_id", "type", "refers_to", "stated", "digest", "bytes"]
+    whole = found.where("piece is null").join(marked.where("real").select("file", "split", "nth"), ["file", "split", "nth"]).select(*kept, F.lit(None).cast("binary").alias("payload"))
 
     # records that the magic cut: a broken piece, and all candidates up to the record's end
     broken = marked.where("real").join(found.where("piece is not null").select("file", "split", "nth"), ["file", "split", "nth"])
@@ -199,20 +245,29 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     spans = broken.select("file", F.col("at").alias("start"), "succ")
     # parts are not real records themselves; the record they are in begins at the last real record before
     parts = marked.select("file", "split", "nth", "at", "real").join(spans.select("file").distinct(), "file", "left_semi")
-    last_real = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file").orderBy("at"))
-    parts = parts.withColumn("start", last_real).join(spans, ["file", "start"]).where("at < succ").select("file", "start", "succ", "at", "split", "nth")
+    # the last one in the split, or in the splits before: a file has few splits
+    carried = marked.where("real").groupBy("file", "split").agg(F.max("at").alias("last")).join(spans.select("file").distinct(), "file", "left_semi")
+    carried = bases.select("file", "split").join(carried, ["file", "split"], "left").select("file", "split", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    last_real = F.max(F.when(F.col("real"), F.col("at"))).over(Window.partitionBy("file", "split").orderBy("at"))
+    parts = parts.withColumn("here", last_real).join(carried, ["file", "split"]).withColumn("start", F.coalesce("here", "carried"))
+    parts = parts.join(spans, ["file", "start"]).where("at < succ").select("file", "start", "succ", "at", "split", "nth")
     texts = parts.join(_piece_bytes(spark, path, pieces, parts), ["file", "split", "nth"])
 
     def join(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("at")
         data = MAGIC.join(g.piece.tolist())
-        head, payload = _header(data)
+        head, payload, fields = _header(data)
         if head < 0 or len(data) < head + payload or len(MAGIC) + head + payload + len(END) != int(g.succ.iloc[0] - g.start.iloc[0]):
-            return pd.DataFrame({"header": [], "digest": [], "bytes": [], "payload": []})
-        body = data[head : head + payload]
-        return pd.DataFrame({"header": [data[:head].decode("utf-8", "replace")], "digest": [hashlib.sha256(body).hexdigest()], "bytes": [payload], "payload": [body]})
-
-    cut = texts.groupBy("file", "start").applyInPandas(join, "header string, digest string, bytes long, payload binary")
+            if strict:
+                raise BrokenArchive(f"the pieces of a record do not make it up: {g.file.iloc[0]} at {g.start.iloc[0]}")
+            rows = []
+        else:
+            body = data[head : head + payload]
+            rows = [(*_fields(fields), hashlib.sha256(body).hexdigest(), payload, body)]
+        columns = zip(*rows) if rows else [()] * 7
+        return pd.DataFrame({c: pd.Series(list(x), dtype="Int64" if c in ("page_id", "refers_to", "bytes") else object) for c, x in zip([*kept, "payload"], columns)})
+
+    cut = texts.groupBy("file", "start").applyInPandas(join, f"{FIELDS}, digest string, bytes long, payload binary")
     return whole.unionByName(cut)
 
 
@@ -240,32 +295,37 @@ def _piece_bytes(spark: SparkSession, path: str, pieces: DataFrame, parts: DataF
 
 def report(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of what `read_warc` returns."""
-
-    def field(name, pattern):
-        found = F.regexp_extract("header", rf"(?im)^{name}:[ \t]*{pattern}", 1)
-        return F.when(found != "", found)
-
-    rows = records.select(
-        field("WARC-Record-ID", r"<urn:page:(-?\d*)>").cast("long").alias("page_id"),
-        field("WARC-Type", r"(\w+)").alias("record_type"),
-        field("WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long").alias("refers_to"),
-        field("WARC-Payload-Digest", r"sha256:([0-9a-f]+)").alias("stated"),
-        F.col("bytes"),
-        "digest",
-    )
-    responses = rows.where("record_type = 'response'")
+    responses = records.where("type = 'response'")
     # the digest of a response is that of the bytes read; a mismatch with the header is an error of the archive
-    responses = responses.withColumn("digest", F.when(F.col("digest") == F.col("stated"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs from the header: page "), F.col("page_id").cast("string")))))
-    revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("stated").alias("digest"))
+    checked = F.when(F.col("digest") == F.col("stated"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs from the header: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")))))
+    responses = responses.withColumn("digest", checked)
+    revisits = records.where("type = 'revisit'").select("page_id", "type", "refers_to", F.col("stated").alias("digest"))
     asked = revisits.select(F.col("refers_to").alias("asked")).distinct()
     known = responses.join(asked, F.col("page_id") == F.col("asked"), "left_semi").select(F.col("page_id").alias("of"), F.col("digest").alias("same"), F.col("bytes"))
     known = known.groupBy("of", "same").agg(F.max("bytes").alias("bytes"))
     revisits = revisits.join(known, (F.col("refers_to") == F.col("of")) & (F.col("digest") == F.col("same")))
-    columns = ["page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
+    columns = ["page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"]
     return responses.select(*columns).unionByName(revisits.select(*columns))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
     path = common.scratch(spark, "warc")
-    write_warc(common.table(spark, sf_dir, "pages"), path)
-    return report(read_warc(spark, path))
+    write_warc(pages, path)
+    out = common.materialize(report(read_warc(spark, path)), "records")
+    common.discard(spark, path)
+    found, written = out.count(), pages.count()
+    if found != written:
+        raise BrokenArchive(f"{found} records were read back of {written}")
+    return out
+
+
+#: The same in SQL.
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= {REVISIT_LEAST} GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
