@@ -18,9 +18,10 @@
    ``answer`` must occur there.  That admits paraphrases and turns down texts that only share
    phrases with an item.
 
-The model's size is fixed by TERMS, SKETCH and LATENT.  The benchmark is gathered
-on the driver: its items are a query set; one with more than `MAX_ITEMS` items is
-taken in blocks of that many.
+The model's size is fixed by TERMS, SKETCH and LATENT; a task's share of it is summed in
+two steps, so that no group holds a row of every task.  The benchmark is gathered
+on the driver and broadcast with the model: its items are a query set; one with more
+than `MAX_ITEMS` items is taken in blocks of that many.
 
 Defined cases: a null text has no words; a null doc_id is carried through; items
 without words match nothing; an item that a document holds twice is listed once; repeated rows
@@ -33,12 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, flat
 
 PASSAGE, TERMS, SKETCH, LATENT = 64, 8_192, 256, 128
 MAX_ITEMS = 4_096
@@ -48,53 +51,51 @@ COMMON, COMMON_LEAST = 0.03, 50
 SCALES = (6, 12, 24, 48, 96, 192)
 #: Successive words that make a place a candidate without the model; a shorter item must be there whole.
 GRAM = 4
+#: Words that are summed at once while fitting, and blocks of the shortest half window that are compared at once.
+FIT_WORDS, PIECE = 1 << 20, 4_096
+#: Tasks whose sums are added in one group of the first step.
+TREE = 32
 
 # ASCII punctuation separates words, save the apostrophe and the hyphen; A-Z become a-z.
-_TABLE = bytes(32 if chr(c) in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BREAKS = "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~"
+_SPLIT = flat.SPACES.copy()
+_SPLIT[[ord(c) for c in _BREAKS]] = True
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(_TABLE).split()
+    w = split([text.encode()])
+    return [w.data[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist())]
 
 
-class _TermIds(dict):
-    """Word to feature, remembered; forgotten when it has grown too large."""
+def split(texts: list[bytes]) -> flat.Words:
+    return flat.Words([t.translate(flat.LOWER) for t in texts], _SPLIT)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word) & (TERMS - 1)
-        return found
 
-
-_term_ids = _TermIds()
-
-
-def term_ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_term_ids.__getitem__, words), np.int64, len(words))
+def term_ids(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(TERMS - 1)).astype(np.int64)
 
 
 # ---- the model
 
 
 def _reduced(docs: DataFrame, per_task) -> dict[int, np.ndarray]:
-    """Sum, over all tasks, the float32 rows {key: vector} that ``per_task(texts)`` returns."""
+    """Sum, over all tasks, the float32 rows {key: vector} that ``per_task(batches of texts)`` returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = per_task(t for batch in batches for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in rows.values()], pa.binary())], ["key", "row"])
-
-    def add(group):
-        import pandas as pd
+        part = TaskContext.get().partitionId() // TREE
+        rows = per_task(batch.column(0).to_pylist() for batch in batches)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in rows.values()], pa.binary())], ["key", "part", "row"])
 
+    def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(group.row.iloc[0]) // 4, np.float64)
         for row in group.row:
             total += np.frombuffer(row, np.float32)
         return pd.DataFrame({"key": group.key.iloc[:1], "row": [total.astype(np.float32).tobytes()]})
 
-    parts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "key int, row binary")
-    found = parts.groupBy("key").applyInPandas(add, "key int, row binary").collect()  # as many rows as the model has
-    return {r.key: np.frombuffer(r.row, np.float32) for r in found}
+    parts = docs.select(common.utf8("text").alias("text")).mapInArrow(run, "key int, part int, row binary")
+    for keys in (["key", "part"], ["key"]):
+        parts = parts.groupBy(*keys).applyInPandas(add, "key int, row binary")
+    return {r.key: np.frombuffer(r.row, np.float32) for r in parts.collect()}  # as many rows as the model has
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +105,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     words that all passages share do not drown the others.
     """
 
-    def per_task(texts):
+    def per_task(batches):
         df = np.zeros(TERMS + 1)
         sketch = np.zeros(SKETCH * TERMS)
 
@@ -112,24 +113,29 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             ids, passage = np.concatenate(ids), np.concatenate(passage)
             row, sign = np.concatenate(row), np.concatenate(sign)
             np.add(sketch, np.bincount(row[passage] * TERMS + ids, weights=sign[passage], minlength=SKETCH * TERMS), out=sketch)
-            once = np.unique(passage * TERMS + ids)
+            once = np.sort(passage * TERMS + ids)
+            once = once[np.append(True, once[1:] != once[:-1])]
             df[:TERMS] += np.bincount(once & (TERMS - 1), minlength=TERMS)
             df[TERMS] += len(row)
 
         held: list[list] = [[], [], [], []]
         words = passages = 0
-        for text in texts:
-            ids = term_ids(words_of(text))
-            if not len(ids):
+        for texts in batches:
+            w = split(texts)
+            n = -(-w.counts // PASSAGE)
+            total = int(n.sum())
+            if not total:
                 continue
-            n = -(-len(ids) // PASSAGE)
-            key = np.uint64(xxhash.xxh3_64_intdigest(text) >> 1)
-            draw = ((np.arange(n, dtype=np.uint64) + key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            new = ids, passages + np.arange(len(ids)) // PASSAGE, (draw % np.uint64(SKETCH)).astype(np.int64), np.where((draw >> np.uint64(12)) & np.uint64(1), 1.0, -1.0)
+            begin = np.cumsum(n) - n
+            passage = np.repeat(begin, w.counts) + (np.arange(len(w.starts)) - np.repeat(w.first[:-1], w.counts)) // PASSAGE
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(t) >> 1 for t in texts), np.uint64, len(texts))
+            draw = np.repeat(keys, n) + (np.arange(total) - np.repeat(begin, n)).astype(np.uint64)
+            draw = (draw * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            new = term_ids(w.hashes()), passages + passage, (draw % np.uint64(SKETCH)).astype(np.int64), np.where((draw >> np.uint64(12)) & np.uint64(1), 1.0, -1.0)
             for column, x in zip(held, new):
                 column.append(x)
-            words, passages = words + len(ids), passages + n
-            if words > 500_000:
+            words, passages = words + len(w.starts), passages + total
+            if words > FIT_WORDS:
                 take(*held)
                 held, words, passages = [[], [], [], []], 0, 0
         if words:
@@ -171,7 +177,7 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` <= GRAM successive term ids from every place, as one number each."""
     out = ids[: max(0, len(ids) - n + 1)].copy()
     for i in range(1, n):
-        out = out * TERMS + ids[i : len(ids) - n + 1 + i]
+        out = out * (TERMS + 1) + ids[i : len(ids) - n + 1 + i]
     return out
 
 
@@ -189,46 +195,63 @@ class Items:
         # per length of gram: gram to (item, its place there), and a small table that most other grams fail
         self.grams: dict[int, tuple[dict, np.ndarray]] = {}
         for item_id, text in items:
-            words = words_of(text)
-            if not words:
+            words = split([text.encode()]).hashes()
+            if not len(words):
                 continue
             ids = term_ids(words)
             scale = max([s for s in SCALES if s <= len(words)], default=SCALES[0])
             order = np.argsort(-idf[ids], kind="stable")
-            telling = frozenset(words[i] for i in order[: max(1, len(words) // 4)])
-            by_scale.setdefault(scale, []).append((item_id, words, telling, self.weighted[ids].sum(axis=0)))
+            telling = frozenset(words[order[: max(1, len(words) // 4)]].tolist())
+            item = item_id, words.tolist(), telling
+            by_scale.setdefault(scale, []).append((item, self.weighted[ids].sum(axis=0)))
             n = min(GRAM, len(words))
             at, may = self.grams.setdefault(n, ({}, np.zeros(1 << 20, bool)))
             found = grams(ids, n)
             may[_slot(found)] = True
             for i, gram in enumerate(found.tolist()):
-                at.setdefault(gram, []).append(((item_id, words, telling), i))
+                at.setdefault(gram, []).append((item, i))
         self.groups: dict[int, tuple[list, np.ndarray]] = {}
         for scale, found in sorted(by_scale.items()):
-            vectors = np.array([f[3] for f in found], np.float32)
+            vectors = np.array([v for _, v in found], np.float32)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            self.groups[scale] = [f[:3] for f in found], np.ascontiguousarray(vectors.T)
+            self.groups[scale] = [item for item, _ in found], np.ascontiguousarray(vectors.T)
         self.step = min(self.groups, default=SCALES[0]) // 2
-
-    def matches(self, text: str, cosine: float, least: float, answer: float) -> list[tuple[int, float]]:
-        """(item_id, share of the item's words in the common subsequence), best per item."""
-        words = words_of(text)
-        if not words or not self.groups:
-            return []
-        step, piece = self.step, self.step * 2_048
-        best: dict[int, float] = {}
-
-        def verify(item_id, item, telling, start, length):
-            if best.get(item_id, 0.0) >= 1.0:
+        self.longest = max(self.groups, default=SCALES[0])
+
+    def matches(self, texts: list[bytes], cosine: float, least: float, answer: float) -> list[list[tuple[int, float]]]:
+        """For every text (item_id, share of the item's words in the common subsequence), best per item."""
+        words = split(texts)
+        best: list[dict[int, float]] = [{} for _ in texts]
+        if not self.groups or not len(words.starts):
+            return [[] for _ in texts]
+        hashes, counts = words.hashes(), words.counts
+        # all texts in one row of terms, with gaps that no window bridges
+        room = -(-counts // self.step) * self.step + self.longest
+        begin = np.cumsum(room) - room
+        terms = np.full(int(room.sum()), TERMS)
+        terms[np.repeat(begin - words.first[:-1], counts) + np.arange(len(hashes))] = term_ids(hashes)
+
+        def verify(item, at: int, length: int) -> None:
+            """``at``: the window's place in the row of terms; a window in a gap belongs to the text after it."""
+            t = int(np.searchsorted(begin, at, "right")) - 1
+            if t < 0 or at - begin[t] >= counts[t]:
+                t += 1
+                if t == len(texts) or at + length <= begin[t]:
+                    return
+            item_id, held, telling = item
+            if best[t].get(item_id, 0.0) >= 1.0:
                 return
-            around = words[max(0, start - len(item)) : start + length + len(item)]
+            start, low, high = int(at - begin[t]), int(words.first[t]), int(words.first[t + 1])
+            around = hashes[low + max(0, start - len(held)) : min(high, low + start + length + len(held))].tolist()
             if len(telling.intersection(around)) >= answer * len(telling):
-                share = lcs_length(item, around) / len(item)
-                if share >= least and share > best.get(item_id, 0.0):
-                    best[item_id] = share
-
-        for low in range(0, len(words), piece):  # long texts in pieces that overlap by the longest window
-            part = term_ids(words[low : low + piece + SCALES[-1]])
+                share = lcs_length(held, around) / len(held)
+                if share >= least and share > best[t].get(item_id, 0.0):
+                    best[t][item_id] = share
+
+        step = self.step
+        piece = step * PIECE
+        for low in range(0, len(terms), piece):  # pieces overlap by the longest window
+            part = terms[low : low + piece + self.longest]
             for n, (held, may) in self.grams.items():
                 found = grams(part, n)
                 seen = set()  # the grams of one copy all say where the item begins
@@ -236,13 +259,12 @@ class Items:
                     for item, i in held.get(int(found[at]), ()):
                         if (item[0], at - i) not in seen:
                             seen.add((item[0], at - i))
-                            verify(*item, low + at - i, len(item[1]))
-            padded = np.full(-(-len(part) // step) * step, len(self.weighted) - 1)
-            padded[: len(part)] = part
-            padded = padded.reshape(-1, step)
-            sums = self.weighted[padded[:, 0]]
+                            verify(item, low + at - i, len(item[1]))
+            blocks = np.full((-(-len(part) // step), step), TERMS)
+            blocks.ravel()[: len(part)] = part
+            sums = self.weighted[blocks[:, 0]]
             for i in range(1, step):
-                sums += self.weighted[padded[:, i]]
+                sums += self.weighted[blocks[:, i]]
             width = step
             for scale, (held, vectors) in self.groups.items():
                 # block sums of half a window; two of them are a window
@@ -255,8 +277,8 @@ class Items:
                 near = w @ vectors
                 hits = np.nonzero(near >= cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None])
                 for at, i in zip(*(h.tolist() for h in hits)):
-                    verify(*held[i], low + at * width, scale)
-        return sorted(best.items())
+                    verify(held[i], low + at * width, scale)
+        return [sorted(b.items()) for b in best]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: float = 0.6, answer: float = 0.5) -> DataFrame:
@@ -269,7 +291,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(t) for t in batch.column(1).to_pylist()]
+            found = find(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -280,19 +302,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, le
                 ["doc_id", "item_ids", "overlap", "contaminated"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, item_ids array<long>, overlap double, contaminated boolean")
 
 
 def matcher(docs: DataFrame, benchmark: DataFrame, cosine: float, least: float, answer: float):
-    """Fit the model on ``docs`` and return text -> matches."""
+    """Fit the model on ``docs`` and return texts -> matches of each."""
     common.arrow_rows(docs.sparkSession)
     items = [(r.item_id, r.text) for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().collect()]
     idf, latent = fit(docs)
-    blocks = [Items(items[i : i + MAX_ITEMS], idf, latent) for i in range(0, len(items), MAX_ITEMS)]
+    # the model has a fixed size, and a block holds MAX_ITEMS items at most
+    blocks = [docs.sparkSession.sparkContext.broadcast(Items(items[i : i + MAX_ITEMS], idf, latent)) for i in range(0, len(items), MAX_ITEMS)]
 
-    def find(text: str) -> list[tuple[int, float]]:
-        return sorted(m for block in blocks for m in block.matches(text, cosine, least, answer))
+    def find(texts: list[bytes]) -> list[list[tuple[int, float]]]:
+        found = [block.value.matches(texts, cosine, least, answer) for block in blocks]
+        return [sorted(m for matches in of_text for m in matches) for of_text in zip(*found)] if found else [[] for _ in texts]
 
     return find
 
@@ -302,10 +326,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float =
     find = matcher(docs, benchmark, cosine, least, answer)
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: not find(t)).astype(bool)
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not found for found in find(texts.tolist())], dtype=bool)
 
-    return docs.where(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.where(clean(common.utf8("text")))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
