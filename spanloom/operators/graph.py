@@ -16,6 +16,39 @@ def sequence_edges(units: DataFrame, group: str, position: str, node: str, reach
     return left.join(right, ["g", "p"]).where("src <> dst").groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
+#: Weights of the rules by which units of a source are neighbours.
+RULES = {"chunk": 1.0, "row": 0.8, "page": 0.6, "section": 0.5, "explicit": 1.0}
+
+
+def rule_edges(units: DataFrame, node: str = "node", source: str = "source") -> DataFrame:
+    """(src, dst, w) of units with any of the columns chunk, row, page, section and explicit (an array of nodes).
+
+    Successive chunks and rows, units of one page or section, and those named are
+    neighbours; the heaviest rule counts.  As a node keeps MOST_EDGES edges, each
+    needs only the first MOST_EDGES + 1 nodes of its page and section, so groups are not
+    joined with themselves.
+    """
+    parts = []
+    for rule in ("chunk", "row"):
+        if rule in units.columns:
+            steps = sequence_edges(units.where(F.col(rule).isNotNull()), source, rule, node)
+            parts.append(steps.select("src", "dst", F.lit(RULES[rule]).alias("w")))
+    for rule in ("page", "section"):
+        if rule in units.columns:
+            held = units.where(F.col(rule).isNotNull()).select(F.col(source).alias("g"), F.col(rule).alias("p"), F.col(node).alias("n"))
+            nth = F.row_number().over(Window.partitionBy("g", "p").orderBy("n"))
+            first = held.withColumn("nth", nth).where(F.col("nth") <= MOST_EDGES + 1).select("g", "p", F.col("n").alias("dst"))
+            parts.append(held.withColumnRenamed("n", "src").join(first, ["g", "p"]).where("src <> dst").select("src", "dst", F.lit(RULES[rule]).alias("w")))
+    if "explicit" in units.columns:
+        named = units.select(F.col(node).alias("src"), F.col(source).alias("g"), F.explode("explicit").alias("dst"))
+        known = units.select(F.col(source).alias("g"), F.col(node).alias("dst"))
+        parts.append(named.join(known, ["g", "dst"], "left_semi").where("src <> dst").select("src", "dst", F.lit(RULES["explicit"]).alias("w")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union.groupBy("src", "dst").agg(F.max("w").alias("w"))
+
+
 def normalized(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """The heaviest edges of each node, weights summing to one."""
     kept = edges.withColumn("__r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("__r") <= most).drop("__r")

@@ -21,7 +21,7 @@ def bm25(units: DataFrame, queries: DataFrame, unit: str = "window_id") -> DataF
     ``queries``: (query_id, term, times), small: it is broadcast only if Spark's size
     check allows.  Only tokens that some query asks for are exploded.
     """
-    tokens = units.select(unit, tx.without_stop_words(tx.ascii_tokens(F.col("text"))).alias("tokens"))
+    tokens = units.select(unit, tx.content_tokens(F.col("text")).alias("tokens"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
     terms = queries.select("term").distinct()
     tf = tokens.select(unit, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term").groupBy(unit, "dl", "term").agg(F.count("*").alias("tf"))
@@ -32,6 +32,35 @@ def bm25(units: DataFrame, queries: DataFrame, unit: str = "window_id") -> DataF
     return joined.groupBy("query_id", unit).agg(F.sum(part * F.col("times")).alias("score")).where("score > 0")
 
 
+def bm25_literal(units: DataFrame, queries: dict[int, str], unit: str = "window_id") -> DataFrame:
+    """The same for queries that are known when the plan is made: two scans, and no shuffle.
+
+    The first scan sums lengths and document frequencies to one row; the second scores
+    the units that hold a term.
+    """
+    spark = units.sparkSession
+    asked = {i: tx.query_terms(q) for i, q in queries.items()}
+    terms = sorted({t for q in asked.values() for t in q})
+    if not terms:
+        return units.select(F.lit(0).cast("long").alias("query_id"), unit, F.lit(0.0).alias("score")).limit(0)
+    lowered = units.select(unit, F.lower("text").alias("low"))
+
+    def tf(t: str) -> Column:
+        return F.when(F.contains("low", F.lit(t)), F.regexp_count("low", F.lit(rf"(?<![a-z0-9]){t}(?![a-z0-9])"))).otherwise(0)
+
+    stats = lowered.agg(F.count("*").alias("n"), F.avg(tx.content_count(F.col("low"))).alias("avgdl"), *[F.sum((tf(t) > 0).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)])  # one row
+    held = lowered.where(F.col("low").rlike(rf"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])"))
+    held = held.select(unit, tx.content_count(F.col("low")).alias("dl"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+
+    def part(t: str) -> Column:
+        i = terms.index(t)
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    scores = [F.struct(F.lit(i).cast("long").alias("query_id"), sum((part(t) for t in q), F.lit(0.0)).alias("score")) for i, q in asked.items()]
+    return held.join(F.broadcast(stats)).select(unit, F.explode(F.array(*scores)).alias("x")).select("x.query_id", unit, "x.score").where("score > 0")
+
+
 def top_k(hits: DataFrame, k: int, unit: str = "window_id", score: str = "score") -> DataFrame:
     """Rank by the score rounded to six places, ties by the unit's id, within each query."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), unit)
@@ -111,10 +140,35 @@ def hashed_vectors(units: DataFrame, unit: str, dim: int = BUCKETS) -> DataFrame
     return sums.withColumn("w", F.col("w") / norm)
 
 
-def semantic_scores(units: DataFrame, query: DataFrame, unit: str) -> DataFrame:
-    """(unit, score): cosine of hashed vectors, not below 0; ``query`` has one row (query_id, text)."""
-    q = hashed_vectors(query, "query_id").withColumnRenamed("w", "qw")  # at most BUCKETS rows
-    return hashed_vectors(units, unit).join(F.broadcast(q), "bucket").groupBy("query_id", unit).agg(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("qw"))).alias("score"))
+def _bucketed(features: Column, weight: float, dim: int) -> Column:
+    bucket = lambda f: (F.conv(F.substring(F.md5(f), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    return F.transform(features, lambda f: F.struct(bucket(f).alias("b"), F.lit(weight).alias("w")))
+
+
+def semantic_scores(units: DataFrame, query: DataFrame, unit: str, dim: int = BUCKETS) -> DataFrame:
+    """(query_id, unit, score): cosine of hashed vectors, not below 0; ``query`` has one row (query_id, text).
+
+    Each unit's features are summed by bucket, normalised and met with the query inside
+    its row, so nothing is shuffled.  Units with a cosine of 0 are left out.
+    """
+    q = hashed_vectors(query, "query_id", dim).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("q"))  # one row
+    t = with_features(units, unit)
+    weighted = F.array_sort(F.concat(_bucketed(F.array_distinct("t"), tx.UNIGRAM_WEIGHT, dim), _bucketed(F.array_distinct(tx.pairs(F.col("t"))), tx.BIGRAM_WEIGHT, dim)))
+    rows = t.select(unit, weighted.alias("x")).join(F.broadcast(q))
+    start = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq"))
+
+    def close(a: Column, b: Column, run: Column) -> Column:
+        """The finished bucket goes to the sums, and a new one begins."""
+        done = a["run"]
+        return F.struct(b.alias("b"), run.alias("run"), (a["dot"] + done * F.coalesce(F.try_element_at("q", a["b"]), F.lit(0.0))).alias("dot"), (a["sq"] + done * done).alias("sq"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.struct(a["b"].alias("b"), (a["run"] + x["w"]).alias("run"), a["dot"].alias("dot"), a["sq"].alias("sq"))
+        return F.when(a["b"] == x["b"], same).otherwise(close(a, x["b"], x["w"]))
+
+    sums = rows.select("query_id", unit, F.aggregate("x", start, step, lambda a: close(a, F.lit(-1), F.lit(0.0))).alias("s"))
+    score = F.when(F.col("s.sq") > 0, F.col("s.dot") / F.sqrt("s.sq")).otherwise(0.0)
+    return sums.select("query_id", unit, F.greatest(F.lit(0.0), score).alias("score")).where("score > 0")
 
 
 def phrase_hits(units: DataFrame, query: str, unit: str = "window_id") -> DataFrame:

@@ -47,17 +47,25 @@ def with_neighbors(windows: DataFrame, source: str = "doc_id") -> DataFrame:
     return windows.withColumns({"prev_id": F.lag("window_id").over(order), "next_id": F.lead("window_id").over(order)})
 
 
+def _total(strings):
+    return F.aggregate(F.transform(strings, F.length), F.lit(0), lambda a, x: a + x)
+
+
 def token_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Chunks of ``size`` words that overlap; the text is the slice of the original."""
     step = size - overlap if overlap < size else max(1, size // 2)
     words = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(r"\s+"), F.lit(0)).alias("gaps")).withColumn("n", F.size("w")).where("n > 0")
     lead = F.when(F.col("text").rlike(r"^\s"), 1).otherwise(0)  # gaps before the first word
     starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)), lambda s: (s == 0) | (s - step + size < F.col("n")))
-    flat = words.withColumn("lead", lead).select("doc_id", "text", "w", "gaps", "lead", "n", F.posexplode(starts).alias("chunk", "first"))
-    total = lambda arr: F.aggregate(F.transform(arr, F.length), F.lit(0), lambda a, x: a + x)
+    # what stands before each chunk: sums of the steps between chunks, each word taken once
+    words = words.withColumn("lead", lead).withColumn("starts", starts)
+    steps = F.transform("starts", lambda s: F.when(s == 0, _total(F.slice("gaps", 1, F.col("lead")))).otherwise(_total(F.slice("w", s - step + 1, step)) + _total(F.slice("gaps", s - step + F.col("lead") + 1, step))))
+    words = words.withColumn("steps", steps)
+    offsets = F.aggregate("steps", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+    flat = words.withColumn("offsets", offsets).select("doc_id", "text", "w", "gaps", "lead", "n", "offsets", F.posexplode("starts").alias("chunk", "first"))
     last = F.least(F.col("first") + size, F.col("n"))
-    start = total(F.slice("w", 1, F.col("first"))) + total(F.slice("gaps", 1, F.col("first") + F.col("lead")))
-    length = total(F.slice("w", F.col("first") + 1, last - F.col("first"))) + total(F.slice("gaps", F.col("first") + F.col("lead") + 1, last - F.col("first") - 1))
+    start = F.element_at("offsets", F.col("chunk") + 1)
+    length = _total(F.slice("w", F.col("first") + 1, last - F.col("first"))) + _total(F.slice("gaps", F.col("first") + F.col("lead") + 1, last - F.col("first") - 1))
     placed = flat.withColumns({"start": start.cast("long"), "len": length}).withColumn("end", F.col("start") + F.col("len"))
     return placed.select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":0:0:"), F.col("chunk").cast("string")).alias("chunk_id"),

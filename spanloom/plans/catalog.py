@@ -1,7 +1,7 @@
 """Registered queries over sources, corpora, evaluation, sketches and formats.
 
 The TPC-H-like tables stand in for the catalogue: a customer for a corpus, an order
-for a source (its date plus 90 days for its expiry), a line item for a stored document.
+for a source (its date plus 400 days for its expiry), a line item for a stored document.
 """
 
 from __future__ import annotations
@@ -92,11 +92,11 @@ CORPUS_HASH = "SELECT conv_id, sha256(string_agg(turn || '|' || role || '|' || t
 def quota_window(s, d):
     """Requests and value of each user in the 60 seconds up to each event (what admission is judged by)."""
     e = table(s, d, "events").withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-3_600_000_000, 0)
+    w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-60_000_000, 0)
     return e.select("event_id", F.count("*").over(w).alias("requests"), F.round(F.sum("value").over(w), 4).alias("used"))
 
 
-QUOTA_WINDOW = "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS used FROM (SELECT *, epoch_us(ts) AS sec FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)"
+QUOTA_WINDOW = "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS used FROM (SELECT *, epoch_us(ts) AS sec FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)"
 
 
 def ingest_progress(s, d):
@@ -148,7 +148,7 @@ p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS wo
 # ---- evaluation: the labels stand in for judgements, the windows' documents are the results
 
 
-def _judged(s, d):
+def judged(s, d):
     hits = bm25_batch(s, d).withColumn("doc_id", F.split("window_id", ":")[1].cast("long"))
     good = table(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
     return hits.join(good, "doc_id", "left").withColumn("gain", F.coalesce("good", F.lit(False)).cast("int"))
@@ -158,19 +158,20 @@ JUDGED = f"hits AS ({BM25_BATCH}), jd AS (SELECT hits.*, CAST(split_part(window_
 
 
 def eval_mrr_ndcg(s, d):
-    j = _judged(s, d)
-    ideal = F.lit(sum(1 / math.log2(i + 1) for i in range(1, 11)))
+    j = judged(s, d)
+    # as many good documents as there are, ten at most, in the first places
+    good = table(s, d, "labels").where("quality = 1").agg(F.count_distinct("doc_id").alias("good")).select(sum(F.when(F.col("good") >= i, 1 / math.log2(i + 1)).otherwise(0.0) for i in range(1, 11)).alias("ideal"))
     return j.groupBy("query_id").agg(
         F.round(F.coalesce(1.0 / F.min(F.when(F.col("gain") == 1, F.col("rank"))), F.lit(0.0)), 6).alias("mrr"),
-        F.round(F.sum(F.when(F.col("rank") <= 10, F.col("gain") / F.log2(F.col("rank") + 1)).otherwise(0.0)) / ideal, 6).alias("ndcg"),
-    )
+        F.sum(F.when(F.col("rank") <= 10, F.col("gain") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("gained"),
+    ).join(F.broadcast(good)).select("query_id", "mrr", F.round(F.col("gained") / F.col("ideal"), 6).alias("ndcg"))
 
 
-EVAL_MRR_NDCG = f"WITH {JUDGED} SELECT query_id, round(coalesce(1.0 / min(CASE WHEN gain = 1 THEN rank END), 0), 6)::DOUBLE AS mrr, round(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i)), 6) AS ndcg FROM jd GROUP BY query_id"
+EVAL_MRR_NDCG = f"WITH {JUDGED} SELECT query_id, round(coalesce(1.0 / min(CASE WHEN gain = 1 THEN rank END), 0), 6)::DOUBLE AS mrr, round(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1)), 6) AS ndcg FROM jd GROUP BY query_id"
 
 
 def eval_recall(s, d):
-    return _judged(s, d).groupBy("query_id").agg(F.count("*").alias("returned"), F.sum("gain").cast("long").alias("good"), F.round(F.avg("gain"), 6).alias("precision"), F.max(F.when(F.col("rank") <= 5, F.col("gain")).otherwise(0)).cast("long").alias("hit_at_5"))
+    return judged(s, d).groupBy("query_id").agg(F.count("*").alias("returned"), F.sum("gain").cast("long").alias("good"), F.round(F.avg("gain"), 6).alias("precision"), F.max(F.when(F.col("rank") <= 5, F.col("gain")).otherwise(0)).cast("long").alias("hit_at_5"))
 
 
 EVAL_RECALL = f"WITH {JUDGED} SELECT query_id, count(*) AS returned, CAST(sum(gain) AS BIGINT) AS good, round(avg(gain), 6) AS precision, CAST(max(CASE WHEN rank <= 5 THEN gain ELSE 0 END) AS BIGINT) AS hit_at_5 FROM jd GROUP BY query_id"
@@ -208,17 +209,32 @@ def mutate_corpus(s, d):
 MUTATE_CORPUS = "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0 AND quality = 0) THEN 'patched' ELSE md5(text) END AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT item_id + 1000000000, md5(text) FROM benchmark"
 
 
+def word_buckets(s, d):
+    """(id, feature, w): how often a document has words of each bucket."""
+    counted = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(tx.ascii_tokens(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    return counted.groupBy("id", (sketch.word(F.col("word"), 1) % 64).alias("feature")).agg(F.sum("n").cast("double").alias("w"))
+
+
+def teachers(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("t"))
+
+
+DIMENSIONS = 64
+
+
 def distill_projection(s, d):
-    """Per (word bucket, dimension): sum of weight * teacher over sum of squared weights and a ridge."""
-    words = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(tx.ascii_tokens(F.col("text"))).alias("word"))
-    w = words.select("id", (sketch._word(F.col("word"), 1) % 64).alias("feature")).groupBy("id", "feature").agg(F.count("*").cast("double").alias("w"))
-    teacher = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "t"))
-    both = w.join(teacher, "id").groupBy("feature", "dim").agg(F.sum(F.col("w") * F.col("t").cast("double")).alias("num"))
-    norm = w.join(teacher.select("id").distinct(), "id", "left_semi").groupBy("feature").agg(F.sum(F.col("w") * F.col("w")).alias("den"))
-    return both.join(norm, "feature").select("feature", F.col("dim").cast("long").alias("dim"), F.round(F.col("num") / (F.col("den") + 1.0), 6).alias("v")).where("abs(v) > 1e-8")
+    """Per (word bucket, dimension): sum of weight * teacher over sum of squared weights and a ridge.
 
+    The dimensions are columns of one aggregation, not rows.
+    """
+    both = word_buckets(s, d).join(teachers(s, d), "id")
+    sums = both.groupBy("feature").agg(F.sum(F.col("w") * F.col("w")).alias("den"), *[F.sum(F.col("w") * F.get("t", F.lit(i))).alias(f"s{i}") for i in range(DIMENSIONS)])
+    flat = sums.select("feature", "den", F.posexplode(F.array(*[f"s{i}" for i in range(DIMENSIONS)])).alias("dim", "num")).where("num is not null")
+    return flat.select("feature", F.col("dim").cast("long").alias("dim"), F.round(F.col("num") / (F.col("den") + 1.0), 6).alias("v")).where("abs(v) > 1e-8")
 
-DISTILL_PROJECTION = f"""WITH {WORDS.replace('SELECT unnest', 'SELECT doc_id AS id, unnest')}, w AS (SELECT id, {md5_word('word', 1)} % 64 AS feature, count(*)::DOUBLE AS w FROM ws GROUP BY ALL), t AS (SELECT vec_id AS id, unnest(range(8)) AS dim, unnest(embedding[1:8])::DOUBLE AS t FROM embeddings),
+
+DISTILL_PARTS = f"""{WORDS.replace('SELECT unnest', 'SELECT doc_id AS id, unnest')}, w AS (SELECT id, {md5_word('word', 1)} % 64 AS feature, count(*)::DOUBLE AS w FROM ws GROUP BY ALL), t AS (SELECT vec_id AS id, unnest(range({DIMENSIONS})) AS dim, unnest(embedding)::DOUBLE AS t FROM embeddings)"""
+DISTILL_PROJECTION = f"""WITH {DISTILL_PARTS},
 n AS (SELECT feature, dim, sum(w * t) AS num FROM w JOIN t USING (id) GROUP BY ALL), dn AS (SELECT feature, sum(w * w) AS den FROM w WHERE id IN (SELECT id FROM t) GROUP BY ALL) SELECT feature, dim, round(num / (den + 1.0), 6) AS v FROM n JOIN dn USING (feature) WHERE abs(round(num / (den + 1.0), 6)) > 1e-8"""
 
 
@@ -277,8 +293,18 @@ def html_to_text(s, d):
     return table(s, d, "pages").select("page_id", F.md5(parsers.html_text(F.col("html"))).alias("text_md5"))
 
 
-HTML_TO_TEXT = """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages)
-SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda x: trim(regexp_replace(x, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), lambda x: length(x) > 0), ' ')) AS text_md5 FROM a"""
+# references that the pages have, the ampersand last
+REFERENCES = {"&copy;": 169, "&middot;": 183, "&nbsp;": 160, "&quot;": 34, "&#39;": 39, "&lt;": 60, "&gt;": 62, "&amp;": 38}
+
+
+def decoded_sql(x: str) -> str:
+    for reference, code in REFERENCES.items():
+        x = f"replace({x}, '{reference}', chr({code}))"
+    return x
+
+
+HTML_TO_TEXT = f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages)
+SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda x: regexp_replace({decoded_sql('x')}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')), lambda x: length(x) > 0), ' ')) AS text_md5 FROM a"""
 
 
 def ndjson_records(s, d):

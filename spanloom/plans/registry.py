@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import catalog, retrieval
+from spanloom.plans import catalog, evaluation, retrieval, service
 
-QUERIES = retrieval.QUERIES | catalog.QUERIES
+QUERIES = retrieval.QUERIES | catalog.QUERIES | service.QUERIES | evaluation.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions import text as tx
-from spanloom.operators import fusion, graph, scoring, windows
-from spanloom.plans import planner
+from spanloom.operators import fusion, graph, scoring, search, windows
+from spanloom.plans import cache, planner
 
 Q = "anes oner edst thou"
 BATCH = {1: "anes oner edst thou", 2: "reer edha thre", 3: "ensch enie nicht nicht"}
@@ -113,7 +113,7 @@ CHUNK_ADJACENCY = f"WITH {CHUNK_CTE} SELECT chunk_id, lag(chunk_id) OVER (PARTIT
 
 def _tokens(kind):
     def run(s, d):
-        t = {"ascii": tx.ascii_tokens, "stopped": lambda c: tx.without_stop_words(tx.ascii_tokens(c)), "unicode": tx.unicode_tokens, "alias": lambda c: tx.canonical(tx.unicode_tokens(c))}[kind](F.col("text"))
+        t = {"ascii": tx.ascii_tokens, "stopped": tx.content_tokens, "unicode": tx.unicode_tokens, "alias": lambda c: tx.canonical(tx.unicode_tokens(c))}[kind](F.col("text"))
         return docs(s, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
     return run
@@ -137,28 +137,28 @@ SELECT event_id, array_to_string(list_concat(list_concat(CASE WHEN list_has_any(
 
 
 def term_freq(s, d):
-    return docs(s, d).select("doc_id", F.explode(tx.without_stop_words(tx.ascii_tokens(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return docs(s, d).select("doc_id", F.explode(tx.content_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 TERM_FREQ = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({stopped('text')}) AS term FROM documents) GROUP BY ALL"
 
 
 def doc_freq(s, d):
-    return docs(s, d).select(F.explode(F.array_distinct(tx.without_stop_words(tx.ascii_tokens(F.col("text"))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs(s, d).select(F.explode(F.array_distinct(tx.content_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 DOC_FREQ = f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({stopped('text')})) AS term FROM documents) GROUP BY ALL"
 
 
 def bm25_topk(s, d):
-    return scoring.top_k(scoring.bm25(wins(s, d), scoring.query_table(s, {1: Q})), 10).select("window_id", "score", "rank")
+    return scoring.top_k(scoring.bm25_literal(wins(s, d), {1: Q}), 10).select("window_id", "score", "rank")
 
 
 BM25_TOPK = f"WITH {WIN}, {bm25_sql({1: Q}, 'win', 'window_id')} SELECT window_id, score, rank FROM ({top_sql('bm', 'window_id', 10)})"
 
 
 def bm25_batch(s, d):
-    return scoring.top_k(scoring.bm25(wins(s, d), scoring.query_table(s, BATCH)), 20).select("query_id", "window_id", "score", "rank")
+    return scoring.top_k(scoring.bm25_literal(wins(s, d), BATCH), 20).select("query_id", "window_id", "score", "rank")
 
 
 BM25_BATCH = f"WITH {WIN}, {bm25_sql(BATCH, 'win', 'window_id')} {top_sql('bm', 'window_id', 20)}"
@@ -240,7 +240,7 @@ sc AS (SELECT query_id, doc_id, greatest(0, sum(dv.w * qv.w)) AS score FROM dv J
 
 def mrl_truncate_topk(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id = 0").select(F.col("v").alias("q"))
+    q = e.where("vec_id = 0").select(F.col("v").alias("q")).limit(1)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     scored = e.join(F.broadcast(q)).withColumn("score", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6))
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 50").select("vec_id", "score", "rank")
@@ -270,70 +270,69 @@ m AS (SELECT *, CASE budget WHEN 'thorough' THEN least(n, 2 * c0) WHEN 'fast' TH
 SELECT budget, CAST(k AS BIGINT) AS top_k, CASE t WHEN 0 THEN 'tiny' WHEN 1 THEN 'medium' ELSE 'huge' END AS tier, CAST(scan AS BIGINT) AS scan, CAST(c AS BIGINT) AS candidates, CAST(CASE budget WHEN 'thorough' THEN least(c, floor(1.5 * r0)) WHEN 'fast' THEN least(c, greatest(3 * k, r0 // 2)) ELSE r0 END AS BIGINT) AS rerank, n > scan AS partial FROM m"""
 
 
-def _channels(s, d):
-    """(window_id, text, exact, semantic, structure, total) of windows with any score; semantic cosine by window."""
-    w = windows.with_neighbors(windows.line_windows(docs(s, d)))
-    q = s.createDataFrame([(1, Q)], "query_id long, text string")
-    sem = scoring.semantic_scores(w.select("window_id", "text"), q, "window_id").select("window_id", F.col("score").alias("sem"))
-    placed = w.withColumn("exact", F.round(scoring.pattern_score(F.col("text"), Q), 6)).withColumn("structure", F.round(_structure(tx.query_tokens(Q)), 6))
-    all_ = placed.join(sem, "window_id", "left").withColumn("semantic", F.round(F.coalesce("sem", F.lit(0.0)), 6))
-    return all_.withColumn("score", F.round(scoring.combined(F.col("exact"), F.col("semantic"), F.col("structure")), 4)).where("exact > 0 or semantic > 0 or structure > 0")
+def channels(s, d):
+    """The windows of all documents with their scores."""
+    return search.scored(search.line_units(docs(s, d)), Q)
 
 
+EXACT_Q = f"{pattern_sql(Q)} + 0.35 * (length(text) - length(replace(lower(text), '{Q}', ''))) / {len(Q)}"
 CHANNELS = f"""{NEIGH}, qx(query_id, text) AS (VALUES (1, '{Q}')), {vector_sql('lw', 'window_id', 'wv')}, {vector_sql('qx', 'query_id', 'qv')},
 sem AS (SELECT window_id, greatest(0, sum(wv.w * qv.w)) AS sem FROM wv JOIN qv USING (bucket) GROUP BY ALL),
-chn AS (SELECT window_id, doc_id, text, n, start, round({pattern_sql(Q)}, 6) AS exact, round(coalesce(sem, 0), 6) AS semantic, round({structure_sql(tx.query_tokens(Q))}, 6)::DOUBLE AS structure FROM nb LEFT JOIN sem USING (window_id)),
+chn AS (SELECT window_id, doc_id, text, round({EXACT_Q}, 6) AS exact, round(coalesce(sem, 0), 6) AS semantic, round({structure_sql(tx.query_tokens(Q))}, 6)::DOUBLE AS structure FROM nb LEFT JOIN sem USING (window_id)),
 chs AS (SELECT *, round(exact * 0.58 + semantic * 0.30 + structure * 0.12, 4) AS score FROM chn)"""
-CAND_ORDER = "score DESC, exact DESC, semantic DESC, window_id"
+CAND_ORDER = "score DESC, exact DESC, semantic DESC, doc_id, window_id"
 
 
 def combined_score(s, d):
-    return _channels(s, d).select("window_id", "exact", "semantic", "structure", "score")
+    return channels(s, d).select("window_id", "exact", "semantic", "structure", "score")
 
 
 COMBINED_SCORE = f"WITH {CHANNELS} SELECT window_id, exact, semantic, structure, score FROM chs"
 
 
-def candidate_topk(s, d):
-    order = Window.orderBy(F.desc("score"), F.desc("exact"), F.desc("semantic"), "window_id")
-    c = _channels(s, d).withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 320")
-    return c.select("window_id", "score", F.when(F.col("exact") > 0, "exact").otherwise("proxy").alias("phase"), "rank")
+def plan(s, d, top_k=10):
+    lines = F.size(F.filter(F.split("text", windows.SEPARATOR), lambda x: x.rlike(r"\S")))
+    facts = docs(s, d).agg(F.sum(lines).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    return planner.plan(top_k, facts.n, facts.bytes)
 
 
-CANDIDATE_TOPK = f"WITH {CHANNELS} SELECT * FROM (SELECT window_id, score, CASE WHEN exact > 0 THEN 'exact' ELSE 'proxy' END AS phase, row_number() OVER (ORDER BY {CAND_ORDER}) AS rank FROM chs) WHERE rank <= 320"
+PLAN_CTE = """pf AS (SELECT (SELECT count(*) FROM win) AS n, (SELECT sum(strlen(text)) FROM documents) AS b), pt AS (SELECT *, greatest(CASE WHEN n <= 400 THEN 0 WHEN n <= 4000 THEN 1 ELSE 2 END, CASE WHEN b <= 2097152 THEN 0 WHEN b <= 33554432 THEN 1 ELSE 2 END) AS t FROM pf),
+pl AS (SELECT *, CASE t WHEN 0 THEN n WHEN 1 THEN least(n, 1200) ELSE least(n, 1500) END AS scan, CASE t WHEN 0 THEN 300 WHEN 1 THEN 400 ELSE least(n, 5000) END AS cand, CASE t WHEN 0 THEN 200 WHEN 1 THEN 250 ELSE least(n, 50) END AS rerank FROM pt)"""
 
 
-def _snippet(start, end, length, width=280):
-    low = F.greatest(F.lit(0), F.least(length - width, F.floor((start + end) / 2).cast("int") - width // 2))
-    return low
+def candidate_topk(s, d):
+    """The candidates that the plan for ten results keeps, of all windows."""
+    c = search.candidates(channels(s, d), plan(s, d).candidates)
+    return c.select("window_id", "score", "phase", F.col("c").cast("long").alias("rank"))
 
 
-def span_search(s, d):
-    """The best windows for a query: stage 0 by trigrams, three channels, candidates, re-ranking, spans."""
-    top_k = 10
-    c = candidate_frame(_channels(s, d), 320)
-    rr = c.withColumn("score2", F.round(scoring.heuristic_rerank(F.col("score"), F.col("text"), Q), 6))
-    final = rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score2"), "window_id")).cast("long")).where(F.col("rank") <= top_k)
-    first = F.lit("anes")
-    at = F.locate("anes", F.lower("text"))
-    span_start = F.when(at > 0, at - 1).otherwise(0)
-    del first
-    return final.select("rank", "window_id", F.col("score2").alias("score"), F.substring("text", 1, 280).alias("context"), span_start.cast("long").alias("hit_at"), F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("citation"))
+CANDIDATE_TOPK = f"WITH {CHANNELS}, {WIN}, {PLAN_CTE} SELECT window_id, score, phase, rank FROM (SELECT window_id, score, CASE WHEN exact > 0 THEN 'exact' ELSE 'proxy' END AS phase, row_number() OVER (ORDER BY {CAND_ORDER}) AS rank FROM chs), pl WHERE rank <= cand"
 
 
-def candidate_frame(channels: DataFrame, limit: int) -> DataFrame:
-    order = Window.orderBy(F.desc("score"), F.desc("exact"), F.desc("semantic"), "window_id")
-    return channels.withColumn("__c", F.row_number().over(order)).where(F.col("__c") <= limit).drop("__c")
+def span_search(s, d):
+    return search.span_search(docs(s, d), Q).results
 
 
 QTOK = "[" + ", ".join(f"'{t}'" for t in dict.fromkeys(tx.query_tokens(Q))) + "]"
 RERANK = f"0.25 * score + len(list_intersect(list_distinct({tok('text')}), {QTOK})) / {len(dict.fromkeys(tx.query_tokens(Q)))}.0"
-RR_CTE = f"{CHANNELS}, cand AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {CAND_ORDER}) AS c FROM chs) WHERE c <= 320), rr AS (SELECT *, round({RERANK}, 6) AS score2 FROM cand), fin AS (SELECT *, row_number() OVER (ORDER BY score2 DESC, window_id) AS rank FROM rr)"
-SPAN_SEARCH = f"WITH {RR_CTE} SELECT rank, window_id, score2 AS score, substring(text, 1, 280) AS context, CAST(CASE WHEN instr(lower(text), 'anes') > 0 THEN instr(lower(text), 'anes') - 1 ELSE 0 END AS BIGINT) AS hit_at, '[' || rank || ']' AS citation FROM fin WHERE rank <= 10"
+RR_CTE = f"{CHANNELS}, {WIN}, {PLAN_CTE}, cand AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {CAND_ORDER}) AS c FROM chs), pl WHERE c <= cand), rr AS (SELECT *, round({RERANK}, 6) AS score2 FROM cand), fin AS (SELECT *, row_number() OVER (ORDER BY score2 DESC, window_id) AS rank FROM rr)"
+PATTERNS = list(dict.fromkeys([b for _, b, _ in tx.query_patterns(Q)] + [Q]))
+OVERLAP = " + ".join(f"contains(lower(text), '{g.decode()}')::BIGINT" for g in tx.trigrams(Q.encode()))
+SPAN_SEARCH = f"""WITH {NEIGH}, {WIN}, {PLAN_CTE}, ov AS (SELECT *, {OVERLAP} AS overlap FROM nb), s0 AS (SELECT *, row_number() OVER (ORDER BY overlap DESC, window_id) AS r0 FROM ov), st AS (SELECT s0.* FROM s0, pl WHERE t = 0 OR pl.n <= scan OR (overlap > 0 AND r0 <= scan)),
+qx(query_id, text) AS (VALUES (1, '{Q}')), {vector_sql('st', 'window_id', 'wv')}, {vector_sql('qx', 'query_id', 'qv')}, sem AS (SELECT window_id, greatest(0, sum(wv.w * qv.w)) AS sem FROM wv JOIN qv USING (bucket) GROUP BY ALL),
+chn AS (SELECT window_id, doc_id, text, round({EXACT_Q}, 6) AS exact, round(coalesce(sem, 0), 6) AS semantic, round({structure_sql(tx.query_tokens(Q))}, 6)::DOUBLE AS structure FROM st LEFT JOIN sem USING (window_id)), chs AS (SELECT *, round(exact * 0.58 + semantic * 0.30 + structure * 0.12, 4) AS score FROM chn),
+cn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {CAND_ORDER}) AS c FROM chs), pl WHERE c <= cand), sh AS (SELECT * FROM (SELECT *, count(*) OVER () AS n_candidates, row_number() OVER (ORDER BY CASE WHEN t = 2 THEN -semantic ELSE c END, window_id) AS sr FROM cn) WHERE sr <= rerank),
+rr AS (SELECT *, count(*) OVER () AS n_shortlist, round({RERANK}, 6) AS score2 FROM sh), fin AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score2 DESC, window_id) AS rank FROM rr) WHERE rank <= 10),
+po AS (SELECT window_id, p, unnest(range(1, length(text) + 1)) AS i, lower(text) AS low FROM fin, (SELECT unnest({PATTERNS}) AS p)), sp AS (SELECT DISTINCT window_id, i - 1 AS start, i - 1 + length(p) AS "end" FROM po WHERE substring(low, i, length(p)) = p AND (p = '{Q}' OR NOT regexp_matches(CASE WHEN i > 1 THEN substring(low, i - 1, 1) ELSE '' END || substring(low, i + length(p), 1), '[a-z0-9]'))),
+ra AS (SELECT *, max("end") OVER (PARTITION BY window_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sp), gr AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m THEN 1 ELSE 0 END) OVER (PARTITION BY window_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS isl FROM ra),
+mg AS (SELECT window_id, min(start) AS start, max("end") AS "end" FROM gr GROUP BY window_id, isl), sl AS (SELECT window_id, string_agg(start || '-' || "end", ',' ORDER BY start) AS spans, arg_min(start, start) AS sa, arg_min("end", start) AS upto FROM mg GROUP BY window_id),
+pr AS (SELECT *, coalesce(sa, 0) AS p0, coalesce(upto, least(length(text), 280)) AS p1 FROM fin LEFT JOIN sl USING (window_id)), lo AS (SELECT *, CASE WHEN spans IS NULL THEN 0 ELSE greatest(0, least(length(text) - 280, (p0 + p1) // 2 - 140)) END AS low FROM pr)
+SELECT rank, window_id, score2 AS score, score AS combined, exact, semantic, structure, CASE WHEN exact > 0 THEN 'exact' ELSE 'proxy' END AS phase, coalesce(spans, '') AS spans, CAST(p0 AS BIGINT) AS primary_start, CAST(p1 AS BIGINT) AS primary_end, CAST(low AS BIGINT) AS snippet_start, substring(text, CAST(low + 1 AS BIGINT), 280) AS snippet, '[' || rank || ']' AS citation,
+CASE t WHEN 0 THEN 'tiny' WHEN 1 THEN 'medium' ELSE 'huge' END AS tier, n > scan AS partial, CAST(CASE WHEN t = 0 OR n <= scan THEN n ELSE scan END AS BIGINT) AS scan_limit, n_candidates, n_shortlist FROM lo"""
 
 
 def heuristic_rerank(s, d):
-    c = candidate_frame(_channels(s, d), 320)
+    c = search.candidates(channels(s, d), plan(s, d).candidates)
     return c.select("window_id", F.round(scoring.heuristic_rerank(F.col("score"), F.col("text"), Q), 6).alias("score"))
 
 
@@ -344,13 +343,14 @@ HEURISTIC_RERANK = f"WITH {RR_CTE} SELECT window_id, score2 AS score FROM rr"
 
 
 def _chunks(s, d):
-    return windows.token_chunks(docs(s, d)).withColumnRenamed("content", "text")
+    """The chunks, kept for the heads that read them."""
+    return cache.shared.get(windows.token_chunks(docs(s, d)).withColumnRenamed("content", "text").select("chunk_id", "doc_id", "chunk", "text"))
 
 
 def _heads(s, d):
     c = _chunks(s, d)
     q = s.createDataFrame([(1, Q)], "query_id long, text string")
-    bm = scoring.bm25(c, scoring.query_table(s, {1: Q}), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+    bm = scoring.bm25_literal(c, {1: Q}, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
     cs = scoring.semantic_scores(c.select("chunk_id", "text"), q, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
     return c, bm, cs
 

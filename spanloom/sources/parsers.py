@@ -5,10 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
+from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def detect_format(content: Column, name: Column | None = None, media_type: Column | None = None) -> Column:
@@ -46,12 +50,18 @@ def markdown_text(text: Column) -> Column:
     return F.trim(F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "\n"))
 
 
+@F.pandas_udf(StringType())
+def _references_decoded(text: pd.Series) -> pd.Series:
+    return text.map(unescape, na_action="ignore")
+
+
 def html_text(html: Column) -> Column:
-    """The text of all nodes but scripts and styles, each trimmed, joined by a space; entities stay."""
+    """The text of all nodes but scripts and styles, character references decoded, each trimmed, joined by a space."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
-    nodes = F.transform(F.split(bare, r"<[^>]*>"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.array_join(F.filter(nodes, lambda x: F.length(x) > 0), " ")
+    nodes = F.split(_references_decoded(F.regexp_replace(bare, r"<[^>]*>", "\u0001")), "\u0001")
+    trimmed = F.transform(nodes, lambda x: F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    return F.array_join(F.filter(trimmed, lambda x: F.length(x) > 0), " ")
 
 
 def row_text(df: DataFrame, columns: list[str]) -> Column:
@@ -72,45 +82,102 @@ def flatten_json_text(content: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "\n")
 
 
-def _flatten(value, prefix: str = "") -> list[str]:
-    if isinstance(value, dict):
-        return [line for k, v in value.items() for line in _flatten(v, f"{prefix}.{k}" if prefix else str(k))]
-    if isinstance(value, list):
-        if not value:
-            return [f"{prefix}: []"]
-        return [line for i, v in enumerate(value) for line in _flatten(v, f"{prefix}[{i}]")]
-    return [f"{prefix}: {value}" if prefix else str(value)]
+def flat_lines(value) -> str:
+    """``path: value`` lines of a JSON value of any depth, in its order."""
+    lines, todo = [], [("", value)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            children = [(f"{path}.{key}".lstrip("." if not path else ""), child) for key, child in value.items()]
+        elif isinstance(value, list) and value:
+            children = [(f"{path}[{i}]", child) for i, child in enumerate(value)]
+        else:
+            lines.append(f"{path}: {value}" if path else f"{value}")
+            continue
+        todo.extend(reversed(children))
+    return "\n".join(lines)
+
+
+def json_items(content: str) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of the records of a JSON payload, with their places in it.
+
+    Records are the lines of a payload of several lines that all start with a brace, the
+    items of a list, or the one value.
+    """
+    decoder = json.JSONDecoder()
+    lines = [m for m in re.finditer(r"[^\n]*\S[^\n]*", content)]
+    if len(lines) > 1 and all(m[0].lstrip().startswith("{") for m in lines):
+        for m in lines:
+            yield flat_lines(json.loads(m[0])), m.start(), m.start() + len(m[0].rstrip("\r"))
+        return
+    space = re.compile(r"\s*")
+    at = space.match(content).end()
+    if not content.startswith("[", at):
+        value, end = decoder.raw_decode(content, at)
+        if content[end:].strip():
+            raise ValueError(f"more than one value, at {end}")
+        yield flat_lines(value), at, end
+        return
+    at = space.match(content, at + 1).end()
+    while not content.startswith("]", at):
+        value, end = decoder.raw_decode(content, at)
+        yield flat_lines(value), at, end
+        at = space.match(content, end).end()
+        if content.startswith(",", at):
+            at = space.match(content, at + 1).end()
+        elif not content.startswith("]", at):
+            raise ValueError(f"a comma or the end of the list is missing, at {at}")
+    if content[at + 1 :].strip():
+        raise ValueError(f"more after the list, at {at + 1}")
+
+
+def csv_items(content: str) -> Iterator[tuple[str, int, int, int]]:
+    """(text, start, end, row number) of the rows of a CSV payload; the header is row 1, places are those of physical lines."""
+    ends = [m.end() for m in re.finditer(r"[^\n]*(?:\n|$)", content)]
+    reader = csv.DictReader(io.StringIO(content, newline=""))
+    for row in reader:
+        cells = ((name, row[name]) for name in reader.fieldnames or () if row[name] and row[name].strip())
+        text = " | ".join(f"{name.strip()}: {value.strip()}" for name, value in cells)
+        last = min(reader.line_num, len(ends))
+        if text:
+            start = ends[last - 2] if last > 1 else 0
+            yield text, start, start + len(content[start : ends[last - 1]].rstrip("\r\n")), reader.line_num
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """(source_id, ordinal, parser, text, row_number) of (source_id, name, media_type, content): JSON of any depth, CSV blobs, the rest by expressions."""
-    typed = docs.withColumn("parser", detect_format(F.col("content"), F.col("name"), F.col("media_type")))
+    """(source_id, ordinal, parser, text, row_number, start, end, error) of (source_id, name, media_type, content).
+
+    A column parser_name, where it is not null, forces the parser.  start and end say
+    where a record stands in its payload, null where the text is made anew.  A payload that
+    its parser cannot read gives one row with ``error``, and its rows before the error.
+    """
+    parser = detect_format(F.col("content"), F.col("name"), F.col("media_type"))
+    if "parser_name" in docs.columns:
+        parser = F.coalesce("parser_name", parser)
+    typed = docs.withColumn("parser", parser)
 
     def blobs(batches):
         for pdf in batches:
             out = []
-            for source, parser, content in zip(pdf.source_id, pdf.parser, pdf.content):
-                if parser == "csv":
-                    rows = list(csv.reader(io.StringIO(content)))
-                    header = rows[0] if rows else []
-                    n = 0
-                    for number, row in enumerate(rows[1:], start=2):
-                        if any(c.strip() for c in row):
-                            text = " | ".join(f"{h.strip()}: {v.strip()}" for h, v in zip(header, row) if v.strip())
-                            out.append((source, n, parser, text, number))
-                            n += 1
-                    continue
-                lines = [x for x in content.splitlines() if x.strip()]
-                items = [json.loads(x) for x in lines] if len(lines) > 1 and all(x.lstrip().startswith("{") for x in lines) else json.loads(content)
-                for i, item in enumerate(items if isinstance(items, list) else [items]):
-                    out.append((source, i, parser, "\n".join(_flatten(item)), None))
-            yield pd.DataFrame(out, columns=["source_id", "ordinal", "parser", "text", "row_number"]).astype({"row_number": "Int64"})
-
-    schema = "source_id string, ordinal long, parser string, text string, row_number long"
-    blob = typed.where(F.col("parser").isin("json", "csv")).select("source_id", "parser", "content").mapInPandas(blobs, schema)
+            for source, kind, content in zip(pdf.source_id, pdf.parser, pdf.content):
+                n = 0
+                try:
+                    for text, start, end, *number in csv_items(content) if kind == "csv" else json_items(content):
+                        out.append((source, n, kind, text, number[0] if number else None, start, end, None))
+                        n += 1
+                except (ValueError, csv.Error, RecursionError) as e:
+                    out.append((source, n, kind, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["source_id", "ordinal", "parser", "text", "row_number", "start", "end", "error"]).astype({"row_number": "Int64", "start": "Int64", "end": "Int64"})
+
+    schema = "source_id string, ordinal long, parser string, text string, row_number long, start long, end long, error string"
+    blob = typed.where(F.col("parser").isin("json", "csv") & F.col("content").isNotNull()).select("source_id", "parser", "content").mapInPandas(blobs, schema)
     text = F.when(F.col("parser") == "markdown", markdown_text(F.col("content"))).when(F.col("parser") == "html", html_text(F.col("content"))).otherwise(F.col("content"))
-    plain = typed.where(~F.col("parser").isin("json", "csv")).select("source_id", F.lit(0).cast("long").alias("ordinal"), "parser", text.alias("text"), F.lit(None).cast("long").alias("row_number"))
-    return plain.unionByName(blob).where(F.length(F.trim("text")) > 0)
+    as_is = F.col("parser") == "plaintext"
+    plain = typed.where(~F.col("parser").isin("json", "csv")).select(
+        "source_id", F.lit(0).cast("long").alias("ordinal"), "parser", text.alias("text"), F.lit(None).cast("long").alias("row_number"),
+        F.when(as_is, F.lit(0)).cast("long").alias("start"), F.when(as_is, F.length("content")).cast("long").alias("end"), F.lit(None).cast("string").alias("error"),
+    )
+    return plain.unionByName(blob).where((F.length(F.trim("text")) > 0) | F.col("error").isNotNull())
 
 
 SECRET = "token|secret|password|key|credential"

@@ -36,12 +36,12 @@ def search_batches(stream: DataFrame, search: Callable[[DataFrame], DataFrame],
 
 
 def admit(times: list[float], costs: list[float], held: list[tuple[float, float]], limit: float, requests: int) -> tuple[list[bool], list[tuple[float, float]]]:
-    """Which requests a quota over the last WINDOW_SECONDS admits; refused ones do not count."""
+    """Which requests a quota over the last WINDOW_SECONDS, both ends included, admits; refused ones do not count."""
     out = []
     used = sum(c for _, c in held)
     held = list(held)
     for t, c in zip(times, costs):
-        while held and held[0][0] <= t - WINDOW_SECONDS:
+        while held and held[0][0] < t - WINDOW_SECONDS:
             used -= held.pop(0)[1]
         ok = used + c <= limit and len(held) + 1 <= requests
         if ok:

@@ -1,11 +1,15 @@
 """Small cases of single operators."""
 
+import datetime
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import fusion, graph, scoring, sketch, windows
-from spanloom.plans import planner
-from spanloom.sources import parsers
+from spanloom.operators import fusion, graph, rerank, scoring, search, sketch, windows
+from spanloom.plans import cache, planner
+from spanloom.sources import connectors, parsers, records, store
 from spanloom.streaming import live
 
 
@@ -94,9 +98,24 @@ def test_formats(spark):
     assert not any(k[0] == "e" for k in got)
 
 
+def test_payloads_that_cannot_be_read_give_error_rows(spark):
+    rows = [("a", "x.json", None, "not json", None), ("b", "x.json", None, '[{"a": 1}, {"a": ', None), ("c", "x.txt", None, "h\n1\n\n2", "csv"), ("d", "x", None, ' [ {"k": "é"} , [] ]', None), ("e", "x.json", None, None, None), ("f", "x", None, "&lt;b&gt; <i>x &amp; y</i>", "html"), ("g", "x.ndjson", None, '{"a": 1}\r\n\n{"a": 22}\n', "json")]
+    docs = spark.createDataFrame(rows, "source_id string, name string, media_type string, content string, parser_name string")
+    got = {(r.source_id, r.ordinal): r for r in parsers.parse_documents(docs).collect()}
+    assert got["a", 0].error and got["a", 0].text is None
+    assert got["b", 0].text == "a: 1" and got["b", 1].error
+    assert [(got["c", i].text, got["c", i].row_number, got["c", i].start, got["c", i].end) for i in (0, 1)] == [("h: 1", 2, 2, 3), ("h: 2", 4, 5, 6)]
+    content = {r[0]: r[3] for r in rows}
+    assert content["d"][got["d", 0].start : got["d", 0].end] == '{"k": "é"}' and got["d", 1].text == "[]"
+    assert got["f", 0].text == "<b> x & y"
+    assert [content["g"][got["g", i].start : got["g", i].end] for i in (0, 1)] == ['{"a": 1}', '{"a": 22}']
+    assert not any(k[0] == "e" for k in got)
+
+
 def test_quota_refuses_without_counting():
     ok, held = live.admit([0, 10, 20, 61], [6, 5, 4, 6], [], 10, 10)
     assert ok == [True, False, True, True] and [t for t, _ in held] == [20, 61]
+    assert live.admit([0, 60], [6, 6], [], 10, 10)[0] == [True, False]  # 60 seconds later the first still counts
 
 
 def test_streaming_quota_and_search(spark, tmp_path):
@@ -109,3 +128,117 @@ def test_streaming_quota_and_search(spark, tmp_path):
     q.stop()
     want, _ = live.admit([r[2] for r in rows], [r[3] for r in rows], [], 10, 100)
     assert [r.admitted for r in spark.table("quota_out").orderBy("request_id").collect()] == want
+
+
+def test_span_search_plans_scores_and_places(spark):
+    rows = [(1, "notes", "Card was declined today.\nnothing here\n\nthe card declined, card Declined again"), (2, "other", "a declined payment\nxcardx"), (3, "empty", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = search.span_search(docs, 'card declined regex("pay[a-z]+")', top_k=5)
+    assert (found.plan.tier, found.plan.partial) == ("tiny", False)
+    got = {r.window_id: r for r in found.results.collect()}
+    best = next(r for r in got.values() if r.rank == 1)
+    assert best.window_id == "source:1:record:0:window:3" and best.spans == "4-17,19-32" and best.phase == "exact"
+    text = "the card declined, card Declined again"
+    assert text[best.primary_start : best.primary_end] == "card declined" and best.snippet == text
+    assert got["source:2:record:0:window:1"].spans == "2-10,11-18"
+    assert got["source:2:record:0:window:2"].spans == "" and got["source:2:record:0:window:2"].phase == "proxy"
+    assert search.span_search(docs.where("doc_id = 3"), "card").results.count() == 0
+    only = search.span_search(docs, "card", channels=("exact",)).results.collect()
+    assert all(r.semantic == 0 and r.structure == 0 and r.exact > 0 for r in only) and len(only) == 3
+    for names in ((), ("exact", "other")):
+        with pytest.raises(ValueError):
+            search.span_search(docs, "card", channels=names)
+
+
+def test_rule_edges_keep_the_heaviest_rule(spark):
+    rows = [(i, "s", i, 1 if i < 12 else 2, None, [11] if i == 1 else []) for i in range(1, 15)] + [(99, "t", 2, 1, "x", [1])]
+    units = spark.createDataFrame(rows, "node long, source string, row long, page long, section string, explicit array<long>")
+    e = {(r.src, r.dst): r.w for r in graph.rule_edges(units).collect()}
+    assert e[1, 2] == 0.8 and e[1, 3] == 0.6 and e[1, 11] == 1.0 and (1, 99) not in e and (99, 1) not in e
+    kept = graph.normalized(graph.rule_edges(units)).where("src = 1").collect()
+    assert len(kept) == 8 and abs(sum(r.w for r in kept) - 1) < 1e-12
+
+
+def test_records_and_limits(spark):
+    with pytest.raises(ValueError, match="top_k"):
+        records.check_limits(top_k=51)
+    records.check_limits(top_k=50, connectors=3)
+    rows = spark.createDataFrame([(1, "a", '{"x": 1}', None), (2, "b", " ", None), (3, "c", None, None), (4, "d", "text", "text/x")], "id long, name string, content string, media_type string")
+    docs, errors = records.raw_sources(rows)
+    assert {(r.source_id, r.media_type) for r in docs.collect()} == {("raw:1:a", "application/json"), ("raw:4:d", "text/x")}
+    assert {r.source_id for r in errors.collect()} == {"raw:2:b", "raw:3:c"}
+
+
+def test_connectors_go_on_when_one_fails(spark):
+    connectors.register(spark)
+    configs = [{"id": "w", "type": "webhook", "config": {"documents": [{"name": "n", "content": {"a": 1}}, {"content": " "}, {"content": "t"}]}}, {"id": "x", "type": "nowhere"}, {"id": "c", "type": "chat", "config": {"channels": {"general": [{"text": "hi"}, {}, {"text": "there"}]}}}, {"id": "b", "type": "webhook", "config": {"documents": [{"content": "ok"}, 7]}}]
+    got = spark.read.format("connectors").option("configs", json.dumps(configs)).option("max_documents", 2).load().collect()
+    assert sorted((r.connector_id, r.content) for r in got if not r.error) == [("b", "ok"), ("c", "hi\nthere"), ("w", "t"), ("w", '{"a":1}')]
+    assert sorted(r.connector_id for r in got if r.error) == ["b", "x"]
+    assert spark.read.format("connectors").load().count() == 0
+    with pytest.raises(ValueError):
+        connectors.registry.add("webhook", connectors.webhook)
+
+
+def test_store_lists_expires_and_deletes(spark, tmp_path):
+    now = datetime.datetime(2026, 1, 10)
+    held = store.Store(spark, f"file://{tmp_path}/store")
+    held.create_corpus("c1", "first", datetime.datetime(2026, 1, 1))
+    held.create_corpus("c2", "short", datetime.datetime(2026, 1, 2), ttl_seconds=3600)
+    shape = "source_id string, name string, media_type string, content string"
+    errors = held.ingest(spark.createDataFrame([("s1", "a.csv", None, "h,k\n1,2\n3,4\n"), ("s2", "b.json", None, "{"), ("s3", "c.txt", None, "one\n\ntwo")], shape), datetime.datetime(2026, 1, 3), "c1")
+    assert [r.source_id for r in errors.collect()] == ["s2"]
+    held.ingest(spark.createDataFrame([("s4", "d.txt", None, "x")], shape), datetime.datetime(2026, 1, 4), "c2")
+    held.ingest(spark.createDataFrame([("s5", "e.txt", None, "y")], shape), datetime.datetime(2026, 1, 5))
+    assert [(r.corpus_id, r.status, r.n_sources, r.windows) for r in held.corpora(now).collect()] == [("c2", "expired", 1, 1), ("c1", "active", 2, 4)]
+    assert [r.source_id for r in held.list_sources(now).collect()] == ["s5", "s1", "s3"]
+    assert [(r.source_id, r.text) for r in held.documents(now, "c1").collect()] == [("s1", "h: 1 | k: 2"), ("s1", "h: 3 | k: 4"), ("s3", "one\n\ntwo")]
+    held.delete_corpus("c1")
+    assert [r.corpus_id for r in held.corpora(now).collect()] == ["c2"] and held.table("documents").count() == 2
+    held.delete_sources(["s4"])
+    assert [r.source_id for r in held.table("sources").collect()] == ["s5"]
+
+
+def test_cache_keeps_by_content_time_and_number(spark):
+    now = [0.0]
+    kept = cache.IndexCache(most=2, ttl=10, clock=lambda: now[0])
+    frames = [spark.range(n).selectExpr("id + 1 as x") for n in (3, 4, 5)]
+    assert kept.get(frames[0]) is kept.get(spark.range(3).selectExpr("id + 1 as x")) and (kept.hits, kept.misses) == (1, 1)
+    kept.get(frames[1])
+    kept.get(frames[2])
+    assert len(kept.held) == 2 and kept.key(frames[0]) not in kept.held
+    now[0] = 11.0
+    kept.get(frames[2])
+    assert len(kept.held) == 1 and kept.misses == 4
+
+
+def test_reranker_cascade_falls_back(spark):
+    hits = spark.createDataFrame([("a", 1.0, "red car"), ("b", 2.0, "blue"), ("c", 0.5, "red")], "window_id string, score double, text string")
+
+    def broken(ids, texts, query):
+        raise OSError("no service")
+
+    def some(ids, texts, query):
+        return {i: 9.0 for i in ids if i == "c"}
+
+    got = [(r.window_id, r.by, r.rank) for r in rerank.cascade(hits, "red car", 3, (broken, some)).orderBy("rank").collect()]
+    assert got == [("c", 1, 1), ("a", -1, 2), ("b", -1, 3)]
+    assert [r.window_id for r in rerank.cascade(hits, "red car", 2).orderBy("rank").collect()] == ["a", "c"]
+    model = rerank.cross_encoder(lambda: lambda pairs: [float(len(t)) for _, t in pairs])
+    assert model(["x"], [""], "q") == {"x": 0.5}
+
+
+def test_sketch_of_a_stream_rotates(spark, tmp_path):
+    s = sketch.GhostSketch(rotate_at=50)
+    for i in range(200):
+        s.add(f"w{i}")
+    assert s.rotations >= 2 and s.holds("w199") and s.count("w199") >= 1
+    again = sketch.GhostSketch(*s.state())
+    assert again.holds("w199") and again.estimate() == s.estimate()
+    spark.createDataFrame([("k", "the refund was refund")], "key string, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, text string").parquet(str(tmp_path / "in"))
+    q = sketch.sketched(stream, ["refund", "absent"]).writeStream.format("memory").queryName("sketch_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    r = spark.table("sketch_out").first()
+    assert (r.verdict, r.found, r.rotations, round(r.estimate)) == (True, 2, 0, 3)
