@@ -7,9 +7,11 @@ neighbour) and, for each upper layer, its nodes and their neighbours.  A query i
 searched in every shard, and the shards' results are merged by exact cosine in
 double precision.
 
-Building and searching work on blocks of vectors at once (numpy), which gives the
-same graph structure as one-by-one insertion of the block's members into the
-graph of the earlier ones, with links inside the block found exactly.
+Nodes are inserted from the highest layers down, those that reach higher first, so a
+layer's nodes are the first ones of the layer below.  An insertion descends the
+hierarchy above to its entry and is then a beam search in its layer.  Building and
+searching work on blocks of vectors at once (numpy): the members of a block see the
+earlier blocks through the graph and each other exactly.
 
 Queries are dealt in blocks of `QUERY_BLOCK`, so that one task holds one shard
 and one block.
@@ -31,7 +33,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-SHARD_ROWS, QUERY_BLOCK = 12_500, 4_096
+SHARD_ROWS, QUERY_BLOCK = 50_000, 4_096
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 160
 
 
@@ -100,8 +102,12 @@ def spread(vectors: np.ndarray, candidates: np.ndarray, sims: np.ndarray, keep:
     return np.where(np.take_along_axis(candidates, order, 1) >= 0, np.take_along_axis(candidates, order, 1), -1)
 
 
-def _layer(vectors: np.ndarray, width: int) -> np.ndarray:
-    """The neighbours on one layer (two times LINKS columns) of all ``vectors``, inserted in doubling blocks."""
+def _layer(vectors: np.ndarray, width: int, above: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The neighbours on one layer (two times LINKS columns) of all ``vectors``, inserted in doubling blocks.
+
+    ``above``: the finished layers above, the highest first; their nodes are the first of ``vectors``.
+    """
+    upper = len(above[-1][0]) if above else 0
     n, m = len(vectors), 2 * LINKS
     links = np.full((n, m), -1, np.int64)
     size = min(n, 256)
@@ -114,7 +120,11 @@ def _layer(vectors: np.ndarray, width: int) -> np.ndarray:
     at = size
     while at < n:
         block = np.arange(at, min(n, at + min(1_024, at)))
-        entry = _entries(vectors[:at], vectors[block])
+        if at >= upper > 0:
+            entry = descend(vectors, above, vectors[block])
+        else:  # the nodes of the layers above have no entry from there
+            block = block[block < upper] if upper > at else block
+            entry = _entries(vectors[:at], vectors[block])
         found, found_sims = beam_search(vectors[:at], links[:at], vectors[block], entry, width)
         inside = vectors[block] @ vectors[block].T
         np.fill_diagonal(inside, -np.inf)
@@ -128,6 +138,16 @@ def _layer(vectors: np.ndarray, width: int) -> np.ndarray:
     return links
 
 
+def descend(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray) -> np.ndarray:
+    """The nearest node that each query meets on its way down the layers, the highest first."""
+    entry = None
+    for nodes, links in layers:
+        held = vectors[: len(nodes)]
+        entry = _entries(held, queries) if entry is None else entry
+        entry = beam_search(held, links, queries, entry, 4)[0][:, 0]
+    return entry
+
+
 def _entries(held: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """The best of 32 spread-out nodes for each query."""
     some = np.linspace(0, len(held) - 1, min(32, len(held))).astype(np.int64)
@@ -155,30 +175,28 @@ def _connect(vectors: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen:
         links[node, : len(want)] = want
 
 
+def heights(draw: np.ndarray) -> np.ndarray:
+    """How high nodes reach, from a number in [0, 1) for each: one in LINKS goes on to each next layer."""
+    return np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
+
+
 class Graph:
-    """A hierarchy of layers over unit vectors; layer 0 holds all nodes, each next layer about one in LINKS."""
+    """A hierarchy of layers over unit vectors, those that reach higher first; layer 0 holds all nodes."""
 
-    def __init__(self, vectors: np.ndarray, draw: np.ndarray):
-        """``draw``: a number in [0, 1) for each node, which says how high it reaches."""
+    def __init__(self, vectors: np.ndarray, height: np.ndarray):
         self.vectors = vectors
-        height = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
-        self.layers = []  # (nodes, links by place in nodes)
-        for level in range(int(height.max(initial=0)) + 1):
-            nodes = np.flatnonzero(height >= level)
-            if level and len(nodes) < 2:
-                break
-            self.layers.append((nodes, _layer(vectors[nodes], BUILD_WIDTH)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # the highest first
+        for level in range(int(height.max(initial=0)), -1, -1):
+            n = int((height >= level).sum())
+            if level and n < 2:
+                continue
+            done.append((np.arange(n), _layer(vectors[:n], BUILD_WIDTH, done)))
+        self.layers = done[::-1]
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        entry = None
-        for nodes, links in reversed(self.layers):
-            held = self.vectors[nodes]
-            at = _entries(held, queries) if entry is None else np.searchsorted(nodes, entry)
-            ground = nodes is self.layers[0][0]
-            found, sims = beam_search(held, links, queries, at, width if ground else 4)
-            entry = nodes[found[:, 0]]
-            if ground:
-                return np.where(found >= 0, nodes[found], -1), sims
+        upper = self.layers[:0:-1]
+        entry = descend(self.vectors, upper, queries) if upper else _entries(self.vectors, queries)
+        return beam_search(self.vectors, self.layers[0][1], queries, entry, width)
 
     def arrays(self) -> list[bytes]:
         """The layers as flat arrays: nodes and neighbours in turn."""
@@ -193,7 +211,14 @@ class Graph:
         return out
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that takes its largest component below 1, which changes no cosine."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -225,9 +250,11 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
         group = group.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         v = np.array(group.v.tolist(), np.float64)
         u = unit(v).astype(np.float32)
+        height = heights(np.random.default_rng(2).random(len(u)))
         order = np.random.default_rng(1).permutation(len(u))  # inserted in no order of the data
+        order = order[np.argsort(-height[order], kind="stable")]
         v, u, ids = v[order], u[order], [group.ids.iloc[i] for i in order]
-        g = Graph(u, np.random.default_rng(2).random(len(u)))
+        g = Graph(u, height[order])
         return pd.DataFrame({"shard": [group.shard.iloc[0]], "dim": [group.dim.iloc[0]], "sizes": [[len(x) for x in ids]], "ids": [np.concatenate(ids).astype(np.int64)], "vectors": [v.tobytes()], "graph": [g.arrays()]})
 
     index = dealt.groupBy("shard", "dim").applyInPandas(graph, "shard int, dim int, sizes array<int>, ids array<long>, vectors binary, graph array<binary>")
@@ -246,12 +273,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WID
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         row = right.iloc[0]
-        v = np.frombuffer(row.vectors, np.float64).reshape(len(row.sizes), -1)
+        v = scaled(np.frombuffer(row.vectors, np.float64).reshape(len(row.sizes), -1))
         starts = np.concatenate([[0], np.cumsum(row.sizes)])
         g = Graph.of(unit(v).astype(np.float32), list(row.graph))
         out = []
         for at in range(0, len(left), 256):
-            q = np.array(left.v.iloc[at : at + 256].tolist(), np.float64)
+            q = scaled(np.array(left.v.iloc[at : at + 256].tolist(), np.float64))
             nodes, _ = g.search(unit(q).astype(np.float32), min(width, len(v)))
             for ident, vector, found in zip(left.id.iloc[at : at + 256], q, nodes):
                 found = found[found >= 0]
