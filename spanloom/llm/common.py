@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = getattr(shared_dir, "_own", None)
     if held is None:
         held = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="spanloom-")
@@ -37,6 +40,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/{name}"
 
 
+#: Lists of the paths that `finished` is to delete, one for each call that goes on.
+_open: list[list[str]] = []
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str = "result") -> DataFrame:
+    """What ``make`` returns, written; every other table that was written meanwhile is deleted."""
+    _open.append(made := [])
+    try:
+        out = materialize(make(), name)
+    finally:
+        _open.remove(made)
+        keep = made[-1:] if made and made[-1].endswith(f"/{name}") else []
+        discard(spark, *[p for p in made if p not in keep])
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -45,6 +64,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
+    for made in _open:
+        made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
@@ -75,27 +96,33 @@ def utf8(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-#: Bits of the filter of `member`: one megabyte, whatever the number of keys.
-MEMBER_BITS = 1 << 23
+#: Bits of the filter of `member` for each key, and the fewest and most bits of a filter.
+KEY_BITS, LEAST_BITS, MOST_BITS = 10, 1 << 20, 1 << 29
 
 
 def member(keys: DataFrame, column: str):
     """A function from a column to a boolean: true for every key in ``keys``, false for most others.
 
-    A Bloom filter of fixed size, so it may be broadcast.  It keeps rows that a join
-    would drop out of the join's shuffle; with very many keys it lets all pass.
+    A Bloom filter sized by the number of keys and broadcast, 64 MB at most.  It keeps
+    rows that a join would drop out of the join's shuffle.  With more keys than a quarter
+    of the most bits there is none: all rows pass, and the join after it shuffles them all.
     """
     spark = keys.sparkSession
+    n, size = keys.count(), LEAST_BITS
+    if n > MOST_BITS // 4:
+        return lambda c: F.lit(True)
+    while size < KEY_BITS * n and size < MOST_BITS:
+        size *= 2
 
     def places(c):
-        return [F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(MEMBER_BITS)) for salt in (1, 2, 3)]
+        return [F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(size)) for salt in (1, 2, 3)]
 
     found = (
         keys.select(F.explode(F.array(*places(F.col(column)))).alias("p"))
         .groupBy(F.floor(F.col("p") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
-        .collect()  # MEMBER_BITS / 32768 rows at most
+        .collect()  # size / 32768 rows at most
     )
-    table = np.zeros((MEMBER_BITS // 32768, 4096), np.uint8)
+    table = np.zeros((size // 32768, 4096), np.uint8)
     for r in found:
         table[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
     shared = spark.sparkContext.broadcast(table.ravel())

@@ -7,16 +7,17 @@ The index holds what past batches contained, as sorted immutable runs:
   anchors, and neighbouring windows mostly share theirs, so a document has about
   one anchor for 18 windows.  A run has one row for each anchor: the smallest and
   largest content key that holds it and the first document with it;
-* window runs: hashes of whole windows (128 bits), each with its first owner,
+* window runs: 128-bit hashes of the words of whole windows, each with its first owner,
   for the windows under anchors that more than one text holds;
-* content runs: the first document of each word sequence.
+* content runs: the first document of each word sequence, under its SHA-256.
 
 A new batch is merge-joined with the runs on the anchor.  Anchors held by one text
-only end there.  For the others, windows are verified by their own 128-bit hashes,
+only end there.  For the others, windows are verified by the hash of their very words,
 of the batch's texts and of the one past text that had the anchor alone until
-now.  Then the batch's runs are written, and when there are more than `FANOUT`
-runs of a kind they are merged into one (compaction).  Documents whose whole word
+now.  Then the batch's runs are written; before the next batch, when there are more than
+``fanout`` runs of a kind, they are merged into one (compaction).  Documents whose whole word
 sequence was seen before are decided by the content runs and verified no further.
+`FingerprintIndex.save` writes which runs there are, so that a later session can go on.
 
 A window belongs to the document with the smallest (batch, doc_id); batches in the
 order of doc_id therefore give what one batch over everything gives.
@@ -25,7 +26,7 @@ Defined cases: a null text has no words; a document with fewer than WINDOW words
 loses nothing; a row with a null doc_id is returned whole and is never an owner;
 rows with the same doc_id never take words from each other; repeated rows give
 one result row each; an empty table gives no rows; columns besides doc_id and text
-are ignored.
+are ignored (removals) or carried through (`without_repeats`).
 """
 
 from __future__ import annotations
@@ -34,37 +35,34 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, flat
 
 WINDOW, SHINGLE = 50, 16
-#: Runs of a kind above which they are compacted.
-FANOUT = 4
+#: Batches of the query and of the stage, and runs of a kind above which they are compacted.
+BATCHES, FANOUT = 3, 1
 
-_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
 # ---- hashes of one document
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _mix(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    x = (a * _K[k]) ^ (b + (a >> np.uint64(31)))
-    x *= _K[k + 1]
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * _K[0]) ^ (b + (a >> np.uint64(31)))
+    x *= _K[1]
     x ^= x >> np.uint64(29)
-    x *= _K[k + 2]
+    x *= _K[2]
     x ^= x >> np.uint64(32)
     return x
 
 
-def gram_hashes(h: np.ndarray, size: int, k: int = 0) -> np.ndarray:
+def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` consecutive entries: runs of powers of two are doubled, then joined."""
     n = len(h) - size + 1
     if n <= 0:
@@ -73,11 +71,11 @@ def gram_hashes(h: np.ndarray, size: int, k: int = 0) -> np.ndarray:
     rest = size
     while rest:
         if rest & 1:
-            out = power if out is None else _mix(power[: len(h) - done - width + 1], out[width:][: len(h) - done - width + 1], k)
+            out = power if out is None else _mix(power[: len(h) - done - width + 1], out[width:][: len(h) - done - width + 1])
             done += width
         rest >>= 1
         if rest:
-            power = _mix(power[:-width], power[width:], k)
+            power = _mix(power[:-width], power[width:])
             width *= 2
     return out[:n]
 
@@ -94,59 +92,85 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - (span - width)], m[span - width :])
 
 
-def content_key(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def spaced(text: bytes, words: flat.Words, i: int) -> bytes:
+    """The words of text ``i`` joined by single spaces."""
+    a, b = int(words.first[i]), int(words.first[i + 1])
+    if a == b:
+        return b""
+    starts, ends = words.starts[a:b], words.ends[a:b]
+    if ends[-1] - starts[0] == len(text) and text.count(b" ") == b - a - 1 and (starts[1:] == ends[:-1] + 1).all():
+        return text
+    return b" ".join(text.split())
+
+
+def content(text: Column) -> Column:
+    """A number for the word sequence of a text: of the SHA-256 of its words joined by spaces."""
+    return F.xxhash64(F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, content, sha256, anchors) of every row; content is a hash of the words joined by spaces."""
+    """(doc_id, n_words, sha256, anchors, content) of every row."""
     common.arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, key, sha, found = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = text.split()
-                joined = b" ".join(words)
-                n.append(len(words))
-                key.append(content_key(joined))
-                sha.append(hashlib.sha256(joined).hexdigest())
-                found.append(np.unique(anchors(word_hashes(words))).view(np.int64) if len(words) >= WINDOW else np.empty(0, np.int64))
+            texts = batch.column(1).to_pylist()
+            words = flat.Words(texts)
+            h, first = words.hashes(), words.first.tolist()
+            sha = [hashlib.sha256(spaced(text, words, i)).hexdigest() for i, text in enumerate(texts)]
+            found = [np.unique(anchors(h[a:b])).view(np.int64) if b - a >= WINDOW else np.empty(0, np.int64) for a, b in zip(first, first[1:])]
             offsets = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                ["doc_id", "n_words", "content", "sha256", "anchors"],
+                [batch.column(0), pa.array(words.counts, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                ["doc_id", "n_words", "sha256", "anchors"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, content long, sha256 string, anchors array<long>")
+    signed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_words long, sha256 string, anchors array<long>")
+    return signed.withColumn("content", F.xxhash64("sha256"))
 
 
 def windows(texts: DataFrame, every: bool) -> DataFrame:
     """(h1, h2, doc_id, content, at): the windows under the given anchors of (doc_id, content, text, anchors).
 
-    With ``every`` a row per place, else a row per different window of a document.
+    h1 and h2 are the XXH3-128 of the window's words joined by spaces.  With ``every`` a
+    row per place, else a row per different window of a document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc_id, content, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.split()
-                if content_key(b" ".join(words)) != content:
-                    continue  # another row with the same doc_id
-                h = word_hashes(words)
-                at = np.flatnonzero(np.isin(anchors(h), np.array(wanted, np.int64).view(np.uint64)))
-                h1, h2 = gram_hashes(h, WINDOW)[at], gram_hashes(h ^ _K[0], WINDOW, 1)[at]
-                if not every:
-                    _, first = np.unique(h1, return_index=True)
-                    h1, h2, at = h1[first], h2[first], at[first]
-                for column, x in zip(out, (h1.view(np.int64), h2.view(np.int64), np.full(len(at), doc_id), np.full(len(at), content), at.astype(np.int32))):
-                    column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h1", "h2", "doc_id", "content", "at"])
-
-    return texts.select("doc_id", "content", "text", "anchors").mapInArrow(run, "h1 long, h2 long, doc_id long, content long, at int")
+            ids, keys, texts, wanted = (c.to_pylist() for c in batch.columns)
+            texts = [b" ".join(t.split()) for t in texts]
+            words = flat.Words(texts)
+            h, first = words.hashes(), words.first.tolist()
+            view, starts, ends = memoryview(words.data), words.starts, words.ends
+            sizes, places, hashed = [], [], []
+            for a, b, held in zip(first, first[1:], wanted):
+                at = np.flatnonzero(np.isin(anchors(h[a:b]), np.array(held, np.int64).view(np.uint64)))
+                found = np.frombuffer(b"".join([digest(view[x:y]) for x, y in zip(starts[a + at].tolist(), ends[a + at + WINDOW - 1].tolist())]), np.int64).reshape(-1, 2)
+                if not every and len(at):
+                    _, once = np.unique(found, axis=0, return_index=True)
+                    at, found = at[once], found[once]
+                sizes.append(len(at))
+                places.append(at)
+                hashed.append(found)
+            if sizes:
+                h1, h2 = (np.ascontiguousarray(c) for c in np.concatenate(hashed).T)
+                columns = h1, h2, np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(keys, np.int64), sizes), np.concatenate(places).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "doc_id", "content", "at"])
+
+    return texts.select("doc_id", "content", F.col("text").cast("binary").alias("text"), "anchors").mapInArrow(run, "h1 long, h2 long, doc_id long, content long, at int")
+
+
+def holders(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, content, ...) with the text; only texts that may be wanted are shuffled.
+
+    The shuffle parts the filter's Python workers from those of what follows.
+    """
+    asked = common.member(wanted, "doc_id")
+    some = source.where(asked(F.col("doc_id"))).withColumn("content", content(F.col("text")))
+    return some.join(wanted.hint("merge"), ["doc_id", "content"])
 
 
 def kept_words(words: list[bytes], starts: list[int]) -> list[bytes]:
@@ -162,9 +186,10 @@ def kept_words(words: list[bytes], starts: list[int]) -> list[bytes]:
 class FingerprintIndex:
     """The runs, and the batches taken in so far."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark = spark
-        self.batches = 0
+        self.fanout = fanout
+        self.batches = self.compactions = 0
         self.runs: dict[str, list[DataFrame]] = {"anchor": [], "window": [], "content": []}
         self.sources: list[DataFrame] = []  # where the texts of past batches are
 
@@ -172,9 +197,26 @@ class FingerprintIndex:
     _merge = {
         "anchor": (["anchor"], ["min(low) as low", "max(high) as high", "min(owner) as owner"]),
         "window": (["h1", "h2"], ["min(owner) as owner"]),
-        "content": (["content"], ["min(owner) as owner"]),
+        "content": (["sha256"], ["min(owner) as owner"]),
     }
 
+    def save(self, path: str) -> None:
+        """Write which runs there are; the runs themselves stay where they are, with the shared folder."""
+        rows = [(self.batches, kind, t._scratch_path) for kind, tables in self.runs.items() for t in tables]
+        self.spark.createDataFrame(rows, "batches int, kind string, path string").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, sources: list[DataFrame], fanout: int = FANOUT) -> "FingerprintIndex":
+        """The index that was saved; ``sources``: the documents of its batches, in order."""
+        out = cls(spark, fanout)
+        for r in sorted(spark.read.json(path).collect()):
+            table = spark.read.parquet(r.path)
+            table._scratch_path = r.path
+            out.runs[r.kind].append(table)
+            out.batches = r.batches
+        out.sources = [_source(docs) for docs in sources]
+        return out
+
     def merged(self, kind: str, *more: DataFrame) -> DataFrame | None:
         tables = [*self.runs[kind], *more]
         if not tables:
@@ -186,35 +228,40 @@ class FingerprintIndex:
         return out if len(tables) == 1 else out.groupBy(*keys).agg(*map(F.expr, aggregates))
 
     def append(self, kind: str, run: DataFrame) -> None:
-        """Write a run in key order; merge the runs when there are too many."""
+        """Write a run in key order."""
         keys, _ = self._merge[kind]
         self.runs[kind].append(common.materialize(run.sortWithinPartitions(*keys), f"{kind}-run"))
-        if len(self.runs[kind]) > FANOUT:
-            old = self.runs[kind]
-            self.runs[kind] = [common.materialize(self.merged(kind).sortWithinPartitions(*keys), f"{kind}-run")]
-            common.discard(self.spark, *old)
+
+    def compact(self) -> None:
+        """Merge the runs of each kind of which there are too many."""
+        for kind, old in self.runs.items():
+            if len(old) > self.fanout:
+                self.compactions += 1
+                merged, self.runs[kind] = self.merged(kind), []
+                self.append(kind, merged)
+                common.discard(self.spark, *old)
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Take in a batch.  Returns its signatures and (doc_id, content, starts): the windows to remove.
 
         A document whose word sequence has an earlier owner has ``starts`` null.
         """
+        self.compact()
         batch = self.batches
         self.batches += 1
-        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text"))
+        source = _source(docs)
         signed = common.materialize(signatures(source), "signatures")
         named = signed.where(f"doc_id is not null and n_words >= {WINDOW}")
         owner = F.struct(F.lit(batch).alias("batch"), F.col("doc_id")).alias("owner")
 
         # whole word sequences: all but their first document are decided
-        contents = named.groupBy("content").agg(F.min("doc_id").alias("doc_id")).select("content", owner)
-        first = common.materialize(self.merged("content", contents), "contents")
-        mine = first.where(F.col("owner.batch") == batch).select("content", F.col("owner.doc_id").alias("doc_id"))
-        copies = (
-            named.select("doc_id", "content").distinct().join(first, "content")
-            .where((F.col("owner.batch") < batch) | (F.col("owner.doc_id") < F.col("doc_id")))
-            .select("doc_id", "content", F.lit(None).cast("array<int>").alias("starts"))
-        )
+        contents = common.materialize(named.groupBy("sha256").agg(F.min("doc_id").alias("doc_id")).select("sha256", owner), "contents")
+        first = self.merged("content", contents)
+        earlier = (F.col("owner.batch") < batch) | (F.col("owner.doc_id") < F.col("doc_id"))
+        known = named.select("doc_id", "content", "sha256").distinct().join(first, "sha256")
+        known = common.materialize(known.select("doc_id", "content", earlier.alias("copy")), "known")
+        copies = known.where("copy").select("doc_id", "content", F.lit(None).cast("array<int>").alias("starts"))
+        mine = known.where("not copy").select("doc_id", "content")
 
         # merge-join of the anchors: those that more than one text holds
         held = named.select("doc_id", "content", F.explode("anchors").alias("anchor"))
@@ -240,35 +287,33 @@ class FingerprintIndex:
             .join(mine, ["doc_id", "content"])
         )
         wanted = common.materialize(wanted, "wanted")
-        asked = common.member(wanted, "doc_id")
-        texts = common.materialize(source.where(asked(F.col("doc_id"))).join(wanted, "doc_id").select("doc_id", "content", "text", "anchors"), "candidates")
+        texts = common.materialize(holders(source, wanted).select("doc_id", "content", "text", "anchors"), "candidates")
         found = windows(texts, every=True)
         new_windows = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("h1", "h2", owner)
+        lists = None
         if newly is not None:
             lists = common.materialize(newly.groupBy("batch", "doc_id", "content").agg(F.collect_list("anchor").alias("anchors")), "newly")
             for b, past_source in enumerate(self.sources):
-                of_batch = lists.where(F.col("batch") == b).drop("batch")
-                asked = common.member(of_batch, "doc_id")
-                known = past_source.where(asked(F.col("doc_id"))).join(of_batch, "doc_id")
-                had = windows(known, every=False).select("h1", "h2", F.struct(F.lit(b).alias("batch"), F.col("doc_id")).alias("owner"))
-                new_windows = new_windows.unionByName(had)
+                had = windows(holders(past_source, lists.where(F.col("batch") == b).drop("batch")), every=False)
+                new_windows = new_windows.unionByName(had.select("h1", "h2", F.struct(F.lit(b).alias("batch"), F.col("doc_id")).alias("owner")))
         new_windows = common.materialize(new_windows.groupBy("h1", "h2").agg(F.min("owner").alias("owner")), "windows")
-        owned = self.merged("window", new_windows)
-        repeated = (
-            found.join(owned, ["h1", "h2"])
-            .where((F.col("owner.batch") < batch) | (F.col("owner.doc_id") < F.col("doc_id")))
-            .groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-        )
+        # a written table, so that a very common window is split where it is joined
+        owned = common.materialize(self.merged("window", new_windows), "owned") if self.runs["window"] else new_windows
+        repeated = found.join(owned, ["h1", "h2"]).where(earlier).groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("at")).alias("starts"))
         decided = common.materialize(repeated.unionByName(copies), "decided")
 
         self.append("anchor", fresh)
         self.append("window", new_windows)
         self.append("content", contents)
         self.sources.append(source)
-        common.discard(self.spark, first, texts, wanted)
+        common.discard(self.spark, contents, known, fresh, wanted, texts, new_windows, owned, *([both, lists] if lists is not None else []))
         return signed, decided
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     """Batches by ranges of doc_id; rows without a doc_id come last."""
     if batches < 2:
@@ -283,7 +328,7 @@ def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
-def deduplicate(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+def deduplicate(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """Take ``docs`` in batch by batch: all signatures, and all (doc_id, content, starts)."""
     index = FingerprintIndex(docs.sparkSession)
     signed, decided = zip(*(index.add(part) for part in in_batches(docs, batches)))
@@ -299,25 +344,22 @@ def deduplicate(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame
     return union(signed), union(decided)
 
 
-def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
+def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs``."""
     signed, decided = deduplicate(docs, batches)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text"))
-    cut = decided.where("starts is not null")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            done = []
-            for doc_id, text, content, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            removed, kept = [], []
+            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = text.split()
-                if content_key(b" ".join(words)) == content:
-                    kept = kept_words(words, starts)
-                    done.append((doc_id, content, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            columns = list(zip(*done)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "content", "n_removed", "kept"])
-
-    asked = common.member(cut, "doc_id")
-    changed = source.where(asked(F.col("doc_id"))).join(cut, "doc_id").select("doc_id", "text", "content", "starts").mapInArrow(run, "doc_id long, content long, n_removed long, kept string").distinct()
+                left = kept_words(words, starts)
+                removed.append(len(words) - len(left))
+                kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "content", "n_removed", "kept"])
+
+    changed = holders(_source(docs), decided.where("starts is not null")).select("doc_id", "content", F.col("text").cast("binary").alias("text"), "starts")
+    changed = changed.mapInArrow(run, "doc_id long, content long, n_removed long, kept string").distinct()
     whole = decided.where("starts is null").select("doc_id", "content", F.lit(-1).cast("long").alias("n_removed"), F.lit(hashlib.sha256().hexdigest()).alias("kept"))
     return (
         signed.drop("anchors").join(changed.unionByName(whole), ["doc_id", "content"], "left")
@@ -330,36 +372,36 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, batches: int = 2, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int = BATCHES, text: str = "text") -> DataFrame:
     """``docs`` with the removed words taken out of the texts; other texts stay as they are."""
     _, decided = deduplicate(docs, batches)
 
     @F.pandas_udf("string")
-    def cut(texts, contents, starts):
-        def one(t, pairs, lists):
-            if pairs is None or t is None:
-                return t
-            words = t.encode().split()
-            key = content_key(b" ".join(words))
-            for c, s in zip(pairs, lists):
-                if c == key:
-                    return "" if s is None else b" ".join(kept_words(words, list(s))).decode()
-            return t
-
-        import pandas as pd
-
-        return pd.Series([one(*x) for x in zip(texts, contents, starts)], dtype=object)
-
-    # a doc_id that stands for several texts has a list of decisions
-    lists = decided.groupBy("doc_id").agg(F.collect_list(F.struct("content", F.coalesce("starts", F.array()).alias("starts"), F.col("starts").isNull().alias("whole"))).alias("__decided"))
+    def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series(["" if s is None else b" ".join(kept_words(t.encode().split(), list(s))).decode() for t, s in zip(texts, starts)], dtype=object)
+
     # only the texts that may change are shuffled
     asked = common.member(decided, "doc_id")
-    key = F.col("doc_id").cast("long")
-    joined = docs.where(asked(key)).join(lists, "doc_id", "left")
-    starts = F.transform("__decided", lambda d: F.when(d["whole"], F.lit(None)).otherwise(d["starts"]))
-    new = F.when(F.col("__decided").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__decided.content"), starts))
-    return docs.where(~asked(key)).unionByName(joined.withColumn(text, new).select(docs.columns))
+    decided = decided.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), "starts", F.lit(True).alias("__cut")).withColumnRenamed("starts", "__starts")
+    some = docs.where(asked(F.col("doc_id").cast("long")))
+    joined = some.withColumn("__content", content(F.coalesce(F.col(text).cast("string"), F.lit("")))).join(decided.hint("merge"), (F.col("doc_id").cast("long") == F.col("__d")) & (F.col("__content") == F.col("__c")), "left")
+    new = F.when(F.col("__cut"), cut(F.coalesce(F.col(text), F.lit("")), F.col("__starts"))).otherwise(F.col(text))
+    return docs.where(~asked(F.col("doc_id").cast("long"))).unionByName(joined.withColumn(text, new).select(docs.columns))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(common.table(spark, sf_dir, "documents"))
+    return common.finished(spark, lambda: removals(common.table(spark, sf_dir, "documents")))
+
+
+#: The same in SQL: windows are told apart by their words.
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM t WHERE len(ws) >= {WINDOW} AND doc_id IS NOT NULL),
+win AS (SELECT r, doc_id, i, array_to_string(list_slice(ws, i, i + {WINDOW} - 1), ' ') AS w FROM starts),
+owned AS (SELECT r, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS gone FROM win),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM owned WHERE gone),
+word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+kept AS (SELECT word.r, string_agg(w, ' ' ORDER BY word.i) AS words, count(*) AS n FROM word ANTI JOIN hit ON word.r = hit.r AND word.i = hit.i GROUP BY word.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.r = kept.r
+"""
