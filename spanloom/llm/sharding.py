@@ -9,8 +9,8 @@ save where a cut goes through them.
    its size; the quantiles of the sampled bytes are the splitters of `RANGES` ranges.
 2. Rows are ranged by binary-like search in the splitters (two levels of small
    literal arrays), and the exact bytes and rows of each range are summed.  A range
-   with more than `OVERFULL` times the mean is subdivided by a hash, as one key or a
-   poor splitter may fill it.
+   with more than `OVERFULL` times the mean is subdivided by a hash of the row's number, as
+   one key, one row many times or a poor splitter may fill it.
 3. Running sums inside the (sub)ranges, each a small part of the rows, plus the
    offsets of the ranges give every row its exact place in the order.
 
@@ -40,7 +40,7 @@ def _literal(key) -> Column:
 def _splitters(base: DataFrame, total: int) -> list:
     """Rows (k, d) that cut the sampled bytes in RANGES parts, in order."""
     chance = F.least(F.lit(1.0), F.col("size") * F.lit(SAMPLE / total))
-    draw = F.pmod(F.xxhash64("k", "d", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("k", "d", "u", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = base.where(draw < chance).select("k", "d", F.greatest("size", F.lit(total // SAMPLE)).alias("w"))
     order = Window.orderBy("k", "d")  # over the sample only
     part = F.floor(F.sum("w").over(order) * RANGES / F.sum("w").over(Window.partitionBy()))
@@ -61,7 +61,7 @@ def _range_of(splitters: list) -> Column:
 
 
 def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
-    """Add shard (0 to shards - 1) and slot (gapless from 0 in each shard) to (k, d, size, ...)."""
+    """Add shard (0 to shards - 1) and slot (gapless from 0 in each shard) to (k, d, u, size, ...); u is a number of each row."""
     spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0]
     if not total:
@@ -74,7 +74,7 @@ def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
     sub = F.lit(0)
     if overfull:
         parts = F.element_at(F.create_map(*[F.lit(x) for kv in overfull.items() for x in kv]), F.col("range"))
-        sub = F.coalesce(F.pmod(F.xxhash64("d", "size", F.lit(3)), parts), F.lit(0))
+        sub = F.coalesce(F.pmod(F.xxhash64("u", F.lit(3)), parts), F.lit(0))
     ranged = ranged.withColumn("sub", sub.cast("int"))
     stats = ranged.groupBy("range", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("range", "sub").collect()
     offsets, at_bytes, at_rows = [], 0, 0
@@ -82,7 +82,7 @@ def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
         offsets.append((r.range, r.sub, at_bytes, at_rows))
         at_bytes, at_rows = at_bytes + r.bytes, at_rows + r.n
     offsets = spark.createDataFrame(offsets, "range int, sub int, bytes_before long, rows_before long")
-    order = Window.partitionBy("range", "sub").orderBy("k", "d", "size")
+    order = Window.partitionBy("range", "sub").orderBy("k", "d", "u")
     placed = (
         ranged.withColumn("__upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("__nth", F.row_number().over(order))
@@ -106,6 +106,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.xxhash64(text).alias("k"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
+        F.monotonically_increasing_id().alias("u"),  # parts rows that are equal; the table is written, so it stays
     )
     return shard_rows(common.materialize(rows, "sizes"), shards).select(
         F.col("d").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -124,4 +125,4 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(common.table(spark, sf_dir, "documents"))
+    return common.finished(spark, lambda: shard_documents(common.table(spark, sf_dir, "documents")))
