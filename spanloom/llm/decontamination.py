@@ -14,7 +14,7 @@
    makes its own words common, and they lose their weight.
 4. Verification: the longest common subsequence of the item's words with the words
    around the window must cover ``least`` of the item; and the answer check: of the
-   item's most telling words (highest IDF; they stand for the answer) the share
+   item's most telling third of words (highest IDF; they stand for the answer) the share
    ``answer`` must occur there.  That admits paraphrases and turns down texts that only share
    phrases with an item.
 
@@ -201,7 +201,7 @@ class Items:
             ids = term_ids(words)
             scale = max([s for s in SCALES if s <= len(words)], default=SCALES[0])
             order = np.argsort(-idf[ids], kind="stable")
-            telling = frozenset(words[order[: max(1, len(words) // 4)]].tolist())
+            telling = frozenset(words[order[: max(1, len(words) // 3)]].tolist())
             item = item_id, words.tolist(), telling
             by_scale.setdefault(scale, []).append((item, self.weighted[ids].sum(axis=0)))
             n = min(GRAM, len(words))

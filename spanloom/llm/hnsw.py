@@ -295,5 +295,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WID
 
 
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = common.materialize(usable(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
-    return search(build(vectors, 5), vectors.where("id % 50 = 0"), 5)
+    def run() -> DataFrame:
+        vectors = common.materialize(usable(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+        return search(build(vectors, 5), vectors.where("id % 50 = 0"), 5)
+
+    return common.finished(spark, run)

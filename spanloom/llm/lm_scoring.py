@@ -274,9 +274,12 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    scored = score(docs, common.table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id"))
-    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+    def run() -> DataFrame:
+        good = common.table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+        scored = score(common.table(spark, sf_dir, "documents"), good)
+        return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+    return common.finished(spark, run)
 
 
 #: The same in SQL.

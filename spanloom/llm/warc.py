@@ -311,8 +311,12 @@ def report(records: DataFrame) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     path = common.scratch(spark, "warc")
-    write_warc(pages, path)
-    out = common.materialize(report(read_warc(spark, path)), "records")
+
+    def run() -> DataFrame:
+        write_warc(pages, path)
+        return report(read_warc(spark, path))
+
+    out = common.finished(spark, run)
     common.discard(spark, path)
     found, written = out.count(), pages.count()
     if found != written:
