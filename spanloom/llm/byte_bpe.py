@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of each of the two generations of a memo.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -73,10 +73,10 @@ class ByteBPE:
         for t, i in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
-        self.pairs = Memo(500_000)
+        self.pairs = Memo(200_000)
         self.alone: dict[int, bool] = {}
         self.sizes = {i: len(t) for t, i in ranks.items()}
-        self.pieces = Memo(100_000)
+        self.pieces = Memo(50_000)
         self.unit_memo = Memo()
         self.unit_safe = _cuts_at_spaces(pattern)
 

@@ -7,14 +7,16 @@ holds the bit pattern that all fingerprints below it share under its mask, and a
 search adds up the differences on its way down and leaves a whole group as soon
 as they pass the bound.
 
-Distributed form: the top of the hierarchy is fitted on a bounded sample
-(`SAMPLE`) and has at most `MAX_LEAVES` leaves, each a masked pattern.  A
-fingerprint goes to its own leaf and, as a searcher, to every later leaf whose
-pattern differs in no more bits than the bound; each leaf builds the lower part
-of the index over its own fingerprints and is searched there.  No pair within the bound is lost: the
-pattern of a leaf differs from a searcher in no more bits than any of its
-fingerprints do.  Equal fingerprints are one node from the start, and each leaf
-returns a spanning forest of the pairs it finds, not the pairs.
+Distributed form: the masks of the uppermost nodes are the ``bound`` + 1 blocks that
+part the 64 bits.  Fingerprints within the bound agree in at least one whole block, so
+every fingerprint goes to one uppermost node per block, whatever the size of
+the input; nodes are dealt to groups of about `GROUP` fingerprints, and each group
+builds the hierarchy below its nodes, with the block's bits turned to the front,
+and is searched there.  No pair within the bound is lost.  Equal fingerprints are one
+node from the start, pairs are folded into a union-find block of queries by block of
+queries, and each group returns a spanning forest of the pairs that it finds.  The
+different fingerprints that share one block's bits are one task's work, in bounded
+memory.
 """
 
 from __future__ import annotations
@@ -28,14 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, flat
 from .components import connected_components
 
-#: Fingerprints that fit the upper part of the index.
-SAMPLE = 65_536
-#: Leaves of the upper part: so many at least, more when they would hold more than LEAF_SIZE fingerprints.
-#: Searchers go to more leaves the more there are, so the number does not follow the input before it must.
-LEAST_LEAVES, MAX_LEAVES, LEAF_SIZE = 64, 2_048, 200_000
+#: Fingerprints of a group; steps of a search that are held at once.
+GROUP, HELD = 65_536, 1 << 20
 SEGMENT = 4  # bits that one level of the lower part looks at
 
 
@@ -86,152 +85,156 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def mask(bits: int) -> int:
-    """The first ``bits`` of 64 bits set."""
-    return ((1 << bits) - 1) << (64 - bits)
+def turned(x: np.ndarray, by: int) -> np.ndarray:
+    """The bits of each value turned left."""
+    return x if not by else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def upper_leaves(sample: np.ndarray, total: int) -> list[tuple[int, int]]:
-    """Masked patterns (pattern, bits) that part all 64-bit values, each with a like share of ``total``."""
-    sample = np.unique(sample)
-    sample = sample[np.argsort(gray_rank(sample))]
-    most = max(LEAST_LEAVES, min(MAX_LEAVES, -(-total // LEAF_SIZE))) // 2
-    cap = max(4, len(sample) // most)
-    out: list[tuple[int, int]] = []
-    todo = [(0, 0, sample)]
-    while todo:
-        pattern, bits, held = todo.pop()
-        if len(held) <= cap or bits >= 48:
-            out.append((pattern, bits))
-            continue
-        one = pattern | 1 << (63 - bits)
-        is_one = (held >> np.uint64(63 - bits)) & np.uint64(1) == 1
-        todo += [(pattern, bits + 1, held[~is_one]), (one, bits + 1, held[is_one])]
-    ranks = gray_rank(np.array([p for p, _ in out], np.uint64))
-    return [out[i] for i in np.argsort(ranks)]
+def blocks(bound: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the bound + 1 blocks."""
+    edges = [64 * i // (bound + 1) for i in range(bound + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 class GrayIndex:
-    """The lower part: distinct fingerprints in Gray order under nodes of shared patterns."""
-
-    def __init__(self, fps: np.ndarray, small: int = 4):
-        self.fps = fps[np.argsort(gray_rank(fps))]
-        self.small = small
-        starts = np.array([0] if len(fps) else [], np.int64)
-        self.levels = []  # for each: where nodes start, their patterns in the segment, the first child of each node above
-        depth = 0
+    """Distinct fingerprints in Gray order under nodes of shared patterns; the first ``exact`` bits must agree."""
+
+    def __init__(self, fps: np.ndarray, exact: int = 0, small: int = 4):
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
+        self.exact, self.small = exact, small
+        key = self.fps >> np.uint64(64 - exact) if exact else np.zeros(len(fps), np.uint64)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(fps) else np.empty(0, np.int64)
+        self.top = key[starts]
+        self.by_top = np.argsort(self.top)
+        self.levels = []  # for each: where nodes start, their sizes, the first child of each, the children's patterns in the segment
+        depth = exact
         while depth < 64 and len(starts):
             sizes = np.diff(np.append(starts, len(self.fps)))
             if (sizes <= small).all():
                 break
-            key = self.fps >> np.uint64(64 - depth - SEGMENT)
+            width = min(SEGMENT, 64 - depth)
+            key = self.fps >> np.uint64(64 - depth - width)
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             first_child = np.searchsorted(cut, np.append(starts, len(self.fps)))
-            self.levels.append((starts, sizes, first_child, (key[cut] & np.uint64((1 << SEGMENT) - 1)).astype(np.uint8)))
-            starts, depth = cut, depth + SEGMENT
+            self.levels.append((starts, sizes, first_child, (key[cut] & np.uint64((1 << width) - 1)).astype(np.uint8), depth + width, width))
+            starts, depth = cut, depth + width
         self.last = starts, np.diff(np.append(starts, len(self.fps)))
 
-    def pairs(self, queries: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, place in self.fps) for all that differ in at most ``bound`` bits."""
-        found_q, found_f = [], []
-
-        def compare(q, start, size):
-            n = int(size.sum())
-            qq = np.repeat(q, size)
-            ff = np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(n)
-            near = np.bitwise_count(queries[qq] ^ self.fps[ff]) <= bound
-            found_q.append(qq[near])
-            found_f.append(ff[near])
-
-        q = np.arange(len(queries) if len(self.fps) else 0)
-        node = np.zeros(len(q), np.int64)
-        apart = np.zeros(len(q), np.uint8)
-        for level, (starts, sizes, first_child, patterns) in enumerate(self.levels):
-            few = sizes[node] <= self.small
+    def _compare(self, queries, bound, q, start, size):
+        n = int(size.sum())
+        qq = np.repeat(q, size)
+        ff = np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(n)
+        near = np.bitwise_count(queries[qq] ^ self.fps[ff]) <= bound
+        return qq[near], ff[near]
+
+    def pairs(self, queries: np.ndarray, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, place in self.fps) for all that differ in at most ``bound`` bits, part by part."""
+        if not len(self.fps) or not len(queries):
+            return
+        key = queries >> np.uint64(64 - self.exact) if self.exact else np.zeros(len(queries), np.uint64)
+        at = np.minimum(np.searchsorted(self.top[self.by_top], key), len(self.top) - 1)
+        node = self.by_top[at]
+        q = np.flatnonzero(self.top[node] == key)
+        todo = [(0, q, node[q], np.zeros(len(q), np.uint8))]
+        while todo:  # depth first, in parts of which each level holds about HELD steps
+            level, q, node, apart = todo.pop()
+            starts, sizes = self.levels[level][:2] if level < len(self.levels) else self.last
+            few = sizes[node] <= self.small if level < len(self.levels) else np.ones(len(q), bool)
+            steps = np.where(few, sizes[node], 0 if level == len(self.levels) else 1 << SEGMENT)
+            if len(q) > 1 and steps.sum() > HELD:
+                half = len(q) // 2
+                todo += [(level, x[0], x[1], x[2]) for x in ((q[:half], node[:half], apart[:half]), (q[half:], node[half:], apart[half:]))]
+                continue
             if few.any():
-                compare(q[few], starts[node[few]], sizes[node[few]])
+                yield self._compare(queries, bound, q[few], starts[node[few]], sizes[node[few]])
                 q, node, apart = q[~few], node[~few], apart[~few]
+            if not len(q):
+                continue
+            _, _, first_child, patterns, upto, width = self.levels[level]
             children = first_child[node + 1] - first_child[node]
-            total = int(children.sum())
-            at = np.repeat(first_child[node] - np.append(0, np.cumsum(children)[:-1]), children) + np.arange(total)
+            at = np.repeat(first_child[node] - np.append(0, np.cumsum(children)[:-1]), children) + np.arange(int(children.sum()))
             q, apart = np.repeat(q, children), np.repeat(apart, children)
-            segment = ((queries[q] >> np.uint64(64 - SEGMENT * (level + 1))) & np.uint64((1 << SEGMENT) - 1)).astype(np.uint8)
+            segment = ((queries[q] >> np.uint64(64 - upto)) & np.uint64((1 << width) - 1)).astype(np.uint8)
             apart = apart + np.bitwise_count(segment ^ patterns[at])
             keep = apart <= bound
-            q, node, apart = q[keep], at[keep], apart[keep]
-        compare(q, self.last[0][node], self.last[1][node])
-        return np.concatenate(found_q), np.concatenate(found_f)
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Places of the pairs that join two trees: a spanning forest of n nodes."""
-    root = list(range(n))
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(i)
-    return np.array(kept, np.int64)
+            todo.append((level + 1, q[keep], at[keep], apart[keep]))
+
+
+class Forest:
+    """Union-find over n places, fed with arrays of pairs; keeps one pair for each join."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.kept: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.root[a], self.root[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return
+        x, y = x[apart], y[apart]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        _, first = np.unique(low * len(self.root) + high, return_index=True)
+        root = self.root
+        for i in first.tolist():
+            u, v = int(low[i]), int(high[i])
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                self.kept.append((int(a[apart[i]]), int(b[apart[i]])))
+        while True:  # every place points to its root again
+            above = root[root]
+            if (above == root).all():
+                return
+            root[:] = above
 
 
 def near_links(nodes: DataFrame, bound: int) -> DataFrame:
-    """Links (a, b) between nodes (node, fp distinct) whose fingerprints differ in at most ``bound`` bits.
+    """Links (a, b) between the rows of (t, fp, node), fp distinct in each t, whose fingerprints differ in at most ``bound`` bits.
 
-    A spanning forest per leaf: the components are those of all pairs within the bound.
+    A spanning forest per group: the components are those of all pairs within the bound.
     """
-    total = nodes.count()
-    part = min(1.0, SAMPLE / max(total, 1))
-    picked = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
-    sample = np.array([r[0] for r in nodes.where(picked).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
-    leaves = upper_leaves(sample, total)
-    patterns = np.array([p for p, _ in leaves], np.uint64)
-    masks = np.array([mask(b) for _, b in leaves], np.uint64)
+    most = nodes.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    parts = np.uint64(max(1, -(-most // GROUP)))
+    cuts = blocks(bound)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for at in range(0, len(fp), 2_048):
-                f = fp[at : at + 2_048]
-                apart = np.bitwise_count((f[:, None] ^ patterns) & masks)
-                home = apart.argmin(axis=1)  # the leaves part all values: just one has no difference
-                i, leaf = np.nonzero((apart <= bound) & (np.arange(len(leaves)) >= home[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(leaf == home[i]), pa.array(node[at:][i]), pa.array(f[i].view(np.int64))], ["leaf", "own", "node", "fp"])
+            fp = batch.column(1).to_numpy().view(np.uint64)
+            for i, (first, bits) in enumerate(cuts):
+                top = turned(fp, first) >> np.uint64(64 - bits)
+                part = (flat.mixed(top + np.uint64(1)) % parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(fp), i, np.int32)), pa.array(part), batch.column(1), batch.column(2)], ["t", "block", "part", "fp", "node"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        fp, node, own = group.fp.to_numpy().view(np.uint64), group.node.to_numpy(), group.own.to_numpy()
-        index = GrayIndex(fp[own])
-        place = dict(zip(fp[own].tolist(), node[own].tolist()))
-        held = np.array([place[f] for f in index.fps.tolist()], np.int64)
-        a, b = [], []
-        for at in range(0, len(fp), 8_192):
-            q, f = index.pairs(fp[at : at + 8_192], bound)
-            a.append(node[at:][q])
-            b.append(held[f])
-        a, b = np.concatenate(a), np.concatenate(b)
-        a, b = a[a != b], b[a != b]
-        names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-        kept = forest(both[: len(a)], both[len(a) :], len(names))
-        return pd.DataFrame({"a": a[kept], "b": b[kept]})
-
-    routed = nodes.select("node", "fp").mapInArrow(route, "leaf int, own boolean, node long, fp long")
-    return routed.groupBy("leaf").applyInPandas(search, "a long, b long")
+        first, bits = cuts[int(group.block.iloc[0])]
+        fp, node = turned(group.fp.to_numpy().view(np.uint64), first), group.node.to_numpy()
+        index = GrayIndex(fp, bits)
+        forest = Forest(len(fp))
+        for q, f in index.pairs(index.fps, bound):
+            forest.add(q, f)
+        held = node[index.order]
+        a, b = np.array(forest.kept, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": held[a], "b": held[b]})
+
+    routed = nodes.select("t", "fp", "node").mapInArrow(route, "t int, block int, part int, fp long, node long")
+    return routed.groupBy("t", "block", "part").applyInPandas(search, "a long, b long")
 
 
 def _components(nodes: DataFrame, tables: list[str], bound: int) -> DataFrame:
     """(node, component) of nodes with one fingerprint per table: a link in any table is a link."""
-    links = None
-    for fp in tables:
-        firsts = common.materialize(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("node")), "nodes")
-        found = near_links(firsts, bound)
-        if len(tables) > 1:  # several nodes may have the fingerprint: each is linked to the first
-            star = nodes.join(firsts.select(F.col("fp").alias(fp), F.col("node").alias("b")), fp).where("node <> b").select(F.col("node").alias("a"), "b")
-            found = found.unionByName(star)
-        links = found if links is None else links.unionByName(found)
-    return connected_components(links)
+    held = nodes.select(F.posexplode(F.array(*tables)).alias("t", "fp"), "node")
+    firsts = common.materialize(held.groupBy("t", "fp").agg(F.min("node").alias("node")), "nodes")
+    links = near_links(firsts, bound)
+    if len(tables) > 1:  # several nodes may have the fingerprint: each is linked to the first
+        links = links.unionByName(held.join(firsts.withColumnRenamed("node", "b"), ["t", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b"))
+    out = connected_components(links)
+    common.discard(nodes.sparkSession, firsts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFrame:
@@ -263,31 +266,45 @@ SEEDS = tuple(range(42, 54))
 SALTS, MANY = 16, 2_048
 
 
+#: A byte to eight bytes, one for each of its bits: sums of 255 of them do not run over.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def majorities(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For successive groups of hashes the value whose bits are set in over half of the group; 0 for an empty one."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    sizes = sizes[some]
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    bits = _SPREAD[h.astype(">u8").view(np.uint8).reshape(-1, 8)]
+    sums = np.ascontiguousarray(np.add.reduceat(bits, cuts, axis=0)).view(np.uint8).reshape(len(cuts), 64)
+    counts = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+    out[some] = np.packbits(counts * 2 > sizes[:, None], axis=1).view(">u8").ravel()
+    return out
+
+
 def word_set_fingerprints(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """(doc_id, text_key, f0, f1, ...): per seed the fingerprint of the text's set of words."""
     common.arrow_rows(docs.sparkSession)
-    digest = xxhash.xxh64_intdigest
     names = [f"f{i}" for i in range(len(seeds))]
     salts = [np.uint64(xxhash.xxh64_intdigest(b"", s)) for s in seeds]
 
-    def one(h: np.ndarray) -> int:
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(h)).tobytes(), "big")
-
-    def mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
-        h = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(32))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((batch.num_rows, len(seeds)), np.uint64)
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = set(text.lower().split())
-                if words:
-                    h = np.fromiter(map(digest, words), np.uint64, len(words))
-                    found[i] = [one(mixed(h, s)) for s in salts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T]], ["doc_id", "text_key", *names])
+            words = flat.Words([t.translate(flat.LOWER) for t in batch.column(2).to_pylist()])
+            h = words.hashes()
+            owner = np.repeat(np.arange(batch.num_rows), words.counts)
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            h, sizes = h[new], np.bincount(owner[new], minlength=batch.num_rows)
+            found = [majorities(flat.mixed(h ^ s), sizes) for s in salts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x.view(np.int64)) for x in found]], ["doc_id", "text_key", *names])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), common.utf8("text").alias("text"))
     return narrow.mapInArrow(run, ", ".join(["doc_id long", "text_key binary", *[f"{n} long" for n in names]]))
@@ -316,7 +333,14 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                h = flat.Words([text.translate(flat.LOWER)]).hashes()
+                width = min(words, len(h))
+                grams = h[: len(h) - width + 1].copy() if width else h
+                for i in range(1, width):
+                    grams = flat.mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
+                found.append(np.unique(grams).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "shingles"])
 
     names = [c for c in texts.columns if c != "text"]
@@ -324,47 +348,37 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select(*names, "text").mapInArrow(run, f"{kinds}, shingles binary")
 
 
-def _greedy(least: float):
-    """Rows (component, doc_id, text_key, shingles) in order to the text_keys that an earlier kept text is near to."""
-
-    def prefix(h: np.ndarray) -> list:
-        # two sets at ``least`` share one of so many smallest values
-        return h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1].tolist()
+def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
+    """(component, h, text_key, doc_id, left): of each text so many of its smallest hashes that two texts at ``least`` share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, kept, by = None, [], {}
         for batch in batches:
-            out = []
-            for component, doc_id, key, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if component != here:
-                    here, kept, by = component, [], {}
-                h = _set(data)
-                first = prefix(h) or [None]
-                if any(kept[i][0] < doc_id and jaccard(kept[i][1], h) >= least for i in sorted({i for x in first for i in by.get(x, ())})):
-                    out.append(key)
-                    continue
-                for x in first:
-                    by.setdefault(x, []).append(len(kept))
-                kept.append((doc_id, h))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["text_key"])
-
-    return run
+            sets = [_set(x) for x in batch.column(4).to_pylist()]
+            sets = [h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1] if len(h) else np.zeros(1, np.uint64) for h in sets]
+            row = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h in sets]))
+            h = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), h, *[batch.column(i).take(row) for i in (1, 2, 3)]], ["component", "h", "text_key", "doc_id", "left"])
+
+    return texts.select("component", "text_key", "doc_id", "left", "shingles").mapInArrow(run, "component long, h long, text_key binary, doc_id long, left boolean")
 
 
 def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: a row goes if a row that stays, with a smaller doc_id, is near to it.
+    """The rows of ``docs`` without near-duplicates: of each group of linked texts the one with the smallest doc_id stays.
+
+    Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity
+    of ``least`` or more; no row goes without such links.  Candidates are the texts of one
+    component of the index: fingerprints of shingles differ too much at that
+    similarity to be found within three bits, so they are those of the sets of
+    words, and several tables, each with its own hashes, make up for the chance in one.
 
-    Near-duplicates are texts whose sets of ``words``-word shingles have a Jaccard
-    similarity of ``least`` or more.  Candidates are the texts of one component of
-    the index: fingerprints of shingles differ too much at that similarity to be
-    found within three bits, so they are those of the sets of words, and several
-    tables, each with its own hashes, make up for the chance in one.  Every
-    candidate is compared with the texts that stay by the shingles themselves:
-    first all texts of a component with its first one, then the rest in the order
-    of doc_id, each with those kept before.
+    Every candidate is compared, by the shingles themselves, with the first text of
+    its component; each text that is not near to it, with those texts of the component
+    that hold the same rare shingles: for each such shingle the first and the last text
+    of all and the first of those left.  The groups are the components of these verified links.
 
     Rows without a doc_id stay; rows with the same doc_id never remove each other;
-    texts without words are equal to each other.
+    texts without words are equal to each other; an empty table gives no rows; other
+    columns are carried through.
     """
     spark = docs.sparkSession
     named = docs.where("doc_id is not null")
@@ -382,7 +396,7 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     wanted = common.member(asked, "text_key")
     held = named.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), common.utf8("text").alias("text")).where(wanted(F.col("text_key")))
     # a text that a doc_id has twice is taken twice; that does no harm
-    sets = common.materialize(shingle_sets(held.join(asked, ["doc_id", "text_key"]).select("component", "doc_id", "text_key", "n", "first_key", "text"), words), "shingles")
+    sets = common.materialize(shingle_sets(held.join(asked.hint("merge"), ["doc_id", "text_key"]).select("component", "doc_id", "text_key", "n", "first_key", "text"), words), "shingles")
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -390,19 +404,35 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
 
     salt = F.when(F.col("n") > MANY, F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("n") > MANY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    heads = sets.where("text_key = first_key").dropDuplicates(["component"]).select("component", F.explode(salts).alias("salt"), F.col("doc_id").alias("head"), F.col("shingles").alias("head_shingles"))
+    heads = sets.where("text_key = first_key").dropDuplicates(["component"]).select("component", F.explode(salts).alias("salt"), F.col("shingles").alias("first_shingles"))
     others = sets.where("text_key <> first_key").withColumn("salt", salt).join(heads, ["component", "salt"])
-    compared = common.materialize(others.select("component", "doc_id", "text_key", "shingles", ((F.col("doc_id") > F.col("head")) & near("shingles", "head_shingles")).alias("near")), "compared")
-    rest = compared.where("not near").select("component", "doc_id", "text_key", "shingles")
-    several = rest.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    later = rest.join(several, "component").select(*rest.columns).repartition("component").sortWithinPartitions("component", "doc_id", "text_key").mapInArrow(_greedy(least), "text_key binary")
-    gone = common.materialize(compared.where("near").select("text_key").unionByName(later).distinct().withColumn("gone", F.lit(True)), "gone")
+    compared = common.materialize(others.select("component", "text_key", "first_key", near("shingles", "first_shingles").alias("near")), "compared")
+    links = compared.where("near").select(F.col("text_key").alias("a"), F.col("first_key").alias("b"))
+
+    # texts of a component that are not near to its first
+    left = compared.where("not near").select("component", "text_key").distinct().withColumn("left", F.lit(True))
+    of_left = sets.join(left.select("component").distinct(), "component", "left_semi").join(left, ["component", "text_key"], "left")
+    rare = common.materialize(rare_shingles(of_left.withColumn("left", F.coalesce("left", F.lit(False))), least), "rare")
+    text = F.struct("doc_id", "text_key")
+    holders = rare.groupBy("component", "h").agg(F.min(text).alias("x"), F.max(text).alias("y"), F.min(F.when(F.col("left"), text)).alias("z"))
+    pairs = (
+        rare.where("left").join(holders, ["component", "h"]).select(F.col("text_key").alias("a"), F.explode(F.array("x.text_key", "y.text_key", "z.text_key")).alias("b"))
+        .where("a <> b").distinct()
+    )
+    known = sets.select("text_key", "shingles").dropDuplicates(["text_key"])
+    pairs = pairs.join(known.toDF("a", "of_a"), "a").join(known.toDF("b", "of_b"), "b").where(near("of_a", "of_b")).select("a", "b")
+    groups = connected_components(links.unionByName(common.materialize(pairs, "pairs")))
+
+    # the first text of each group stays
+    grouped = texts.join(groups.select(F.col("node").alias("text_key"), F.col("component").alias("in_group")), "text_key")
+    stays = grouped.groupBy("in_group").agg(F.min("doc_id").alias("kept"))
+    gone = grouped.join(stays, "in_group").where("doc_id > kept").select("text_key", F.lit(True).alias("gone"))
     known = texts.select("text_key", F.col("doc_id").alias("owner")).join(gone, "text_key", "left")
     extra = prints.select("doc_id", "text_key").join(known, "text_key").where("gone or doc_id <> owner").select("doc_id", "text_key").distinct()
     extra = common.materialize(extra, "extra").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
-    common.discard(spark, asked, sizes, sets, compared)
+    common.discard(spark, asked, sizes, sets, compared, rare, nodes, texts, prints)
     return docs.join(extra, (F.col("doc_id") == F.col("d")) & (text_key() == F.col("k")), "left_anti").select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, bound=2)
+    return common.finished(spark, lambda: near_duplicates(common.table(spark, sf_dir, "documents"), words=3, bound=2))
