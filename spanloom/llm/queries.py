@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lm_scoring, substring_dedup, warc
 from .byte_bpe import op10_byte_bpe
 from .decontamination import op7_decontamination
 from .hnsw import op8_hnsw
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring_dedup": substring_dedup.ORACLE, "op6_warc": warc.ORACLE, "op9_lm_scoring": lm_scoring.ORACLE}

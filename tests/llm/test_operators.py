@@ -8,10 +8,12 @@ import zlib
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from spanloom.llm import byte_bpe, common, components, decontamination, hnsw, html_main_text, lm_scoring, queries, sharding, simhash, substring_dedup, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +26,31 @@ def edge(spark):
     return spark.createDataFrame(EDGE, EDGE_SCHEMA)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "documents pages labels".split():
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    got = queries.queries()[name](spark, SF)
+    result = con.execute(queries.oracle_sql()[name])
+    assert [d[0] for d in result.description] == got.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
+def test_the_filter_keeps_all_keys(spark):
+    keys = spark.range(0, 300_000, 3)
+    held = common.MOST_BITS
+    try:
+        for common.MOST_BITS, most in ((held, 0.05), (1 << 20, 0.4), (1 << 18, 1.0)):
+            has = common.member(keys, "id")
+            assert keys.where(~has(F.col("id"))).count() == 0
+            assert spark.range(300_000, 310_000).where(has(F.col("id"))).count() <= most * 10_000
+    finally:
+        common.MOST_BITS = held
+
+
 def test_all_ten_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
 
@@ -53,9 +80,48 @@ def test_main_text_edges(html, text):
     assert html_main_text.main_text(html) == text
 
 
-@pytest.mark.parametrize("attrs, furniture", [('href="/hidden-valley"', 0), ('href="/p?id=comments"', 0), ("href=/p?id=comments", 0), ('title="the hidden display: none"', 0), ('data-role="search"', 0), ("hidden", 1), ('href="/a"class="nav"', 1), ("ID = comments", 1), ("role='search'", 1), ('style="display: none"', 1), ('aria-hidden="true"', 1)])
+@pytest.mark.parametrize("attrs, furniture", [('href="/hidden-valley"', 0), ('href="/p?id=comments"', 0), ("href=/p?id=comments", 0), ('title="the hidden display: none"', 0), ('data-role="search"', 0), ('data-id="ad-7"', 0), ('style="overflow:hidden"', 0), ("hidden", 1), ("role='search'", 1), ('style="display: none"', 1), ('aria-hidden="true"', 1)])
 def test_attributes_are_known_by_whole_names(attrs, furniture):
-    assert html_main_text._looks_like_furniture("a", " " + attrs) == bool(furniture)
+    assert html_main_text.marked_as_furniture("a", html_main_text.attributes(" " + attrs)) == bool(furniture)
+
+
+BODY = "<h1>A title of this page</h1><p>" + "some words of the first paragraph " * 5 + "</p>{}<p>" + "and the words that follow after it " * 5 + "</p>"
+FIRST, AFTER = "A title of this page\n" + " ".join(["some words of the first paragraph"] * 5), " ".join(["and the words that follow after it"] * 5)
+
+
+@pytest.mark.parametrize("holder", ["<article>{}</article>", "<main>{}</main>", '<div id="content" style="overflow:hidden" data-role="navigation">{}</div>', "<div class=story><div>{}</div></div>"])
+@pytest.mark.parametrize(
+    "inserted, text",
+    [
+        ('<svg class="x" viewBox="0 0 1 1"/>', ""), ('<svg><title>no</title><path d="M0"/></svg>', ""), ('<p data-id="ad-7">kept one</p>', "kept one"), ('<div title="the hidden gem">kept two</div>', "kept two"),
+        ('<section id="discussion"><h2>Head</h2><p>of it</p></section>', "Head\nof it"), ('<section class="legal-history"><h2>Head</h2><p>of it</p></section>', "Head\nof it"),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "where x=1 holds"), ('<p><a href="/p?id=comments">a link</a></p>', "a link"), ("<p title=it's>an &eacute;t&#233;</p>", "an été"),
+        ('<div class="ad">gone</div>', ""), ('<div id="cookie-notice">gone</div>', ""), ('<section class="comments-area"><h3>Two comments</h3><p>gone</p></section>', ""), ("<aside>gone</aside>", ""), ("<form><input><button>gone</button></form>", ""),
+        ('<script>var a = "</p>";</script><style>p{}</style>', ""), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<p>a<br>b", "a\nb"), ("<!-- <p>gone</p> -->", ""),
+    ],
+)
+def test_what_stands_in_an_article(holder, inserted, text):
+    around = '<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav>{}<footer>&copy; us</footer></body></html>'
+    page = around.format(holder.format(BODY.format(inserted)))
+    assert html_main_text.main_text(page) == "\n".join(x for x in (FIRST, text, AFTER) if x)
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 200_000 + "words here " * 10, ("<div>a " * 100_000) + "</b>" * 100_000, "<b>" * 100_000 + "<p>x</p>" * 100_000, "<a href='" * 50_000, "<p " * 50_000, "x < y " * 100_000):
+        html_main_text.main_text(page)
+    assert time.time() - began < 60
+    assert html_main_text.main_text("<div>" * 200_000 + "words here " * 10) == " ".join(["words here"] * 10)
+
+
+def test_pages_with_edges_through_spark(spark):
+    rows = [(None, "u", "<p>a b c</p>", 1), (1, None, None, 2), (2, "u", "", 3), (2, "u", "", 3), (3, "u", "<p>" + "long " * 200_000 + "</p>", 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(((r.page_id, r.url, r.n_chars) for r in html_main_text.extract(pages).collect()), key=str)
+    assert got == sorted([(None, "u", 5), (1, None, 0), (2, "u", 0), (2, "u", 0), (3, "u", 999_999)], key=str)
+    assert html_main_text.extract(pages.limit(0)).count() == 0
 
 
 def test_best_region():
@@ -91,6 +157,12 @@ def test_shards_with_one_hot_text(spark, edge):
     assert sharding.shard_documents(edge.limit(0)).count() == 0
 
 
+def test_shards_with_one_hot_row(spark):
+    texts = [(7, "the same row")] * 3_000 + [(i, f"other {i}") for i in range(500)]
+    rows = sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check_shards(rows, texts, 2 * 13)
+
+
 # ---- 3
 
 
@@ -118,6 +190,9 @@ def test_chain_edges(spark, edge):
     one = spark.createDataFrame([(3, 1, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(edge, one).where("toxic").count() == 0
     assert toxicity.toxicity(edge.limit(0), one).count() == 0
+    names = edge.withColumnRenamed("n_words", "toxic").withColumn("quality", F.lit(1)).withColumn("p", F.lit(0.5))
+    assert toxicity.toxicity(names, one).count() == len(EDGE)
+    assert toxicity.without_toxic(names, one).columns == names.columns
 
 
 # ---- 4
@@ -155,7 +230,7 @@ def passages(seed, n):
     return rows + [(None, " ".join(blocks[0])), (90, " ".join(blocks[0])), (91, " ".join(blocks[0])), (91, " ".join(blocks[0])), (92, "x\n" * 300), (93, "x\t" * 120), (94, None), (95, "")]
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 6])
 def test_substring_dedup_equals_brute_force(spark, batches):
     rows = passages(batches, 80)
     docs = spark.createDataFrame([(d, t, "extra") for d, t in rows], "doc_id long, text string, content string")
@@ -167,6 +242,21 @@ def test_substring_dedup_equals_brute_force(spark, batches):
     assert substring_dedup.removals(docs.limit(0)).count() == 0
 
 
+def test_the_index_is_compacted_saved_and_taken_up_again(spark, tmp_path):
+    rows = [r for r in passages(11, 60) if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [docs.where(f"doc_id >= {a} and doc_id < {b}") for a, b in ((0, 20), (20, 40), (40, 60), (60, 100))]
+    index = substring_dedup.FingerprintIndex(spark)
+    decided = [index.add(p)[1] for p in parts[:3]]
+    assert index.compactions == 3 and all(len(r) == 2 for r in index.runs.values())
+    index.save(str(tmp_path / "manifest"))
+    later = substring_dedup.FingerprintIndex.load(spark, str(tmp_path / "manifest"), parts[:3])
+    assert later.batches == 3
+    decided.append(later.add(parts[3])[1])
+    got = {r.doc_id for d in decided for r in d.collect()}
+    assert got == {r[0] for r in removed_by_brute_force(rows) if r[2]}
+
+
 # ---- 5
 
 
@@ -207,12 +297,48 @@ def test_gray_index_finds_every_pair():
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (60, 30), dtype=np.uint64)
     fps = np.unique(np.concatenate([base, (base[:, None] ^ flips).ravel()]))
-    index = simhash.GrayIndex(fps)
-    for bound in (0, 1, 3):
-        q, f = index.pairs(fps, bound)
-        assert set(zip(fps[q].tolist(), index.fps[f].tolist())) == {(int(a), int(b)) for a in fps for b in fps if (int(a) ^ int(b)).bit_count() <= bound}
-    leaves = simhash.upper_leaves(fps, 100_000)
-    assert sum(1 << (64 - b) for _, b in leaves) == 1 << 64
+    held = simhash.HELD
+    try:
+        for simhash.HELD in (held, 64):  # whole, and in small parts
+            for exact in (0, 16, 21):
+                index = simhash.GrayIndex(fps, exact)
+                for bound in (0, 1, 3):
+                    got = [(int(fps[x]), int(index.fps[y])) for q, f in index.pairs(fps, bound) for x, y in zip(q, f)]
+                    want = {(int(a), int(b)) for a in fps for b in fps if (int(a) ^ int(b)).bit_count() <= bound and int(a ^ b) >> (64 - exact) == 0}
+                    assert set(got) == want and len(got) == len(want)
+    finally:
+        simhash.HELD = held
+
+
+@pytest.mark.parametrize("bound", [2, 3])
+def test_links_give_the_components_of_all_pairs(spark, bound):
+    rnd = random.Random(bound)
+    values = [rnd.getrandbits(64) for _ in range(80)]
+    for _ in range(300):
+        x = rnd.choice(values)
+        for _ in range(rnd.randint(1, 4)):
+            x ^= 1 << rnd.randint(0, 63)
+        values.append(x)
+    prints = dict(enumerate(dict.fromkeys(values)))
+    held, simhash.GROUP = simhash.GROUP, 50
+    try:
+        rows = [(0, x - (1 << 64) if x >> 63 else x, i) for i, x in prints.items()]
+        links = simhash.near_links(spark.createDataFrame(rows, "t int, fp long, node long"), bound)
+        got = {r.node: r.component for r in components.connected_components(links).collect()}
+    finally:
+        simhash.GROUP = held
+    assert {i: got.get(i, i) for i in prints} == components_by_brute_force(prints, bound)
+
+
+def test_one_large_group_of_near_fingerprints(spark):
+    rng = np.random.default_rng(3)
+    flips = (np.uint64(1) << rng.integers(0, 64, (20_000, 3), dtype=np.uint64))
+    fps = np.unique(np.uint64(0x0123456789ABCDEF) ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])
+    nodes = spark.createDataFrame(pd.DataFrame({"t": 0, "fp": fps.view(np.int64), "node": np.arange(len(fps))}), "t int, fp long, node long")
+    links = simhash.near_links(nodes, 2)
+    assert links.count() <= 3 * len(fps)  # forests, not pairs
+    got = components.connected_components(links).groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in got] == [(0, len(fps))]
 
 
 def test_simhash_edges(spark, edge):
@@ -295,6 +421,42 @@ def test_warc_keeps_pages_with_very_long_urls(spark):
     assert got == {p: hashlib.sha256(h.encode()).hexdigest() for p, _, h in rows}
 
 
+def read_back(spark, rows, **options):
+    path = common.scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    return {r.page_id: r for r in warc.report(warc.read_warc(spark, path, **options)).collect()}
+
+
+def test_warc_urls_do_not_pass_for_headers(spark):
+    urls = ["http://x/?q=Content-Length:7", "http://x/\u2028WARC-Payload-Digest: sha256:00", "a\r\nContent-Length: 3\r\n\r\n", "b\x85WARC-Type: revisit", "c d\te", None]
+    got = read_back(spark, [(i, u, "page %d " % i + "y" * 300) for i, u in enumerate(urls)])
+    assert {i: (r.payload_bytes, r.record_type) for i, r in got.items()} == {i: (307, "response") for i in range(len(urls))}
+    assert read_back(spark, []) == {}
+
+
+def test_warc_many_copies(spark):
+    hot = "hot " * 50
+    rows = [(i, "http://h/%d" % (i % 3), hot) for i in range(5, 300)] + [(5, "http://z/", hot)] * 3 + [(5, None, hot)] * 2 + [(None, "n", hot)] * 2 + [(400, "u", "x" * 200)] * 2
+    path = common.scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.report(warc.read_warc(spark, path)).collect())
+    want = collections.Counter([(i, "revisit", 5, 200) for i in range(6, 300)] + [(5, "response", None, 200)] + [(5, "revisit", 5, 200)] * 5 + [(None, "revisit", 5, 200)] * 2 + [(400, "response", None, 200), (400, "revisit", 400, 200)])
+    assert got == want
+
+
+def test_warc_that_breaks_off_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    warc.write_warc(spark.createDataFrame([(i, "u", "page %d " % i + "z" * 200) for i in range(20)], "page_id long, url string, html string").coalesce(1), path)
+    part = next((tmp_path / "archive").glob("part-*"))
+    data = part.read_bytes()
+    for crc in (tmp_path / "archive").glob(".*.crc"):
+        crc.unlink()
+    part.write_bytes(data[:-100])
+    with pytest.raises(warc.BrokenArchive):
+        warc.read_warc(spark, path)
+    assert sorted(r.page_id for r in warc.report(warc.read_warc(spark, path, strict=False)).collect()) == list(range(19))
+
+
 # ---- 7
 
 
@@ -359,6 +521,40 @@ def test_items_in_a_third_of_the_rows_are_found(spark):
     assert {r.doc_id for r in decontamination.without_contaminated(docs, bench).collect()} == set(range(2, 300, 3))
 
 
+def test_retrieval_finds_what_a_search_of_every_place_finds(spark):
+    rnd = random.Random(21)
+    vocabulary = ["term%d" % i for i in range(1500)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [text(rnd.randint(12, 40)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        words = text(rnd.randint(20, 120))
+        if i % 3:
+            item, share = list(rnd.choice(items)), rnd.choice([0.1, 0.2, 0.3])
+            item = [w for x in item for w in ([rnd.choice(vocabulary)] if rnd.random() < share else [x, rnd.choice(vocabulary)] if rnd.random() < 0.05 else [x])]
+            at = rnd.randint(0, len(words))
+            words[at:at] = item
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    idf, _ = decontamination.fit(docs)
+    want = set()
+    for i, item in enumerate(items):
+        ids = decontamination.term_ids(decontamination.split([" ".join(item).encode()]).hashes())
+        order = np.argsort(-idf[ids], kind="stable")
+        telling = {item[j] for j in order[: max(1, len(item) // 3)]}
+        scale = max(s for s in decontamination.SCALES if s <= len(item))
+        for d, t in rows:
+            words = t.split()
+            for at in range(len(words)):
+                around = words[max(0, at - len(item)) : at + scale + len(item)]
+                if len(telling & set(around)) >= 0.5 * len(telling) and decontamination.lcs_length(item, around) >= 0.6 * len(item):
+                    want.add((d, i))
+                    break
+    got = {(r.doc_id, i) for r in decontamination.contaminated(docs, bench).collect() for i in r.item_ids}
+    assert got <= want and len(want) > 50 and len(got) / len(want) >= 0.9
+
+
 # ---- 8
 
 
@@ -386,6 +582,39 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits / total >= 0.95 and {r.query_id for r in got} == set(range(0, 1500, 50))
 
 
+def test_neighbours_of_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in common.table(spark, sf, "embeddings").collect()]
+    ids = np.array([i for i, _ in rows])
+    u = np.array([v for _, v in rows], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in hnsw.op8_hnsw(spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        c = u @ u[q]
+        c[q] = -9
+        want = sorted(range(len(ids)), key=lambda j: (-c[j], ids[j]))[:5]
+        hits, total = hits + len(got[ids[q]] & {int(ids[j]) for j in want}), total + 5
+    assert set(got) == set(ids[ids % 50 == 0].tolist()) and hits / total >= 0.9
+
+
+def test_neighbours_edges(spark):
+    shape = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (50, [1e300, 1e300]), (100, [1e-300, 0.0]), (150, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, shape)
+    held = hnsw.usable(vectors, "vec_id", "embedding")
+    found = collections.defaultdict(list)
+    for r in sorted(hnsw.search(hnsw.build(held, 5), held.where("id % 50 = 0"), 5).collect()):
+        found[r.query_id].append((r["rank"], r.vec_id, round(r.score, 9)))
+    # fewer candidates than asked for, ties to the smaller id; a vector of another length has none
+    assert found[0] == [(1, 1, 1.0), (2, 3, 1.0), (3, 100, 1.0), (4, 50, 0.707106781), (5, 2, 0.0)]
+    assert found[50] == [(1, 0, 0.707106781), (2, 1, 0.707106781), (3, 2, 0.707106781), (4, 3, 0.707106781), (5, 100, 0.707106781)] and 150 not in found
+    empty = hnsw.usable(spark.createDataFrame([], shape), "vec_id", "embedding")
+    assert hnsw.search(hnsw.build(empty, 5), empty, 5).count() == 0
+
+
 # ---- 9
 
 
@@ -393,7 +622,7 @@ def test_scores_equal_slow_models(spark):
     rnd = random.Random(4)
     texts = [(i, " ".join(rnd.choice("abcdefgh" if i % 2 else "efghijkl") for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(None, "a b"), (70, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = lm_scoring.score(docs, docs.where("doc_id % 2 = 1")).collect()
+    got = lm_scoring.score(docs, docs.where("doc_id % 2 = 1").select("doc_id")).collect()
     size = lm_scoring.VOCABULARY
 
     def model(rows):
@@ -446,6 +675,15 @@ def test_rare_words_have_their_own_counts(spark):
     assert abs(inside.background_loss - want) < 1e-9 and abs(outside.background_loss - want) < 1e-9
 
 
+def test_scores_of_edges(spark, edge):
+    none = spark.createDataFrame([], "doc_id long")
+    named = edge.withColumnRenamed("n_words", "score").withColumn("s", F.lit(1)).withColumn("data", F.lit("x"))
+    got = sorted(((r.doc_id, r.n_tokens, r.score is None) for r in lm_scoring.score(named, spark.createDataFrame([(3,), (3,), (None,)], "doc_id long")).collect()), key=str)
+    assert got == sorted([(d, len((t or "").split()), not (t or "").split()) for d, t, _ in EDGE], key=str)
+    assert lm_scoring.score(edge, none).count() == len(EDGE)  # the target is the uniform model
+    assert lm_scoring.score(edge.limit(0), none).count() == 0
+
+
 # ---- 10
 
 

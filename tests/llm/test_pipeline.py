@@ -37,3 +37,17 @@ def test_stages(spark):
     assert {r.doc_id for r in before if holds(r.text)} <= {r.doc_id for r in before} - {r.doc_id for r in after}
     before, after, _ = kept["byte_bpe"]
     assert len(before) == len(after) and all(len(r.ids) == r.n_tokens for r in after)
+
+
+def test_stages_on_edges(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, component string, h long, __cut boolean"
+    rows = [(None, "a b", None, None, 3, "x", 1, True), (None, None, "en", "s", 0, None, None, None), (1, None, "en", "s", 0, "x", 1, True), (2, "", "en", "s", 0, "x", 1, True), (3, "one two three", None, "s", 13, "x", 1, True), (3, "one two three", "en", "s", 13, "x", 1, True), (4, "w " * 3000, "en", "s", 6000, "x", 1, True), (5, "漢" * 5000, "zh", "s", 5000, "x", 1, True)]
+    whole = spark.createDataFrame(rows, shape)
+    for docs, left in ((whole, {None, 1, 3, 4, 5}), (whole.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.materialize(stage(spark, docs, SF), name)
+            if name != "byte_bpe":
+                assert out.columns == docs.columns
+                docs = out
+        assert {r.doc_id for r in docs.collect()} == left
+        assert out.count() == docs.count()
