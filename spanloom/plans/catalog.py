@@ -82,11 +82,11 @@ UNIQUE_SOURCES = "SELECT user_id, max_by(event_type, event_id) AS name, min(even
 
 
 def corpus_hash(s, d):
-    one = table(s, d, "conversations").withColumn("line", F.concat_ws("|", F.col("turn").cast("string"), "role", "text"))
+    one = table(s, d, "conversations").withColumn("line", F.to_json(F.struct("role", "text", "turn")))
     return one.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n"), 256).alias("hash"))
 
 
-CORPUS_HASH = "SELECT conv_id, sha256(string_agg(turn || '|' || role || '|' || text, chr(10) ORDER BY turn, turn || '|' || role || '|' || text)) AS hash FROM conversations GROUP BY conv_id"
+CORPUS_HASH = "SELECT conv_id, sha256(string_agg(j, chr(10) ORDER BY turn, j)) AS hash FROM (SELECT *, to_json({'role': role, 'text': text, 'turn': turn})::VARCHAR AS j FROM conversations) GROUP BY conv_id"
 
 
 def quota_window(s, d):
@@ -102,10 +102,10 @@ QUOTA_WINDOW = "SELECT event_id, count(*) OVER w AS requests, round(sum(value) O
 def ingest_progress(s, d):
     c = table(s, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("conv_id", "turn", F.sum(F.octet_length("text")).over(w).cast("long").alias("bytes"), F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))).over(w).cast("long").alias("windows"), (F.sum(F.contains(F.lower("text"), F.lit("thou")).cast("int")).over(w) > 0).alias("hit_seen"))
+    return c.select("conv_id", "turn", F.sum(F.octet_length("text")).over(w).cast("long").alias("bytes"), F.sum(F.greatest(F.lit(1), F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)))).over(w).cast("long").alias("windows"), (F.sum(F.contains(F.lower("text"), F.lit("thou")).cast("int")).over(w) > 0).alias("hit_seen"))
 
 
-INGEST_PROGRESS = "SELECT conv_id, turn, CAST(sum(strlen(text)) OVER w AS BIGINT) AS bytes, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0))) OVER w AS BIGINT) AS windows, sum(contains(lower(text), 'thou')::INT) OVER w > 0 AS hit_seen FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
+INGEST_PROGRESS = "SELECT conv_id, turn, CAST(sum(strlen(text)) OVER w AS BIGINT) AS bytes, CAST(sum(greatest(1, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)))) OVER w AS BIGINT) AS windows, sum(contains(lower(text), 'thou')::INT) OVER w > 0 AS hit_seen FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
 
 
 def _words(s, d):
@@ -145,6 +145,20 @@ CMS_ESTIMATE = f"""WITH {WORDS}, dw AS (SELECT word, count(*) AS n FROM ws GROUP
 p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark), q AS (SELECT word, unnest(range(4)) AS r, unnest({places('word', sketch.CMS_WIDTH, 4)}) AS cell FROM p) SELECT word, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM q LEFT JOIN c USING (r, cell) GROUP BY word"""
 
 
+def ghost_verdict(s, d):
+    """For each conversation whether any of its words is in the sketch of the documents, and the sum of their counts."""
+    probes = table(s, d, "conversations").select("conv_id", F.explode(F.array_distinct(tx.ascii_tokens(F.col("text")))).alias("word")).distinct()
+    words = _words(s, d)
+    held = sketch.bloom_contains(probes, "word", sketch.bloom(words, "word")).join(sketch.count_min_estimate(probes, "word", sketch.count_min(words, "word")), "word")
+    return probes.join(held, "word", "left").groupBy("conv_id").agg(F.bool_or(F.col("estimate").isNotNull()).alias("seen"), F.coalesce(F.sum("estimate"), F.lit(0)).alias("total"))
+
+
+GHOST_VERDICT = f"""WITH {WORDS}, dw AS (SELECT word, count(*) AS n FROM ws GROUP BY 1), b AS (SELECT DISTINCT unnest({places('word', sketch.BLOOM_BITS, 7)}) AS bit FROM dw), c AS (SELECT r, cell, sum(n) AS n FROM (SELECT unnest(range(4)) AS r, unnest({places('word', sketch.CMS_WIDTH, 4)}) AS cell, n FROM dw) GROUP BY ALL),
+pc AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM conversations), p AS (SELECT DISTINCT word FROM pc), q AS (SELECT word, unnest({places('word', sketch.BLOOM_BITS, 7)}) AS bit FROM p), h AS (SELECT word FROM q LEFT JOIN b USING (bit) GROUP BY word HAVING count(*) = count(b.bit)),
+e AS (SELECT word, min(coalesce(n, 0)) AS estimate FROM (SELECT word, unnest(range(4)) AS r, unnest({places('word', sketch.CMS_WIDTH, 4)}) AS cell FROM p) LEFT JOIN c USING (r, cell) GROUP BY word)
+SELECT conv_id, bool_or(h.word IS NOT NULL) AS seen, CAST(coalesce(sum(CASE WHEN h.word IS NOT NULL THEN estimate END), 0) AS BIGINT) AS total FROM pc LEFT JOIN h USING (word) LEFT JOIN e USING (word) GROUP BY conv_id"""
+
+
 # ---- evaluation: the labels stand in for judgements, the windows' documents are the results
 
 
@@ -338,6 +352,6 @@ QUERIES = {
     "detect_format": (detect_format, DETECT_FORMAT), "parse_markdown": (parse_markdown, PARSE_MARKDOWN), "parse_csv_rows": (parse_csv_rows, PARSE_CSV_ROWS), "flatten_json": (flatten_json, FLATTEN_JSON), "html_to_text": (html_to_text, HTML_TO_TEXT),
     "ndjson_records": (ndjson_records, NDJSON_RECORDS), "sanitize_metadata": (sanitize_metadata, SANITIZE_METADATA), "source_fan_in": (source_fan_in, SOURCE_FAN_IN), "stored_scan": (stored_scan, STORED_SCAN), "corpus_rollup": (corpus_rollup, CORPUS_ROLLUP),
     "corpus_expiry": (corpus_expiry, CORPUS_EXPIRY), "cascade_delete": (cascade_delete, CASCADE_DELETE), "unique_sources": (unique_sources, UNIQUE_SOURCES), "corpus_hash": (corpus_hash, CORPUS_HASH), "quota_window": (quota_window, QUOTA_WINDOW), "ingest_progress": (ingest_progress, INGEST_PROGRESS),
-    "bloom_estimate": (bloom_estimate, BLOOM_ESTIMATE), "bloom_verdict": (bloom_verdict, BLOOM_VERDICT), "cms_estimate": (cms_estimate, CMS_ESTIMATE), "eval_mrr_ndcg": (eval_mrr_ndcg, EVAL_MRR_NDCG), "eval_recall": (eval_recall, EVAL_RECALL), "eval_percentiles": (eval_percentiles, EVAL_PERCENTILES),
+    "bloom_estimate": (bloom_estimate, BLOOM_ESTIMATE), "bloom_verdict": (bloom_verdict, BLOOM_VERDICT), "cms_estimate": (cms_estimate, CMS_ESTIMATE), "ghost_verdict": (ghost_verdict, GHOST_VERDICT), "eval_mrr_ndcg": (eval_mrr_ndcg, EVAL_MRR_NDCG), "eval_recall": (eval_recall, EVAL_RECALL), "eval_percentiles": (eval_percentiles, EVAL_PERCENTILES),
     "eval_gates": (eval_gates, EVAL_GATES), "mutate_corpus": (mutate_corpus, MUTATE_CORPUS), "distill_projection": (distill_projection, DISTILL_PROJECTION), "metrics_summary": (metrics_summary, METRICS_SUMMARY), "artifact_manifest": (artifact_manifest, ARTIFACT_MANIFEST),
 }

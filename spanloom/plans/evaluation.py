@@ -89,7 +89,25 @@ def distill_validation(s, d):
 DISTILL_VALIDATION = f"WITH {DISTILL_PARTS}, pj AS ({DISTILL_PROJECTION}), v AS (SELECT id, dim, sum(w * v) AS p FROM w JOIN pj USING (feature) GROUP BY ALL), c AS (SELECT id, sum(p * t) / sqrt(sum(p * p) * sum(t * t)) AS c FROM v JOIN t USING (id, dim) GROUP BY id) SELECT count(*) AS n, round(avg(c), 4) AS mean, round(quantile_cont(c, 0.1), 4) AS p10 FROM c"
 
 
+def eval_spans(s, d):
+    """Of each document how many expected spans were met by a returned one, and how many returned ones met an expected one."""
+    low = F.lower("text")
+    expected = wins(s, d).where(F.contains(low, F.lit("onth"))).select("window_id", F.locate("onth", low).alias("at")).select("window_id", (F.col("at") - 1).cast("long").alias("e0"), (F.col("at") + 3).cast("long").alias("e1"))
+    returned = retrieval.merge_spans(s, d)
+    met = returned.join(expected, "window_id", "left").withColumn("hit", F.coalesce((F.col("start") < F.col("e1")) & (F.col("end") > F.col("e0")), F.lit(False)))
+    doc = F.split("window_id", ":")[1].cast("long").alias("doc_id")
+    by = met.groupBy(doc).agg(F.count("*").alias("returned"), F.count_if("hit").alias("useful"))
+    found = expected.join(returned, "window_id", "left").groupBy("window_id").agg(F.bool_or((F.col("start") < F.col("e1")) & (F.col("end") > F.col("e0"))).alias("found")).groupBy(doc).agg(F.count("*").alias("expected"), F.count_if("found").alias("found"))
+    return by.join(found, "doc_id").select("doc_id", "expected", "found", "returned", "useful", F.round(F.col("found") / F.col("expected"), 6).alias("recall"), F.round(F.col("useful") / F.col("returned"), 6).alias("precision"))
+
+
+EVAL_SPANS = f"""WITH rt AS ({retrieval.MERGE_SPANS}), {WIN}, ex AS (SELECT window_id, instr(lower(text), 'onth') - 1 AS e0, instr(lower(text), 'onth') + 3 AS e1 FROM win WHERE contains(lower(text), 'onth')),
+mt AS (SELECT rt.window_id, coalesce(start < e1 AND "end" > e0, false) AS hit FROM rt LEFT JOIN ex USING (window_id)), bd AS (SELECT CAST(split_part(window_id, ':', 2) AS BIGINT) AS doc_id, count(*) AS returned, count(*) FILTER (hit) AS useful FROM mt GROUP BY 1),
+fw AS (SELECT ex.window_id, bool_or(start < e1 AND "end" > e0) AS f FROM ex LEFT JOIN rt USING (window_id) GROUP BY 1), fd AS (SELECT CAST(split_part(window_id, ':', 2) AS BIGINT) AS doc_id, count(*) AS expected, count(*) FILTER (f) AS found FROM fw GROUP BY 1)
+SELECT doc_id, expected, found, returned, useful, round(found / expected, 6) AS recall, round(useful / returned, 6) AS precision FROM bd JOIN fd USING (doc_id)"""
+
+
 QUERIES = {
     "eval_summary": (eval_summary, EVAL_SUMMARY), "eval_missing": (eval_missing, EVAL_MISSING), "eval_disallowed": (eval_disallowed, EVAL_DISALLOWED), "nearest_rank_percentiles": (nearest_rank_percentiles, NEAREST_RANK_PERCENTILES),
-    "score_gaps": (score_gaps, SCORE_GAPS), "rerank_lift": (rerank_lift, RERANK_LIFT), "distill_validation": (distill_validation, DISTILL_VALIDATION),
+    "score_gaps": (score_gaps, SCORE_GAPS), "rerank_lift": (rerank_lift, RERANK_LIFT), "eval_spans": (eval_spans, EVAL_SPANS), "distill_validation": (distill_validation, DISTILL_VALIDATION),
 }

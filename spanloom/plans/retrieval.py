@@ -344,7 +344,7 @@ HEURISTIC_RERANK = f"WITH {RR_CTE} SELECT window_id, score2 AS score FROM rr"
 
 def _chunks(s, d):
     """The chunks, kept for the heads that read them."""
-    return cache.shared.get(windows.token_chunks(docs(s, d)).withColumnRenamed("content", "text").select("chunk_id", "doc_id", "chunk", "text"))
+    return cache.shared.get(windows.token_chunks(docs(s, d)).withColumnRenamed("content", "text").select("chunk_id", "doc_id", "chunk", "token_count", "text"))
 
 
 def _heads(s, d):
@@ -371,9 +371,38 @@ spsr AS (SELECT chunk_id, round(0.6 * coalesce(b, 0) / (SELECT max(b) FROM sb) +
 SPS_FUSION = f"WITH {CHUNK_HEADS} SELECT * FROM sps"
 
 
+#: Units that the cortical head looks at, and returns.
+CORTICAL_CAP, CORTICAL_MOST = 2_000, 80
+
+
+def _cortical(c, cs):
+    """(node, score, rank): the units that stand out by patterns and cosine, spread over neighbouring chunks, and gated."""
+    found = c.select("chunk_id", "doc_id", "chunk", "token_count", F.round(scoring.pattern_score(F.col("text"), Q), 6).alias("trie")).join(cs.withColumnRenamed("score", "s"), "chunk_id", "left")
+    top = found.agg(F.max("trie").alias("m"))  # one row
+    salient = found.join(F.broadcast(top)).withColumns({"l": F.when(F.col("m") > 0, F.col("trie") / F.col("m")).otherwise(0.0), "s": F.coalesce("s", F.lit(0.0))}).where("l + s > 0")
+    order = Window.orderBy(F.desc(F.round(F.col("l") + F.col("s"), 9)), "chunk_id")
+    kept = salient.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CORTICAL_CAP).select(F.col("chunk_id").alias("node"), F.col("doc_id").alias("source"), "chunk", F.col("token_count").alias("cost"), "l", "s")
+    edges = graph.normalized(graph.rule_edges(kept.select("node", "source", "chunk")))
+    return graph.gate(graph.diffuse(kept, edges), "cost", CORTICAL_MOST).select("node", "score", "rank")
+
+
+def cortical_head(s, d):
+    c, _, cs = _heads(s, d)
+    return _cortical(c, cs)
+
+
+CORTICAL_CTE = f"""ct AS (SELECT chunk_id, doc_id, chunk, token_count, round({pattern_sql(Q, 'content')}, 6) AS trie FROM ch), cm AS (SELECT ct.*, coalesce(csr.score, 0) AS s, CASE WHEN max(trie) OVER () > 0 THEN trie / max(trie) OVER () ELSE 0 END AS l FROM ct LEFT JOIN csr USING (chunk_id)),
+ck AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(l + s, 9) DESC, chunk_id) AS r FROM cm WHERE l + s > 0) WHERE r <= {CORTICAL_CAP}), ce0 AS (SELECT a.chunk_id AS src, b.chunk_id AS dst FROM ck a JOIN ck b ON a.doc_id = b.doc_id AND abs(a.chunk - b.chunk) = 1), ce AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM ce0),
+k1 AS (SELECT *, tanh(0.3 * l + 0.2 * s) AS c FROM ck), j1 AS (SELECT src AS chunk_id, sum(w * c) AS f FROM ce JOIN k1 ON ce.dst = k1.chunk_id GROUP BY src), k2 AS (SELECT ck.*, tanh(0.5 * coalesce(f, 0) + 0.3 * l + 0.2 * s) AS c FROM ck LEFT JOIN j1 USING (chunk_id)),
+j2 AS (SELECT src AS chunk_id, sum(w * c) AS f FROM ce JOIN k2 ON ce.dst = k2.chunk_id GROUP BY src), k3 AS (SELECT ck.*, tanh(0.5 * coalesce(f, 0) + 0.3 * l + 0.2 * s) AS c FROM ck LEFT JOIN j2 USING (chunk_id)),
+cg AS (SELECT chunk_id, round(0.35 * l + 0.35 * s + 0.20 * c - 0.10 * token_count / (SELECT max(token_count) FROM k3), 6) AS score FROM k3), cortical AS (SELECT * FROM (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM cg) WHERE rank <= {CORTICAL_MOST})"""
+CORTICAL_HEAD = f"WITH {CHUNK_HEADS}, {CORTICAL_CTE} SELECT chunk_id AS node, score, rank FROM cortical"
+
+
 def _fused(s, d, k=100):
     c, bm, cs = _heads(s, d)
-    heads = {"sps": fusion.sps(bm, cs, "chunk_id", 100).select("chunk_id", "score"), "bm25": _best(bm, 100), "phrase": _best(scoring.phrase_hits(c, Q, "chunk_id"), 100)}
+    cortical = _cortical(c, cs).select(F.col("node").alias("chunk_id"), "score")
+    heads = {"sps": fusion.sps(bm, cs, "chunk_id", 100).select("chunk_id", "score"), "bm25": _best(bm, 100), "phrase": _best(scoring.phrase_hits(c, Q, "chunk_id"), 100), "cortical": cortical}
     return c, fusion.rrf(heads, "chunk_id", k)
 
 
@@ -386,7 +415,7 @@ def _phrase_where(column):
     return " OR ".join(f"contains(lower({column}), '{p}')" for p in sorted({" ".join(terms[i : i + n]) for n in (2, 3) for i in range(len(terms) - n + 1)} | {Q}))
 
 
-RRF_CTE = f"""{CHUNK_HEADS}, hd AS (SELECT chunk_id, 0 AS no, 'sps' AS head, rank AS r FROM sps UNION ALL SELECT * FROM (SELECT chunk_id, 1, 'bm25', row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM bmr) WHERE r <= 100 UNION ALL SELECT * FROM (SELECT chunk_id, 2, 'phrase', row_number() OVER (ORDER BY chunk_id) AS r FROM ch WHERE {_phrase_where('content')}) WHERE r <= 100),
+RRF_CTE = f"""{CHUNK_HEADS}, {CORTICAL_CTE}, hd AS (SELECT chunk_id, 0 AS no, 'sps' AS head, rank AS r FROM sps UNION ALL SELECT * FROM (SELECT chunk_id, 1, 'bm25', row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM bmr) WHERE r <= 100 UNION ALL SELECT * FROM (SELECT chunk_id, 2, 'phrase', row_number() OVER (ORDER BY chunk_id) AS r FROM ch WHERE {_phrase_where('content')}) WHERE r <= 100 UNION ALL SELECT chunk_id, 3, 'cortical', rank FROM cortical),
 fz AS (SELECT chunk_id, round(sum(1.0 / (60 + r)), 6) AS score, string_agg(head, ',' ORDER BY no) AS channels FROM hd GROUP BY chunk_id), fused AS (SELECT * FROM (SELECT chunk_id, score, channels, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM fz) WHERE rank <= 100)"""
 RRF_FUSION = f"WITH {RRF_CTE} SELECT * FROM fused"
 
@@ -398,27 +427,47 @@ def adaptive_budget(s, d):
 ADAPTIVE_BUDGET = f"WITH {RRF_CTE}, fc AS (SELECT (max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 5 THEN score END), 0)) < 0.15 OR count(*) < 10 AS widened FROM fused) SELECT chunk_id, score, rank, widened FROM fused, fc WHERE rank <= CASE WHEN widened THEN 60 ELSE 20 END"
 
 
+def _sentences(units, unit):
+    """(unit, pos, sentence, n): the sentences of at least twelve characters, and how many a unit has."""
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 12)
+    return units.select(unit, parts.alias("p")).select(unit, F.size("p").alias("n"), F.posexplode("p").alias("pos", "sentence"))
+
+
+def best_sentences(units, query, unit):
+    """(unit, sentence, score): of each unit with two sentences or more the one nearest to the query, the first of equals."""
+    s = units.sparkSession
+    parts = _sentences(units, unit).where("n >= 2").withColumn("at", F.struct(unit, "pos"))
+    q = s.createDataFrame([(1, query)], "query_id long, text string")
+    scored = scoring.semantic_scores(parts.select("at", F.col("sentence").alias("text")), q, "at").select(F.col(f"at.{unit}").alias(unit), F.col("at.pos").alias("pos"), F.round("score", 6).alias("score"))
+    best = scored.where("score > 0").groupBy(unit).agg(F.min(F.struct((-F.col("score")).alias("s"), "pos")).alias("b")).select(unit, F.col("b.pos").alias("pos"), (-F.col("b.s")).alias("score"))
+    return parts.join(best, [unit, "pos"]).select(unit, "sentence", "score")
+
+
 def multihead_search(s, d):
+    """The fused heads re-ranked; the best sentence of a chunk is its span, where there is one."""
     c, fused = _fused(s, d)
     hits = fused.select("chunk_id", "score", "channels").join(c.select("chunk_id", "text"), "chunk_id")
     rr = hits.withColumn("score", F.round(scoring.heuristic_rerank(F.col("score"), F.col("text"), Q), 8))
-    return rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 10").select("chunk_id", "score", "channels", "rank")
+    top = rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 10")
+    best = best_sentences(top.select("chunk_id", "text"), Q, "chunk_id").select("chunk_id", "sentence")
+    return top.join(best, "chunk_id", "left").select("chunk_id", "score", "channels", "rank", "sentence")
+
+
+def sentence_sql(units: str, unit: str, name: str) -> str:
+    return f"""{name}s0 AS (SELECT {unit}, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x)), lambda x: length(x) >= 12) AS p FROM {units}), {name}s1 AS (SELECT {unit}, unnest(p) AS text, generate_subscripts(p, 1) AS pos FROM {name}s0 WHERE len(p) >= 2), {name}s2 AS (SELECT {unit} || '#' || pos AS sid, {unit}, pos, text FROM {name}s1),
+{vector_sql(name + 's2', 'sid', name + 'v')}, {name}q(query_id, text) AS (VALUES (1, '{Q}')), {vector_sql(name + 'q', 'query_id', name + 'w')}, {name}c AS (SELECT sid, round(sum({name}v.w * {name}w.w), 6) AS score FROM {name}v JOIN {name}w USING (bucket) GROUP BY sid),
+{name} AS (SELECT {unit}, text AS sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY {unit} ORDER BY score DESC, pos) AS r FROM {name}s2 JOIN {name}c USING (sid) WHERE score > 0) WHERE r = 1)"""
 
 
-MULTIHEAD_SEARCH = f"WITH {RRF_CTE}, mh AS (SELECT chunk_id, channels, round(0.25 * fused.score + len(list_intersect(list_distinct({tok('content')}), {QTOK})) / 4.0, 8) AS score FROM fused JOIN ch USING (chunk_id)) SELECT * FROM (SELECT chunk_id, score, channels, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM mh) WHERE rank <= 10"
+MULTIHEAD_SEARCH = f"WITH {RRF_CTE}, mh AS (SELECT chunk_id, channels, content AS text, round(0.25 * fused.score + len(list_intersect(list_distinct({tok('content')}), {QTOK})) / 4.0, 8) AS score FROM fused JOIN ch USING (chunk_id)), mt AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM mh) WHERE rank <= 10), {sentence_sql('mt', 'chunk_id', 'bs')} SELECT chunk_id, mt.score, channels, rank, sentence FROM mt LEFT JOIN bs USING (chunk_id)"
 
 
 def best_sentence(s, d):
-    """The sentence of each document that covers most of the query's words; the first of equals."""
-    parts = docs(s, d).select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n+")).alias("pos", "raw")).select("doc_id", "pos", F.trim("raw").alias("sentence")).where(F.length("sentence") >= 12)
-    scored = parts.withColumn("score", F.round(scoring.overlap_ratio(F.col("sentence"), Q), 6)).where("score > 0")
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "sentence", "score")
+    """The sentence of each document that is nearest to the query."""
+    return best_sentences(docs(s, d), Q, "doc_id")
 
 
-BEST_SENTENCE = f"""WITH p AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+') AS s FROM documents), f AS (SELECT doc_id, unnest(s) AS raw, generate_subscripts(s, 1) AS pos FROM p),
-t AS (SELECT doc_id, pos, trim(raw) AS sentence FROM f WHERE length(trim(raw)) >= 12), c AS (SELECT *, round(len(list_intersect(list_distinct({tok('sentence')}), {QTOK})) / 4.0, 6)::DOUBLE AS score FROM t)
-SELECT doc_id, sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM c WHERE score > 0) WHERE r = 1"""
+BEST_SENTENCE = f"WITH {sentence_sql('documents', 'doc_id', 'bs')} SELECT doc_id, sentence, score FROM bs"
 
 
 def _spans(s, d):
@@ -514,5 +563,5 @@ QUERIES = {
     "exact_channel": (_scored(lambda t: scoring.exact_score(t, REGEX_Q)), EXACT_CHANNEL), "structure_channel": (structure_channel, STRUCTURE_CHANNEL), "semantic_cosine": (semantic_cosine, SEMANTIC_COSINE), "mrl_truncate_topk": (mrl_truncate_topk, MRL_TRUNCATE_TOPK),
     "combined_score": (combined_score, COMBINED_SCORE), "trigram_prefilter": (trigram_prefilter, TRIGRAM_PREFILTER), "plan_tiers": (plan_tiers, PLAN_TIERS), "candidate_topk": (candidate_topk, CANDIDATE_TOPK), "span_search": (span_search, SPAN_SEARCH), "heuristic_rerank": (heuristic_rerank, HEURISTIC_RERANK),
     "sps_fusion": (sps_fusion, SPS_FUSION), "rrf_fusion": (rrf_fusion, RRF_FUSION), "adaptive_budget": (adaptive_budget, ADAPTIVE_BUDGET), "multihead_search": (multihead_search, MULTIHEAD_SEARCH), "best_sentence": (best_sentence, BEST_SENTENCE),
-    "merge_spans": (merge_spans, MERGE_SPANS), "span_snippets": (span_snippets, SPAN_SNIPPETS), "citation_labels": (citation_labels, CITATION_LABELS), "cortical_adjacency": (cortical_adjacency, CORTICAL_ADJACENCY), "diffusion": (diffusion, DIFFUSION), "gate": (gate, GATE), "cortical_search": (cortical_search, CORTICAL_SEARCH),
+    "merge_spans": (merge_spans, MERGE_SPANS), "span_snippets": (span_snippets, SPAN_SNIPPETS), "citation_labels": (citation_labels, CITATION_LABELS), "cortical_adjacency": (cortical_adjacency, CORTICAL_ADJACENCY), "diffusion": (diffusion, DIFFUSION), "cortical_head": (cortical_head, CORTICAL_HEAD), "gate": (gate, GATE), "cortical_search": (cortical_search, CORTICAL_SEARCH),
 }

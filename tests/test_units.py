@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import fusion, graph, rerank, scoring, search, sketch, windows
+from spanloom.operators import corpus, fusion, graph, rerank, scoring, search, sketch, windows
 from spanloom.plans import cache, planner
 from spanloom.sources import connectors, parsers, records, store
 from spanloom.streaming import live
@@ -242,3 +242,41 @@ def test_sketch_of_a_stream_rotates(spark, tmp_path):
     q.stop()
     r = spark.table("sketch_out").first()
     assert (r.verdict, r.found, r.rotations, round(r.estimate)) == (True, 2, 0, 3)
+
+
+def test_scripted_changes_of_a_set(spark):
+    docs = spark.createDataFrame([("a", 0, "one"), ("b", 1, "two"), ("c", 2, "three")], "doc_id string, place long, text string")
+    steps = [{"op": "add", "doc_id": "d", "text": "four"}, {"op": "delete", "doc_id": "b"}, {"op": "change", "doc_id": "a", "text": "uno"}, {"op": "reorder", "order": ["d", "c"]}]
+    assert [(r.doc_id, r.text) for r in corpus.mutate(docs, steps).orderBy("place").collect()] == [("d", "four"), ("c", "three"), ("a", "uno")]
+    with pytest.raises(ValueError):
+        corpus.mutate(docs, [{"op": "swap"}])
+
+
+def test_cases_projections_and_events(spark, tmp_path):
+    cases = {"cases": [{"case_id": "x", "query": "q", "profiles": ["smoke"], "documents": [{"name": "n", "content": "c"}], "expected": [{"source": "n"}]}, {"case_id": "y", "query": "r", "profiles": ["full"]}]}
+    (tmp_path / "a.json").write_text(json.dumps(cases, indent=1))
+    assert [(r.case_id, r.documents[0].content) for r in corpus.load_cases(spark, str(tmp_path / "a.json"), "smoke").collect()] == [("x", "c")]
+    (tmp_path / "b.json").write_text(json.dumps({"cases": [{"case_id": "z"}]}))
+    with pytest.raises(Exception, match="needs case_id"):
+        corpus.load_cases(spark, str(tmp_path / "b.json")).collect()
+    weights = spark.createDataFrame([(1, 0, 3.0), (1, 1, 4.0), (2, 1, 1.0)], "feature int, dim int, v double")
+    corpus.save_projection(weights, str(tmp_path / "w"))
+    features = spark.createDataFrame([("u", 1, 2.0), ("v", 9, 1.0)], "unit string, feature long, w double")
+    assert sorted((r.unit, r.dim, round(r.x, 9)) for r in corpus.project(features, spark.read.parquet(str(tmp_path / "w")), "unit").collect()) == [("u", 0, 0.6), ("u", 1, 0.8)]
+    results = spark.createDataFrame([(1, "exact", "a"), (2, "proxy", "b")], "rank long, phase string, id string")
+    assert [(r.phase, r.nth, r.data) for r in corpus.events(results, F.struct("id")).orderBy("nth").collect()] == [("done", 0, '{"results":2}'), ("exact_results", 1, '{"id":"a"}'), ("proxy_results", 2, '{"id":"b"}')]
+
+
+def test_streams_of_progress_and_first_hits(spark, tmp_path):
+    rows = [("k", 1.0, "nothing\nat all"), ("k", 2.0, "the card\n\nwas declined"), ("m", 3.0, "x")]
+    spark.createDataFrame(rows, "stream_id string, at double, text string").write.parquet(str(tmp_path / "in"))
+
+    def result(name, make):
+        stream = spark.readStream.schema("stream_id string, at double, text string").parquet(str(tmp_path / "in"))
+        q = make(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(map(tuple, spark.table(name).collect()))
+
+    assert result("progress_out", live.progress) == [("k", 36, 4), ("m", 1, 1)]
+    assert result("first_out", lambda s: live.first_hits(s, "declined", "at")) == [("k", 2.0)]
