@@ -153,7 +153,7 @@ def semantic_scores(units: DataFrame, query: DataFrame, unit: str, dim: int = BU
     """
     q = hashed_vectors(query, "query_id", dim).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("q"))  # one row
     t = with_features(units, unit)
-    weighted = F.array_sort(F.concat(_bucketed(F.array_distinct("t"), tx.UNIGRAM_WEIGHT, dim), _bucketed(F.array_distinct(tx.pairs(F.col("t"))), tx.BIGRAM_WEIGHT, dim)))
+    weighted = F.sort_array(F.concat(_bucketed(F.array_distinct("t"), tx.UNIGRAM_WEIGHT, dim), _bucketed(F.array_distinct(tx.pairs(F.col("t"))), tx.BIGRAM_WEIGHT, dim)))
     rows = t.select(unit, weighted.alias("x")).join(F.broadcast(q))
     start = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq"))
 

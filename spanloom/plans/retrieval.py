@@ -250,11 +250,9 @@ MRL_TRUNCATE_TOPK = "WITH e AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FR
 
 
 def trigram_prefilter(s, d):
+    """Stage 0: as many windows as the plan for ten results scans."""
     scored = wins(s, d).select("window_id", tx.trigram_overlap(F.col("text"), Q).cast("long").alias("overlap")).where("overlap > 0")
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("overlap"), "window_id")).cast("long")).where("rank <= 1200")
-
-
-TRIGRAM_PREFILTER = f"WITH {WIN}, o AS (SELECT window_id, " + " + ".join(f"contains(lower(text), '{g.decode()}')::BIGINT" for g in tx.trigrams(Q.encode())) + " AS overlap FROM win) SELECT * FROM (SELECT window_id, CAST(overlap AS BIGINT) AS overlap, row_number() OVER (ORDER BY overlap DESC, window_id) AS rank FROM o WHERE overlap > 0) WHERE rank <= 1200"
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("overlap"), "window_id")).cast("long")).where(F.col("rank") <= plan(s, d).scan)
 
 
 def plan_tiers(s, d):
@@ -300,6 +298,9 @@ PLAN_CTE = """pf AS (SELECT (SELECT count(*) FROM win) AS n, (SELECT sum(strlen(
 pl AS (SELECT *, CASE t WHEN 0 THEN n WHEN 1 THEN least(n, 1200) ELSE least(n, 1500) END AS scan, CASE t WHEN 0 THEN 300 WHEN 1 THEN 400 ELSE least(n, 5000) END AS cand, CASE t WHEN 0 THEN 200 WHEN 1 THEN 250 ELSE least(n, 50) END AS rerank FROM pt)"""
 
 
+TRIGRAM_PREFILTER = f"WITH {WIN}, {PLAN_CTE}, o AS (SELECT window_id, " + " + ".join(f"contains(lower(text), '{g.decode()}')::BIGINT" for g in tx.trigrams(Q.encode())) + " AS overlap FROM win) SELECT window_id, overlap, rank FROM (SELECT window_id, CAST(overlap AS BIGINT) AS overlap, row_number() OVER (ORDER BY overlap DESC, window_id) AS rank FROM o WHERE overlap > 0), pl WHERE rank <= scan"
+
+
 def candidate_topk(s, d):
     """The candidates that the plan for ten results keeps, of all windows."""
     c = search.candidates(channels(s, d), plan(s, d).candidates)
@@ -489,13 +490,15 @@ SELECT window_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT
 
 
 def span_snippets(s, d):
-    at = F.locate("tion", F.lower("text"))
-    w = wins(s, d).where(at > 0).withColumns({"start": (at - 1).cast("int"), "end": (at + 3).cast("int"), "len": F.length("text")})
-    low = F.greatest(F.lit(0), F.least(F.col("len") - 280, F.floor((F.col("start") + F.col("end")) / 2).cast("int") - 140)).cast("int")
-    return w.withColumn("low", low).select("window_id", F.col("start").cast("long").alias("start"), F.col("low").cast("long").alias("snippet_start"), F.least(F.col("low") + 280, F.col("len")).cast("long").alias("snippet_end"), F.expr("substring(text, low + 1, 280)").alias("snippet"))
+    """A snippet around the middle of every hit."""
+    low = F.lower("text")
+    places = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(low, i, F.lit(4)) == "tion")
+    hits = wins(s, d).where(F.contains(low, F.lit("tion"))).select("window_id", "text", F.explode(places).alias("at"))
+    w = hits.withColumn("len", F.length("text")).withColumn("low", search.snippet_start(F.col("at") - 1, F.col("at") + 3, F.col("len")).cast("int"))
+    return w.select("window_id", (F.col("at") - 1).cast("long").alias("start"), F.col("low").cast("long").alias("snippet_start"), F.least(F.col("low") + 280, F.col("len")).cast("long").alias("snippet_end"), F.expr("substring(text, low + 1, 280)").alias("snippet"))
 
 
-SPAN_SNIPPETS = f"WITH {WIN}, a AS (SELECT *, instr(lower(text), 'tion') AS pos, length(text) AS len FROM win WHERE contains(lower(text), 'tion')), b AS (SELECT *, greatest(0, least(len - 280, (pos - 1 + pos + 3) // 2 - 140)) AS low FROM a) SELECT window_id, CAST(pos - 1 AS BIGINT) AS start, CAST(low AS BIGINT) AS snippet_start, CAST(least(low + 280, len) AS BIGINT) AS snippet_end, substring(text, low + 1, 280) AS snippet FROM b"
+SPAN_SNIPPETS = f"WITH {WIN}, a AS (SELECT *, unnest(range(1, length(text) + 1)) AS pos, length(text) AS len FROM win WHERE contains(lower(text), 'tion')), b AS (SELECT *, greatest(0, least(len - 280, (pos - 1 + pos + 3) // 2 - 140)) AS low FROM a WHERE substring(lower(text), pos, 4) = 'tion') SELECT window_id, CAST(pos - 1 AS BIGINT) AS start, CAST(low AS BIGINT) AS snippet_start, CAST(least(low + 280, len) AS BIGINT) AS snippet_end, substring(text, CAST(low + 1 AS BIGINT), 280) AS snippet FROM b"
 
 
 def citation_labels(s, d):

@@ -123,6 +123,25 @@ def seeded_sample(s, d):
 SEEDED_SAMPLE = "SELECT doc_id, CASE WHEN ('0x' || substr(draw, 1, 4))::BIGINT % 5 = 0 THEN 'validation' ELSE 'train' END AS fold FROM (SELECT doc_id, md5('17:' || doc_id) AS draw FROM documents ORDER BY draw, doc_id LIMIT 500)"
 
 
+def flatten_json_nested(s, d):
+    """Paths and values of payloads of several levels."""
+    payload = F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id"), F.array("event_type", F.lit("x")).alias("tags")).alias("user"), F.array().cast("array<string>").alias("none"), F.array(F.struct(F.col("event_type").alias("kind"))).alias("list")))
+    docs = table(s, d, "events").select(F.col("event_id").cast("string").alias("source_id"), F.lit("x.json").alias("name"), F.lit(None).cast("string").alias("media_type"), payload.alias("content"))
+    return parsers.parse_documents(docs).select("source_id", "text")
+
+
+FLATTEN_JSON_NESTED = "SELECT CAST(event_id AS VARCHAR) AS source_id, 'id: ' || event_id || chr(10) || 'user.id: ' || user_id || chr(10) || 'user.tags[0]: ' || event_type || chr(10) || 'user.tags[1]: x' || chr(10) || 'none: []' || chr(10) || 'list[0].kind: ' || event_type AS text FROM events"
+
+
+def sanitize_nested(s, d):
+    """Metadata of several levels without secrets."""
+    m = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit("s").alias("apiKey"), F.struct(F.lit("p").alias("password"), F.col("event_type").alias("kind"), F.array(F.struct(F.lit("c").alias("client_secret"), F.col("user_id").alias("user"))).alias("list")).alias("auth")))
+    return table(s, d, "events").select("event_id", parsers.json_without_secrets(m).alias("metadata"))
+
+
+SANITIZE_NESTED = """SELECT event_id, '{"id":' || event_id || ',"auth":{"kind":"' || event_type || '","list":[{"user":' || user_id || '}]}}' AS metadata FROM events"""
+
+
 # ---- requests and answers
 
 
@@ -222,6 +241,7 @@ SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6)::DOUBLE AS w FROM
 
 
 QUERIES = {
+    "flatten_json_nested": (flatten_json_nested, FLATTEN_JSON_NESTED), "sanitize_nested": (sanitize_nested, SANITIZE_NESTED),
     "record_metadata": (record_metadata, RECORD_METADATA), "raw_source_scan": (raw_source_scan, RAW_SOURCE_SCAN), "connector_marking": (connector_marking, CONNECTOR_MARKING), "webhook_documents": (webhook_documents, WEBHOOK_DOCUMENTS),
     "json_item_spans": (json_item_spans, JSON_ITEM_SPANS), "generated_lines": (generated_lines, GENERATED_LINES), "source_listing": (source_listing, SOURCE_LISTING), "connector_limit": (connector_limit, CONNECTOR_LIMIT), "source_delete": (source_delete, SOURCE_DELETE),
     "api_key_lookup": (api_key_lookup, API_KEY_LOOKUP), "seeded_sample": (seeded_sample, SEEDED_SAMPLE), "request_limits": (request_limits, REQUEST_LIMITS), "cacheable_origins": (cacheable_origins, CACHEABLE_ORIGINS), "collapsed_snippets": (collapsed_snippets, COLLAPSED_SNIPPETS),

@@ -35,6 +35,11 @@ def detect_format(content: Column, name: Column | None = None, media_type: Colum
     )
 
 
+def decoded(payload: Column) -> Column:
+    """Bytes as UTF-8 text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(payload.cast("string"))
+
+
 # The marks of Markdown and what is left of them, in the order in which they go.
 MARKDOWN_MARKS = (
     (r"(?m)^#{1,6}\s+", ""), (r"`([^`]*)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
@@ -151,6 +156,8 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     where a record stands in its payload, null where the text is made anew.  A payload that
     its parser cannot read gives one row with ``error``, and its rows before the error.
     """
+    if dict(docs.dtypes)["content"] == "binary":
+        docs = docs.withColumn("content", decoded(F.col("content")))
     parser = detect_format(F.col("content"), F.col("name"), F.col("media_type"))
     if "parser_name" in docs.columns:
         parser = F.coalesce("parser_name", parser)
@@ -186,3 +193,22 @@ SECRET = "token|secret|password|key|credential"
 def without_secrets(metadata: Column) -> Column:
     """A map without the entries whose key names a secret."""
     return F.map_filter(metadata, lambda k, v: ~F.lower(k).rlike(SECRET))
+
+
+@F.pandas_udf(StringType())
+def json_without_secrets(metadata: pd.Series) -> pd.Series:
+    """JSON without the entries, at any depth, whose key names a secret; what is no JSON becomes null."""
+    secret = re.compile(SECRET, re.I)
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: clean(v) for k, v in value.items() if not secret.search(k)}
+        return [clean(v) for v in value] if isinstance(value, list) else value
+
+    def one(text):
+        try:
+            return json.dumps(clean(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return metadata.map(one, na_action="ignore")

@@ -280,3 +280,10 @@ def test_streams_of_progress_and_first_hits(spark, tmp_path):
 
     assert result("progress_out", live.progress) == [("k", 36, 4), ("m", 1, 1)]
     assert result("first_out", lambda s: live.first_hits(s, "declined", "at")) == [("k", 2.0)]
+
+
+def test_bytes_become_text(spark):
+    rows = [("a", "x.txt", None, bytearray(b"caf\xc3\xa9 \xff!")), ("b", "x.json", None, bytearray(b'{"a": 1}'))]
+    docs = spark.createDataFrame(rows, "source_id string, name string, media_type string, content binary")
+    got = {r.source_id: r.text for r in parsers.parse_documents(docs).collect()}
+    assert got == {"a": "café \ufffd!", "b": "a: 1"}
