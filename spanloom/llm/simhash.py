@@ -310,9 +310,9 @@ def word_set_fingerprints(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> Da
     return narrow.mapInArrow(run, ", ".join(["doc_id long", "text_key binary", *[f"{n} long" for n in names]]))
 
 
-def text_key():
+def text_key(text: str = "text"):
     """128 bits that stand for the text."""
-    return F.unhex(F.md5(common.utf8("text")))
+    return F.unhex(F.md5(common.utf8(text)))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -429,9 +429,10 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     gone = grouped.join(stays, "in_group").where("doc_id > kept").select("text_key", F.lit(True).alias("gone"))
     known = texts.select("text_key", F.col("doc_id").alias("owner")).join(gone, "text_key", "left")
     extra = prints.select("doc_id", "text_key").join(known, "text_key").where("gone or doc_id <> owner").select("doc_id", "text_key").distinct()
-    extra = common.materialize(extra, "extra").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    extra = common.materialize(extra, "extra")
     common.discard(spark, asked, sizes, sets, compared, rare, nodes, texts, prints)
-    return docs.join(extra, (F.col("doc_id") == F.col("d")) & (text_key() == F.col("k")), "left_anti").select(docs.columns)
+    same = (F.col("x.doc_id") == F.col("y.doc_id")) & (text_key("x.text") == F.col("y.text_key"))
+    return docs.alias("x").join(extra.alias("y"), same, "left_anti").select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,13 +380,15 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES, text: str = "text")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series(["" if s is None else b" ".join(kept_words(t.encode().split(), list(s))).decode() for t, s in zip(texts, starts)], dtype=object)
 
-    # only the texts that may change are shuffled
+    # only the texts that may change are shuffled; x and y part columns of the same name
     asked = common.member(decided, "doc_id")
-    decided = decided.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), "starts", F.lit(True).alias("__cut")).withColumnRenamed("starts", "__starts")
-    some = docs.where(asked(F.col("doc_id").cast("long")))
-    joined = some.withColumn("__content", content(F.coalesce(F.col(text).cast("string"), F.lit("")))).join(decided.hint("merge"), (F.col("doc_id").cast("long") == F.col("__d")) & (F.col("__content") == F.col("__c")), "left")
-    new = F.when(F.col("__cut"), cut(F.coalesce(F.col(text), F.lit("")), F.col("__starts"))).otherwise(F.col(text))
-    return docs.where(~asked(F.col("doc_id").cast("long"))).unionByName(joined.withColumn(text, new).select(docs.columns))
+    old = F.coalesce(F.col(f"x.{text}").cast("string"), F.lit(""))
+    some = docs.where(asked(F.col("doc_id").cast("long"))).alias("x")
+    same = (F.col("x.doc_id").cast("long") == F.col("y.doc_id")) & (content(old) == F.col("y.content"))
+    joined = some.join(decided.hint("merge").alias("y"), same, "left")
+    new = F.when(F.col("y.content").isNotNull(), cut(old, F.col("y.starts"))).otherwise(F.col(f"x.{text}"))
+    changed = joined.select(*[new.alias(c) if c == text else F.col(f"x.`{c}`") for c in docs.columns])
+    return docs.where(~asked(F.col("doc_id").cast("long"))).unionByName(changed)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
