@@ -40,8 +40,8 @@ def test_stages(spark):
 
 
 def test_stages_on_edges(spark):
-    shape = "doc_id long, text string, lang string, source string, n_chars long, component string, h long, __cut boolean"
-    rows = [(None, "a b", None, None, 3, "x", 1, True), (None, None, "en", "s", 0, None, None, None), (1, None, "en", "s", 0, "x", 1, True), (2, "", "en", "s", 0, "x", 1, True), (3, "one two three", None, "s", 13, "x", 1, True), (3, "one two three", "en", "s", 13, "x", 1, True), (4, "w " * 3000, "en", "s", 6000, "x", 1, True), (5, "漢" * 5000, "zh", "s", 5000, "x", 1, True)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, component string, h long, content boolean, starts int, text_key int"
+    rows = [(None, "a b", None, None, 3, "x", 1, True, 7, 8), (None, None, "en", "s", 0, None, None, None, None, None), (1, None, "en", "s", 0, "x", 1, True, 7, 8), (2, "", "en", "s", 0, "x", 1, True, 7, 8), (3, "one two three", None, "s", 13, "x", 1, True, 7, 8), (3, "one two three", "en", "s", 13, "x", 1, True, 7, 8), (4, "w " * 3000, "en", "s", 6000, "x", 1, True, 7, 8), (5, "漢" * 5000, "zh", "s", 5000, "x", 1, True, 7, 8)]
     whole = spark.createDataFrame(rows, shape)
     for docs, left in ((whole, {None, 1, 3, 4, 5}), (whole.limit(0), set())):
         for name, stage in corpus_pipeline.STAGES:
