@@ -8,6 +8,7 @@ import json
 import re
 from collections.abc import Iterator
 from html import unescape
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,11 +61,27 @@ def _references_decoded(text: pd.Series) -> pd.Series:
     return text.map(unescape, na_action="ignore")
 
 
-def html_text(html: Column) -> Column:
-    """The text of all nodes but scripts and styles, character references decoded, each trimmed, joined by a space."""
+CLOSED_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
+
+
+@F.pandas_udf(StringType())
+def _closed_references_decoded(text: pd.Series) -> pd.Series:
+    def one(m: re.Match) -> str:
+        return unescape(m[0]) if m[1][0] == "#" or m[1] in html5 else m[0]
+
+    return text.map(lambda t: CLOSED_REFERENCE.sub(one, t), na_action="ignore")
+
+
+def html_text(html: Column, closed: bool = False) -> Column:
+    """The text of all nodes but scripts and styles, character references decoded, each trimmed, joined by a space.
+
+    Browsers also decode some references without their semicolon (``&amp``); with
+    ``closed`` these stay as they are written.
+    """
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
-    nodes = F.split(_references_decoded(F.regexp_replace(bare, r"<[^>]*>", "\u0001")), "\u0001")
+    decoded_references = _closed_references_decoded if closed else _references_decoded
+    nodes = F.split(decoded_references(F.regexp_replace(bare, r"<[^>]*>", "\u0001")), "\u0001")
     trimmed = F.transform(nodes, lambda x: F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
     return F.array_join(F.filter(trimmed, lambda x: F.length(x) > 0), " ")
 
