@@ -33,11 +33,11 @@ def bloom(items: DataFrame, column: str) -> DataFrame:
     return items.select(column).distinct().select(F.explode(positions(F.col(column), BLOOM_BITS, BLOOM_HASHES)).alias("bit")).distinct()
 
 
-def bloom_estimate(bits: DataFrame) -> DataFrame:
-    """(set_bits, estimate): how many different items made the filter; ROTATE_AT + 1 for a full one."""
+def bloom_estimate(bits: DataFrame, full: float = ROTATE_AT + 1) -> DataFrame:
+    """(set_bits, estimate): how many different items made the filter; ``full`` for a full one."""
     n = F.count("*")
     estimate = F.round(-F.lit(BLOOM_BITS / BLOOM_HASHES) * F.log(1 - n / BLOOM_BITS), 4)
-    return bits.agg(n.alias("set_bits"), F.when(n >= BLOOM_BITS, F.lit(float(ROTATE_AT + 1))).otherwise(estimate).alias("estimate"))
+    return bits.agg(n.alias("set_bits"), F.when(n >= BLOOM_BITS, F.lit(float(full))).otherwise(estimate).alias("estimate"))
 
 
 def bloom_contains(probes: DataFrame, column: str, bits: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Queries against their SQL on made-up tables: what the smallest tables do not hold."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from spanloom.operators import sketch
 from spanloom.plans import registry
 
 
@@ -24,3 +26,9 @@ def same_as_sql(spark, folder, name, **tables):
 def test_html_to_text_of_cut_references(spark, tmp_path):
     rows = [(1, "<title>the&amp;&amp</title><p>a &quot b &amp;lt; &lt;i&gt; &copy;</p>"), (2, "<h1>x&quot;&quo</h1>y&am"), (3, "&amp;amp;&nbsp;")]
     same_as_sql(spark, tmp_path, "html_to_text", pages=spark.createDataFrame(rows, "page_id long, html string"))
+
+
+def test_bloom_estimate_of_a_full_filter(spark, tmp_path):
+    texts = spark.range(3000).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 1000 + i).cast("string"))), " ").alias("text"))
+    (row,) = same_as_sql(spark, tmp_path, "bloom_estimate", documents=texts)
+    assert tuple(row) == (sketch.BLOOM_BITS, float("inf"))
