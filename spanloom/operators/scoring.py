@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from pyspark.sql.window import Window
 
 from spanloom.functions import text as tx
@@ -32,15 +37,59 @@ def bm25(units: DataFrame, queries: DataFrame, unit: str = "window_id") -> DataF
     return joined.groupBy("query_id", unit).agg(F.sum(part * F.col("times")).alias("score")).where("score > 0")
 
 
+def term_facts(text: Column, queries: dict[int, str]) -> Column:
+    """What `bm25_of_facts` takes of a unit, as one array: its length and how often it has each term."""
+    terms, stop = asked_terms(queries), frozenset(tx.STOP_WORDS)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def facts(lowered: pd.Series) -> pd.Series:
+        def one(t: str) -> list[int]:
+            words = re.findall("[a-z0-9]+", t)
+            return [len(words) - sum(map(stop.__contains__, words)), *map(words.count, terms)]
+
+        return lowered.map(one, na_action="ignore")
+
+    return facts(F.lower(text))
+
+
+def unpacked(facts: DataFrame, column: str, queries: dict[int, str]) -> DataFrame:
+    """The array of `term_facts` as columns ``dl``, ``tf0`` and so on."""
+    return facts.withColumns({"dl": F.get(column, F.lit(0)), **{f"tf{i}": F.get(column, F.lit(i + 1)) for i in range(len(asked_terms(queries)))}}).drop(column)
+
+
+def asked_terms(queries: dict[int, str]) -> list[str]:
+    return sorted({t for q in queries.values() for t in tx.query_terms(q)})
+
+
+def bm25_of_facts(facts: DataFrame, queries: dict[int, str], unit: str) -> DataFrame:
+    """`bm25_literal` of units whose `term_facts` are known."""
+    terms = asked_terms(queries)
+    if not terms:
+        return facts.select(F.lit(0).cast("long").alias("query_id"), unit, F.lit(0.0).alias("score")).limit(0)
+    stats = facts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])  # one row
+    held = facts.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0)
+    return _bm25_scores(held, stats, queries, unit)
+
+
+def _bm25_scores(held: DataFrame, stats: DataFrame, queries: dict[int, str], unit: str) -> DataFrame:
+    terms = asked_terms(queries)
+
+    def part(t: str) -> Column:
+        i = terms.index(t)
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    scores = [F.struct(F.lit(i).cast("long").alias("query_id"), sum((part(t) for t in tx.query_terms(q)), F.lit(0.0)).alias("score")) for i, q in queries.items()]
+    return held.join(F.broadcast(stats)).select(unit, F.explode(F.array(*scores)).alias("x")).select("x.query_id", unit, "x.score").where("score > 0")
+
+
 def bm25_literal(units: DataFrame, queries: dict[int, str], unit: str = "window_id") -> DataFrame:
     """The same for queries that are known when the plan is made: two scans, and no shuffle.
 
     The first scan sums lengths and document frequencies to one row; the second scores
     the units that hold a term.
     """
-    spark = units.sparkSession
-    asked = {i: tx.query_terms(q) for i, q in queries.items()}
-    terms = sorted({t for q in asked.values() for t in q})
+    terms = asked_terms(queries)
     if not terms:
         return units.select(F.lit(0).cast("long").alias("query_id"), unit, F.lit(0.0).alias("score")).limit(0)
     lowered = units.select(unit, F.lower("text").alias("low"))
@@ -51,14 +100,7 @@ def bm25_literal(units: DataFrame, queries: dict[int, str], unit: str = "window_
     stats = lowered.agg(F.count("*").alias("n"), F.avg(tx.content_count(F.col("low"))).alias("avgdl"), *[F.sum((tf(t) > 0).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)])  # one row
     held = lowered.where(F.col("low").rlike(rf"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])"))
     held = held.select(unit, tx.content_count(F.col("low")).alias("dl"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-
-    def part(t: str) -> Column:
-        i = terms.index(t)
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-    scores = [F.struct(F.lit(i).cast("long").alias("query_id"), sum((part(t) for t in q), F.lit(0.0)).alias("score")) for i, q in asked.items()]
-    return held.join(F.broadcast(stats)).select(unit, F.explode(F.array(*scores)).alias("x")).select("x.query_id", unit, "x.score").where("score > 0")
+    return _bm25_scores(held, stats, queries, unit)
 
 
 def top_k(hits: DataFrame, k: int, unit: str = "window_id", score: str = "score") -> DataFrame:
@@ -145,6 +187,62 @@ def _bucketed(features: Column, weight: float, dim: int) -> Column:
     return F.transform(features, lambda f: F.struct(bucket(f).alias("b"), F.lit(weight).alias("w")))
 
 
+def _marked(words: list[str]) -> list[str]:
+    """The words in canonical form with their polarity marks, as `with_features` gives them."""
+    if not _MARKING.isdisjoint(words):
+        content = [w for w in words if w not in _MARKING and len(w) > 2]
+        words = words + [mark.lower() + w for mark, of in tx.POLARITY.items() if not set(of).isdisjoint(words) for w in content]
+    return [tx.ALIASES.get(w, w) for w in words]
+
+
+_MARKING = frozenset(w for words in tx.POLARITY.values() for w in words)
+#: Words whose buckets a task holds at most.
+MEMO = 1 << 18
+
+
+def _cosine_with(query: np.ndarray, dim: int):
+    """A column function from the words of a text, joined by spaces, to the cosine of its hashed vector with ``query``."""
+
+    @F.pandas_udf(DoubleType())
+    def cosine(joined: pd.Series) -> pd.Series:
+        memo: dict[str, int] = {}
+        md5 = hashlib.md5
+
+        def bucket(f: str) -> int:
+            return int.from_bytes(hashlib.md5(f.encode()).digest()[:4], "big") % dim
+
+        def one(text: str) -> float:
+            words = _marked(text.split(" ")) if text else []
+            single = []
+            for w in set(words):
+                if (b := memo.get(w)) is None:
+                    b = memo[w] = bucket(w)
+                single.append(b)
+            if len(memo) > MEMO:
+                memo.clear()
+            pairs = {f"{x} {y}" for x, y in zip(words, words[1:])}
+            # of the first four bytes a power of two up to 256 leaves the last one's bits
+            double = [md5(f.encode()).digest()[3] % dim for f in pairs] if 256 % dim == 0 else [bucket(f) for f in pairs]
+            v = tx.UNIGRAM_WEIGHT * np.bincount(np.array(single, np.int64), minlength=dim) + tx.BIGRAM_WEIGHT * np.bincount(np.array(double, np.int64), minlength=dim)
+            square = float(v @ v)
+            return float(v @ query) / math.sqrt(square) if square else 0.0
+
+        return joined.map(one, na_action="ignore").astype("float64")
+
+    return cosine
+
+
+def semantic_column(text: Column, query: str, dim: int = BUCKETS) -> Column:
+    """Cosine of the hashed vectors of a text and a query that is known when the plan is made, not below 0."""
+    words = _marked(re.findall(r"\w+", query.lower()))
+    v = np.zeros(dim)
+    for weight, features in ((tx.UNIGRAM_WEIGHT, set(words)), (tx.BIGRAM_WEIGHT, {f"{x} {y}" for x, y in zip(words, words[1:])})):
+        for f in features:
+            v[int.from_bytes(hashlib.md5(f.encode()).digest()[:4], "big") % dim] += weight
+    norm = math.sqrt(v @ v) or 1.0
+    return F.greatest(F.lit(0.0), F.coalesce(_cosine_with(v / norm, dim)(F.array_join(tx.unicode_tokens(text), " ")), F.lit(0.0)))
+
+
 def semantic_scores(units: DataFrame, query: DataFrame, unit: str, dim: int = BUCKETS) -> DataFrame:
     """(query_id, unit, score): cosine of hashed vectors, not below 0; ``query`` has one row (query_id, text).
 
@@ -171,15 +269,20 @@ def semantic_scores(units: DataFrame, query: DataFrame, unit: str, dim: int = BU
     return sums.select("query_id", unit, F.greatest(F.lit(0.0), score).alias("score")).where("score > 0")
 
 
-def phrase_hits(units: DataFrame, query: str, unit: str = "window_id") -> DataFrame:
-    """Units that hold any run of two or three non-stop words of the query, or the whole query."""
+def has_phrase(text: Column, query: str) -> Column:
+    """Whether a text holds any run of two or three non-stop words of the query, or the whole query."""
     terms = tx.query_terms(query)
     phrases = {" ".join(terms[i : i + n]) for n in (2, 3) for i in range(len(terms) - n + 1)} | {" ".join(query.lower().split())}
-    lowered = F.lower("text")
+    lowered = F.lower(text)
     found = F.lit(False)
     for p in sorted(p for p in phrases if p):
         found = found | F.contains(lowered, F.lit(p))
-    return units.where(found).select(unit, F.lit(1.0).alias("score"))
+    return found
+
+
+def phrase_hits(units: DataFrame, query: str, unit: str = "window_id") -> DataFrame:
+    """Units that hold any run of two or three non-stop words of the query, or the whole query."""
+    return units.where(has_phrase(F.col("text"), query)).select(unit, F.lit(1.0).alias("score"))
 
 
 def combined(exact: Column, semantic: Column, structure: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,31 +51,36 @@ def with_neighbors(windows: DataFrame, source: str = "doc_id") -> DataFrame:
     return windows.withColumns({"prev_id": F.lag("window_id").over(order), "next_id": F.lead("window_id").over(order)})
 
 
-def _total(strings):
-    return F.aggregate(F.transform(strings, F.length), F.lit(0), lambda a, x: a + x)
+#: Rows whose chunks are held at once.
+ROWS = 512
+# Fixed value: a word ends at ASCII white space.
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def token_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Chunks of ``size`` words that overlap; the text is the slice of the original."""
+    """Chunks of ``size`` words that overlap; the text is the slice of the original. Cut inside each row."""
     step = size - overlap if overlap < size else max(1, size // 2)
-    words = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"), F.regexp_extract_all("text", F.lit(r"\s+"), F.lit(0)).alias("gaps")).withColumn("n", F.size("w")).where("n > 0")
-    lead = F.when(F.col("text").rlike(r"^\s"), 1).otherwise(0)  # gaps before the first word
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)), lambda s: (s == 0) | (s - step + size < F.col("n")))
-    # what stands before each chunk: sums of the steps between chunks, each word taken once
-    words = words.withColumn("lead", lead).withColumn("starts", starts)
-    steps = F.transform("starts", lambda s: F.when(s == 0, _total(F.slice("gaps", 1, F.col("lead")))).otherwise(_total(F.slice("w", s - step + 1, step)) + _total(F.slice("gaps", s - step + F.col("lead") + 1, step))))
-    words = words.withColumn("steps", steps)
-    offsets = F.aggregate("steps", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-    flat = words.withColumn("offsets", offsets).select("doc_id", "text", "w", "gaps", "lead", "n", "offsets", F.posexplode("starts").alias("chunk", "first"))
-    last = F.least(F.col("first") + size, F.col("n"))
-    start = F.element_at("offsets", F.col("chunk") + 1)
-    length = _total(F.slice("w", F.col("first") + 1, last - F.col("first"))) + _total(F.slice("gaps", F.col("first") + F.col("lead") + 1, last - F.col("first") - 1))
-    placed = flat.withColumns({"start": start.cast("long"), "len": length}).withColumn("end", F.col("start") + F.col("len"))
-    return placed.select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(":0:0:"), F.col("chunk").cast("string")).alias("chunk_id"),
-        "doc_id", F.col("chunk").cast("long").alias("chunk"), F.expr("substring(text, cast(start as int) + 1, len)").alias("content"),
-        (last - F.col("first")).cast("long").alias("token_count"), "start", F.col("end").cast("long").alias("end"),
-    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, chunk, content, count, start, end = [], [], [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    words = [m.start() for m in WORD.finditer(text or "")]
+                    for k, first in enumerate(range(0, len(words), step)):
+                        if k and first - step + size >= len(words):
+                            break
+                        last = min(first + size, len(words))
+                        begin, until = words[first], WORD.match(text, words[last - 1]).end()
+                        row.append(i), chunk.append(k), content.append(text[begin:until]), count.append(last - first), start.append(begin), end.append(until)
+                numbers = [pa.array(x, pa.int64()) for x in (chunk, count, start, end)]
+                ids = part.column(0).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, numbers[0], pa.array(content, pa.string()), *numbers[1:]], ["doc_id", "chunk", "content", "token_count", "start", "end"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, chunk long, content string, token_count long, start long, end long")
+    return placed.select(F.concat(F.col("doc_id").cast("string"), F.lit(":0:0:"), F.col("chunk").cast("string")).alias("chunk_id"), "doc_id", "chunk", "content", "token_count", "start", "end")
 
 
 def chunk_neighbors(chunks: DataFrame) -> DataFrame:

@@ -343,16 +343,30 @@ HEURISTIC_RERANK = f"WITH {RR_CTE} SELECT window_id, score2 AS score FROM rr"
 # ---- chunk path
 
 
-def _chunks(s, d):
-    """The chunks, kept for the heads that read them."""
-    return cache.shared.get(windows.token_chunks(docs(s, d)).withColumnRenamed("content", "text").select("chunk_id", "doc_id", "chunk", "token_count", "text"))
+def _chunks(s, d, of=None):
+    """The chunks, of all documents or of those in ``of`` (doc_id)."""
+    held = docs(s, d) if of is None else docs(s, d).join(F.broadcast(of), "doc_id", "left_semi")
+    return windows.token_chunks(held).withColumnRenamed("content", "text").select("chunk_id", "doc_id", "chunk", "token_count", "text")
+
+
+def _facts(s, d):
+    """(chunk_id, doc_id, chunk, token_count, trie, phrase, cosine, dl, tf0, ...): all that the heads take of a chunk.
+
+    Every chunk is made and read once; the heads share this table, which has no texts.
+    """
+    text = F.col("text")
+    facts = _chunks(s, d).select(
+        "chunk_id", "doc_id", "chunk", "token_count", scoring.term_facts(text, {1: Q}).alias("terms"),
+        F.round(scoring.pattern_score(text, Q), 6).alias("trie"), scoring.has_phrase(text, Q).alias("phrase"), F.round(scoring.semantic_column(text, Q), 6).alias("cosine"),
+    )
+    return scoring.unpacked(cache.shared.get(facts), "terms", {1: Q})
 
 
 def _heads(s, d):
-    c = _chunks(s, d)
-    q = s.createDataFrame([(1, Q)], "query_id long, text string")
-    bm = scoring.bm25_literal(c, {1: Q}, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
-    cs = scoring.semantic_scores(c.select("chunk_id", "text"), q, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+    c = _facts(s, d)
+    bm = scoring.bm25_of_facts(c, {1: Q}, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+    # as in `semantic_scores`, without a cosine of 0
+    cs = c.where("cosine > 0").select("chunk_id", F.col("cosine").alias("score"))
     return c, bm, cs
 
 
@@ -376,20 +390,20 @@ SPS_FUSION = f"WITH {CHUNK_HEADS} SELECT * FROM sps"
 CORTICAL_CAP, CORTICAL_MOST = 2_000, 80
 
 
-def _cortical(c, cs):
+def _cortical(c):
     """(node, score, rank): the units that stand out by patterns and cosine, spread over neighbouring chunks, and gated."""
-    found = c.select("chunk_id", "doc_id", "chunk", "token_count", F.round(scoring.pattern_score(F.col("text"), Q), 6).alias("trie")).join(cs.withColumnRenamed("score", "s"), "chunk_id", "left")
+    found = c.select("chunk_id", "doc_id", "chunk", "token_count", "trie", F.col("cosine").alias("s"))
     top = found.agg(F.max("trie").alias("m"))  # one row
-    salient = found.join(F.broadcast(top)).withColumns({"l": F.when(F.col("m") > 0, F.col("trie") / F.col("m")).otherwise(0.0), "s": F.coalesce("s", F.lit(0.0))}).where("l + s > 0")
+    salient = found.join(F.broadcast(top)).withColumns({"l": F.when(F.col("m") > 0, F.col("trie") / F.col("m")).otherwise(0.0)}).where("l + s > 0")
     order = Window.orderBy(F.desc(F.round(F.col("l") + F.col("s"), 9)), "chunk_id")
     kept = salient.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CORTICAL_CAP).select(F.col("chunk_id").alias("node"), F.col("doc_id").alias("source"), "chunk", F.col("token_count").alias("cost"), "l", "s")
+    kept = cache.shared.get(kept)  # read for the edges and in each step
     edges = graph.normalized(graph.rule_edges(kept.select("node", "source", "chunk")))
     return graph.gate(graph.diffuse(kept, edges), "cost", CORTICAL_MOST).select("node", "score", "rank")
 
 
 def cortical_head(s, d):
-    c, _, cs = _heads(s, d)
-    return _cortical(c, cs)
+    return _cortical(_facts(s, d))
 
 
 CORTICAL_CTE = f"""ct AS (SELECT chunk_id, doc_id, chunk, token_count, round({pattern_sql(Q, 'content')}, 6) AS trie FROM ch), cm AS (SELECT ct.*, coalesce(csr.score, 0) AS s, CASE WHEN max(trie) OVER () > 0 THEN trie / max(trie) OVER () ELSE 0 END AS l FROM ct LEFT JOIN csr USING (chunk_id)),
@@ -402,13 +416,13 @@ CORTICAL_HEAD = f"WITH {CHUNK_HEADS}, {CORTICAL_CTE} SELECT chunk_id AS node, sc
 
 def _fused(s, d, k=100):
     c, bm, cs = _heads(s, d)
-    cortical = _cortical(c, cs).select(F.col("node").alias("chunk_id"), "score")
-    heads = {"sps": fusion.sps(bm, cs, "chunk_id", 100).select("chunk_id", "score"), "bm25": _best(bm, 100), "phrase": _best(scoring.phrase_hits(c, Q, "chunk_id"), 100), "cortical": cortical}
-    return c, fusion.rrf(heads, "chunk_id", k)
+    cortical = _cortical(c).select(F.col("node").alias("chunk_id"), "score")
+    heads = {"sps": fusion.sps(bm, cs, "chunk_id", 100).select("chunk_id", "score"), "bm25": _best(bm, 100), "phrase": _best(c.where("phrase").select("chunk_id", F.lit(1.0).alias("score")), 100), "cortical": cortical}
+    return fusion.rrf(heads, "chunk_id", k)
 
 
 def rrf_fusion(s, d):
-    return _fused(s, d)[1]
+    return _fused(s, d)
 
 
 def _phrase_where(column):
@@ -422,7 +436,7 @@ RRF_FUSION = f"WITH {RRF_CTE} SELECT * FROM fused"
 
 
 def adaptive_budget(s, d):
-    return fusion.adaptive(_fused(s, d)[1], 10, 20).select("chunk_id", "score", "rank", "widened")
+    return fusion.adaptive(cache.shared.get(_fused(s, d)), 10, 20).select("chunk_id", "score", "rank", "widened")
 
 
 ADAPTIVE_BUDGET = f"WITH {RRF_CTE}, fc AS (SELECT (max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 5 THEN score END), 0)) < 0.15 OR count(*) < 10 AS widened FROM fused) SELECT chunk_id, score, rank, widened FROM fused, fc WHERE rank <= CASE WHEN widened THEN 60 ELSE 20 END"
@@ -446,10 +460,12 @@ def best_sentences(units, query, unit):
 
 def multihead_search(s, d):
     """The fused heads re-ranked; the best sentence of a chunk is its span, where there is one."""
-    c, fused = _fused(s, d)
-    hits = fused.select("chunk_id", "score", "channels").join(c.select("chunk_id", "text"), "chunk_id")
+    fused = cache.shared.get(_fused(s, d))  # 100 rows
+    # texts are made again for the documents of the fused chunks only
+    of = fused.select(F.split("chunk_id", ":")[0].cast("long").alias("doc_id")).distinct()
+    hits = fused.select("chunk_id", "score", "channels").join(_chunks(s, d, of).select("chunk_id", "text"), "chunk_id")
     rr = hits.withColumn("score", F.round(scoring.heuristic_rerank(F.col("score"), F.col("text"), Q), 8))
-    top = rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 10")
+    top = cache.shared.get(rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 10"))
     best = best_sentences(top.select("chunk_id", "text"), Q, "chunk_id").select("chunk_id", "sentence")
     return top.join(best, "chunk_id", "left").select("chunk_id", "score", "channels", "rank", "sentence")
 

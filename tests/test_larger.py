@@ -1,6 +1,7 @@
 """Queries against their SQL on made-up tables: what the smallest tables do not hold."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import sketch
@@ -41,3 +42,13 @@ def test_distill_validation_makes_no_row_for_each_cell_of_a_document(spark, tmp_
     same_as_sql(spark, tmp_path, "distill_validation", documents=documents, embeddings=embeddings)
     plan = registry.queries()["distill_validation"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # words, buckets and dimensions stay inside rows
+
+
+@pytest.mark.parametrize("name", ["adaptive_budget", "cortical_head", "multihead_search", "rrf_fusion"])
+def test_heads_read_each_chunk_once(spark, tmp_path, name):
+    words = "anes oner edst thou not refund billed approved Été x_1 of the denied 503".split()
+    rows = [(i, "s", "\n".join(" ".join(words[(i * 7 + j * j + k) % (5 + i % 9)] for k in range(14)) + "." for j in range(10 + 9 * (i % 11)))) for i in range(60)]
+    rows += [(90, "s", None), (91, "s", ""), (92, "s", " \t\n"), (93, "s", " anes\x0boner \u00a0 edst thou")]
+    same_as_sql(spark, tmp_path, name, documents=spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and "zip_with" not in plan  # no lambda hashes each word and pair
