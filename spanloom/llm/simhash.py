@@ -349,17 +349,18 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
-    """(component, h, text_key, doc_id, left): of each text so many of its smallest hashes that two texts at ``least`` share one."""
+    """(component, h, text_key, size, left): of each text so many of its smallest hashes that two texts at ``least`` share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_set(x) for x in batch.column(4).to_pylist()]
+            sets = [_set(x) for x in batch.column(3).to_pylist()]
+            sizes = pa.array([len(h) for h in sets], pa.int32())
             sets = [h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1] if len(h) else np.zeros(1, np.uint64) for h in sets]
             row = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h in sets]))
             h = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), h, *[batch.column(i).take(row) for i in (1, 2, 3)]], ["component", "h", "text_key", "doc_id", "left"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), h, batch.column(1).take(row), sizes.take(row), batch.column(2).take(row)], ["component", "h", "text_key", "size", "left"])
 
-    return texts.select("component", "text_key", "doc_id", "left", "shingles").mapInArrow(run, "component long, h long, text_key binary, doc_id long, left boolean")
+    return texts.select("component", "text_key", "left", "shingles").mapInArrow(run, "component long, h long, text_key binary, size int, left boolean")
 
 
 def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -372,9 +373,10 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     words, and several tables, each with its own hashes, make up for the chance in one.
 
     Every candidate is compared, by the shingles themselves, with the first text of
-    its component; each text that is not near to it, with those texts of the component
-    that hold the same rare shingles: for each such shingle the first and the last text
-    of all and the first of those left.  The groups are the components of these verified links.
+    its component; each text that is not near to it, with every text of the component
+    that holds one of the same rare shingles and whose size allows the similarity, so no
+    link of such a text is lost.  The rows of one common rare shingle grow with the pairs of
+    those left.  The groups are the components of these verified links.
 
     Rows without a doc_id stay; rows with the same doc_id never remove each other;
     texts without words are equal to each other; an empty table gives no rows; other
@@ -413,12 +415,11 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     left = compared.where("not near").select("component", "text_key").distinct().withColumn("left", F.lit(True))
     of_left = sets.join(left.select("component").distinct(), "component", "left_semi").join(left, ["component", "text_key"], "left")
     rare = common.materialize(rare_shingles(of_left.withColumn("left", F.coalesce("left", F.lit(False))), least), "rare")
-    text = F.struct("doc_id", "text_key")
-    holders = rare.groupBy("component", "h").agg(F.min(text).alias("x"), F.max(text).alias("y"), F.min(F.when(F.col("left"), text)).alias("z"))
-    pairs = (
-        rare.where("left").join(holders, ["component", "h"]).select(F.col("text_key").alias("a"), F.explode(F.array("x.text_key", "y.text_key", "z.text_key")).alias("b"))
-        .where("a <> b").distinct()
-    )
+    # every other holder of the shingle, but those whose size alone keeps the similarity under the least
+    of = rare.select("component", "h", F.col("text_key").alias("b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
+    fits = F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b") - F.lit(1e-9)
+    once = ~F.col("left_b") | (F.col("text_key") < F.col("b"))  # two of those left are one pair
+    pairs = rare.where("left").join(of, ["component", "h"]).where((F.col("text_key") != F.col("b")) & fits & once).select(F.col("text_key").alias("a"), "b").distinct()
     known = sets.select("text_key", "shingles").dropDuplicates(["text_key"])
     pairs = pairs.join(known.toDF("a", "of_a"), "a").join(known.toDF("b", "of_b"), "b").where(near("of_a", "of_b")).select("a", "b")
     groups = connected_components(links.unionByName(common.materialize(pairs, "pairs")))

@@ -1,5 +1,7 @@
 """Queries against their SQL on made-up tables: what the smallest tables do not hold."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +54,21 @@ def test_heads_read_each_chunk_once(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, documents=spark.createDataFrame(rows, "doc_id long, source string, text string"))
     plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "md5(" not in plan and "zip_with" not in plan  # no lambda hashes each word and pair
+
+
+def test_keep_one_compares_every_holder_of_a_rare_shingle(spark):
+    """Two near texts whose shared shingles all have other first and last holders, none of them near."""
+    simhash = pytest.importorskip("spanloom.llm.simhash")
+    rnd = random.Random(3)
+    base = ["w%d" % i for i in range(300)]
+    near = [*base[:150], base[151], base[150], *base[152:]]
+    rows = [(0, sorted(base)), (1000, base), (1001, near)]
+    for at in (10, 2000):  # the first and the last holders: one half in order, the other shuffled
+        for i in range(40):
+            cut = 120 if i % 2 else 180
+            head, tail = base[:cut], base[cut:]
+            rnd.shuffle(head if i % 2 else tail)
+            rows.append((at + i, head + tail))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i, _ in rows} - {1001}
