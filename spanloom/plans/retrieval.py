@@ -359,7 +359,14 @@ def _facts(s, d):
         "chunk_id", "doc_id", "chunk", "token_count", scoring.term_facts(text, {1: Q}).alias("terms"),
         F.round(scoring.pattern_score(text, Q), 6).alias("trie"), scoring.has_phrase(text, Q).alias("phrase"), F.round(scoring.semantic_column(text, Q), 6).alias("cosine"),
     )
-    return scoring.unpacked(cache.shared.get(facts), "terms", {1: Q})
+    kept = cache.shared.get(facts)
+    kept.count()  # filled by one job: jobs that start together would each make the chunks
+    return scoring.unpacked(kept, "terms", {1: Q})
+
+
+def _few(df):
+    """A result of a fixed number of rows at most, taken now, so that plans over it stay small."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def _heads(s, d):
@@ -397,7 +404,7 @@ def _cortical(c):
     salient = found.join(F.broadcast(top)).withColumns({"l": F.when(F.col("m") > 0, F.col("trie") / F.col("m")).otherwise(0.0)}).where("l + s > 0")
     order = Window.orderBy(F.desc(F.round(F.col("l") + F.col("s"), 9)), "chunk_id")
     kept = salient.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CORTICAL_CAP).select(F.col("chunk_id").alias("node"), F.col("doc_id").alias("source"), "chunk", F.col("token_count").alias("cost"), "l", "s")
-    kept = cache.shared.get(kept)  # read for the edges and in each step
+    kept = _few(kept)  # CORTICAL_CAP rows, read for the edges and in each step
     edges = graph.normalized(graph.rule_edges(kept.select("node", "source", "chunk")))
     return graph.gate(graph.diffuse(kept, edges), "cost", CORTICAL_MOST).select("node", "score", "rank")
 
@@ -436,7 +443,7 @@ RRF_FUSION = f"WITH {RRF_CTE} SELECT * FROM fused"
 
 
 def adaptive_budget(s, d):
-    return fusion.adaptive(cache.shared.get(_fused(s, d)), 10, 20).select("chunk_id", "score", "rank", "widened")
+    return fusion.adaptive(_few(_fused(s, d)), 10, 20).select("chunk_id", "score", "rank", "widened")
 
 
 ADAPTIVE_BUDGET = f"WITH {RRF_CTE}, fc AS (SELECT (max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 5 THEN score END), 0)) < 0.15 OR count(*) < 10 AS widened FROM fused) SELECT chunk_id, score, rank, widened FROM fused, fc WHERE rank <= CASE WHEN widened THEN 60 ELSE 20 END"
@@ -460,12 +467,12 @@ def best_sentences(units, query, unit):
 
 def multihead_search(s, d):
     """The fused heads re-ranked; the best sentence of a chunk is its span, where there is one."""
-    fused = cache.shared.get(_fused(s, d))  # 100 rows
+    fused = _few(_fused(s, d))  # 100 rows
     # texts are made again for the documents of the fused chunks only
     of = fused.select(F.split("chunk_id", ":")[0].cast("long").alias("doc_id")).distinct()
     hits = fused.select("chunk_id", "score", "channels").join(_chunks(s, d, of).select("chunk_id", "text"), "chunk_id")
     rr = hits.withColumn("score", F.round(scoring.heuristic_rerank(F.col("score"), F.col("text"), Q), 8))
-    top = cache.shared.get(rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 10"))
+    top = _few(rr.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 10"))
     best = best_sentences(top.select("chunk_id", "text"), Q, "chunk_id").select("chunk_id", "sentence")
     return top.join(best, "chunk_id", "left").select("chunk_id", "score", "channels", "rank", "sentence")
 
