@@ -264,6 +264,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: int = 3) -> DataFram
 SEEDS = tuple(range(42, 54))
 #: Copies of the first text of a component to which its other texts are joined, where there are many.
 SALTS, MANY = 16, 2_048
+#: Shingles of a component that one task counts, and most tasks that share a component's.
+SLICE, SLICES = 1 << 18, 64
 
 
 #: A byte to eight bytes, one for each of its bits: sums of 255 of them do not run over.
@@ -329,7 +331,7 @@ def _set(data: bytes) -> np.ndarray:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``texts`` with the sorted hashes of its distinct shingles, ``shingles``, for its text."""
+    """``texts`` with the sorted hashes of its distinct shingles, ``shingles``, and their number, ``size``, for its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,26 +343,83 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
                 for i in range(1, width):
                     grams = flat.mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
                 found.append(np.unique(grams).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "shingles"])
+            sizes = pa.array([len(x) // 8 for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary()), sizes], [*batch.schema.names[:-1], "shingles", "size"])
 
     names = [c for c in texts.columns if c != "text"]
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
-    return texts.select(*names, "text").mapInArrow(run, f"{kinds}, shingles binary")
+    return texts.select(*names, "text").mapInArrow(run, f"{kinds}, shingles binary, size int")
+
+
+def prefix(sizes: np.ndarray, least: float) -> np.ndarray:
+    """How many shingles of a set of each size, the first in any order, are enough to meet every set at ``least``."""
+    return sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
 
 
 def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
-    """(component, h, text_key, size, left): of each text so many of its smallest hashes that two texts at ``least`` share one."""
+    """(component, h, text_key, group, size, p): the rarest shingles of each text, without those that no other of its component holds.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_set(x) for x in batch.column(3).to_pylist()]
-            sizes = pa.array([len(h) for h in sets], pa.int32())
-            sets = [h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1] if len(h) else np.zeros(1, np.uint64) for h in sets]
-            row = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h in sets]))
-            h = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), h, batch.column(1).take(row), sizes.take(row), batch.column(2).take(row)], ["component", "h", "text_key", "size", "left"])
+    ``texts``: (component, text_key, group, size, total, shingles), total the shingles of
+    the component.  p is a shingle's place among those of its text, in the order of (texts of
+    the component that hold it, h); those whose place is too late for a link at ``least`` have
+    no row.  Components of one group have none.  A large component's shingles are dealt to
+    several tasks, each of which counts some of them.
+    """
+    names = ["component", "text_key", "group", "size"]
+    kinds = "component long, text_key binary, group binary, size int"
 
-    return texts.select("component", "text_key", "left", "shingles").mapInArrow(run, "component long, h long, text_key binary, size int, left boolean")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, slices, parts = [], [], []
+            for row, (slice_count, data) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                h = _set(data) if data else np.zeros(1, np.uint64)  # texts without words share one
+                of = flat.mixed(h) % np.uint64(slice_count)
+                for i in np.unique(of).tolist():
+                    rows.append(row)
+                    slices.append(i)
+                    parts.append(h[of == i].tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(slices, pa.int32()), pa.array(parts, pa.binary())], [*names, "slice", "part"])
+
+    def count(found: pa.Table) -> pa.Table:
+        if len(found["group"].unique()) < 2:
+            found = found.slice(0, 0)
+        sets = [_set(x) for x in found["part"].to_pylist()]
+        h = np.concatenate([np.empty(0, np.uint64), *sets])
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, at, held = np.unique(h, return_inverse=True, return_counts=True)
+        held = held[at]
+        order = np.lexsort((h, held, owner))
+        h, owner, held = h[order], owner[order], held[order]
+        place = np.arange(len(h)) - np.searchsorted(owner, np.arange(len(sets)))[owner]
+        kept = (held > 1) & (place < prefix(np.maximum(found["size"].to_numpy(), 1).astype(np.int64), least)[owner])
+        cuts = np.searchsorted(owner[kept], np.arange(len(sets) + 1)).tolist()
+        h, many = h[kept], held[kept]
+        parts = [(h[a:b].tobytes(), many[a:b].astype(np.int64).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        alone = np.bincount(owner[held == 1], minlength=len(sets)).astype(np.int32)
+        return pa.table([*(found[n] for n in names), pa.array(alone), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], [*names, "alone", "h", "held"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes, at = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sizes = np.maximum(batch.column(3).to_numpy(), 1).astype(np.int64)
+            for row, (alone, parts, most) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), prefix(sizes, least).tolist())):
+                h = np.concatenate([_set(x["h"]) for x in parts])
+                order = np.lexsort((h, np.concatenate([np.frombuffer(x["held"], np.int64) for x in parts])))[: max(0, most - alone)]
+                rows.append(np.full(len(order), row))
+                hashes.append(h[order].view(np.int64))
+                at.append(alone + np.arange(len(order)))
+            row = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
+            component, key, group, _ = (batch.column(i).take(row) for i in range(4))
+            yield pa.RecordBatch.from_arrays(
+                [component, pa.array(np.concatenate(hashes)), key, group, pa.array(sizes.astype(np.int32)).take(row), pa.array(np.concatenate(at).astype(np.int32))], ["component", "h", "text_key", "group", "size", "p"]
+            )
+
+    slices = F.least(F.lit(SLICES), F.floor(F.col("total") / F.lit(SLICE)) + 1).cast("int")
+    dealt = texts.select(*names, slices.alias("slices"), "shingles").mapInArrow(deal, f"{kinds}, slice int, part binary")
+    counted = dealt.groupBy("component", "slice").applyInArrow(count, f"{kinds}, alone int, h binary, held binary")
+    whole = counted.groupBy(*names).agg(F.sum("alone").cast("int").alias("alone"), F.collect_list(F.struct("h", "held")).alias("parts"))
+    return whole.mapInArrow(places, "component long, h long, text_key binary, group binary, size int, p int")
 
 
 def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -372,11 +431,13 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     similarity to be found within three bits, so they are those of the sets of
     words, and several tables, each with its own hashes, make up for the chance in one.
 
-    Every candidate is compared, by the shingles themselves, with the first text of
-    its component; each text that is not near to it, with every text of the component
-    that holds one of the same rare shingles and whose size allows the similarity, so no
-    link of such a text is lost.  The rows of one common rare shingle grow with the pairs of
-    those left.  The groups are the components of these verified links.
+    Every candidate is compared, by the shingles themselves, with the first text of its
+    component; the texts near to it are one group, each other text is its own.  Then
+    texts of different groups are compared that share one of their rarest shingles of
+    the component, if its place in both and their sizes allow the similarity: first each
+    with one text for a shingle, and after the groups have been joined, every pair that is
+    left, so no link between groups is lost and none is looked for inside a group.  The
+    groups in the end are the components of these verified links.
 
     Rows without a doc_id stay; rows with the same doc_id never remove each other;
     texts without words are equal to each other; an empty table gives no rows; other
@@ -404,25 +465,43 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(_set(x), _set(y)) >= least for x, y in zip(a, b)], dtype=bool)
 
+    totals = sets.groupBy("component").agg(F.sum("size").alias("total"))
     salt = F.when(F.col("n") > MANY, F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("n") > MANY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    heads = sets.where("text_key = first_key").dropDuplicates(["component"]).select("component", F.explode(salts).alias("salt"), F.col("shingles").alias("first_shingles"))
-    others = sets.where("text_key <> first_key").withColumn("salt", salt).join(heads, ["component", "salt"])
-    compared = common.materialize(others.select("component", "text_key", "first_key", near("shingles", "first_shingles").alias("near")), "compared")
-    links = compared.where("near").select(F.col("text_key").alias("a"), F.col("first_key").alias("b"))
-
-    # texts of a component that are not near to its first
-    left = compared.where("not near").select("component", "text_key").distinct().withColumn("left", F.lit(True))
-    of_left = sets.join(left.select("component").distinct(), "component", "left_semi").join(left, ["component", "text_key"], "left")
-    rare = common.materialize(rare_shingles(of_left.withColumn("left", F.coalesce("left", F.lit(False))), least), "rare")
-    # every other holder of the shingle, but those whose size alone keeps the similarity under the least
-    of = rare.select("component", "h", F.col("text_key").alias("b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
-    fits = F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b") - F.lit(1e-9)
-    once = ~F.col("left_b") | (F.col("text_key") < F.col("b"))  # two of those left are one pair
-    pairs = rare.where("left").join(of, ["component", "h"]).where((F.col("text_key") != F.col("b")) & fits & once).select(F.col("text_key").alias("a"), "b").distinct()
-    known = sets.select("text_key", "shingles").dropDuplicates(["text_key"])
-    pairs = pairs.join(known.toDF("a", "of_a"), "a").join(known.toDF("b", "of_b"), "b").where(near("of_a", "of_b")).select("a", "b")
-    groups = connected_components(links.unionByName(common.materialize(pairs, "pairs")))
+    heads = sets.where("text_key = first_key").dropDuplicates(["component"]).join(totals, "component").select("component", "total", F.explode(salts).alias("salt"), F.col("shingles").alias("first_shingles"))
+    # the first is near to itself
+    joined = sets.withColumn("salt", salt).join(heads, ["component", "salt"])
+    group = F.when((F.col("text_key") == F.col("first_key")) | near("shingles", "first_shingles"), F.col("first_key")).otherwise(F.col("text_key"))
+    compared = common.materialize(joined.select("component", "text_key", group.alias("group"), "size", "total", "shingles"), "compared")
+    common.discard(spark, asked, sizes, sets)
+    links = compared.where("text_key <> group").select(F.col("text_key").alias("a"), F.col("group").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = common.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        wanted = common.member(pairs.select(F.explode(F.array("a", "b")).alias("text_key")), "text_key")
+        known = compared.where(wanted(F.col("text_key"))).select("text_key", "shingles").dropDuplicates(["text_key"])
+        known = common.materialize(known, "known")
+        out = common.materialize(pairs.join(known.toDF("a", "of_a"), "a").join(known.toDF("b", "of_b"), "b").where(near("of_a", "of_b")).select("a", "b"), "verified")
+        common.discard(spark, pairs, known)
+        return out
+
+    #: Whether texts whose first common shingle has these places can reach the similarity.
+    reach = F.least(F.col("size") - F.col("p"), F.col("size_b") - F.col("p_b")) >= F.lit(least / (1 + least)) * (F.col("size") + F.col("size_b")) - F.lit(1e-9)
+    at = ["component", "h"]
+    rare = common.materialize(rare_shingles(compared, least), "rare")
+    # each text with the one of its shingle that has the fewest shingles of its own
+    pivot = rare.groupBy(*at).agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct("p", "size", "text_key", "group")).alias("y")).where("low <> high")
+    pivot = pivot.select(*at, F.col("y.p").alias("p_b"), F.col("y.size").alias("size_b"), F.col("y.text_key").alias("b"), F.col("y.group").alias("group_b"))
+    met = verified(rare.join(pivot, at).where((F.col("group") != F.col("group_b")) & reach).select(F.col("text_key").alias("a"), "b"))
+    links = common.materialize(links.unionByName(met), "links")
+    groups = connected_components(links)
+    # then each text that is not in its shingle's largest group with all texts of other groups
+    rare = rare.join(groups.toDF("text_key", "joined"), "text_key", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined")
+    main = rare.groupBy(*at, "group").count().groupBy(*at).agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    rare = common.materialize(rare.join(main, at).select(*rare.columns, (F.col("group") != F.col("main")).alias("beside")), "rare")
+    of = rare.select(*at, F.col("p").alias("p_b"), F.col("size").alias("size_b"), F.col("text_key").alias("b"), F.col("group").alias("group_b"))
+    last = verified(rare.where("beside").join(of, at).where((F.col("group") != F.col("group_b")) & reach).select(F.col("text_key").alias("a"), "b"))
+    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
 
     # the first text of each group stays
     grouped = texts.join(groups.select(F.col("node").alias("text_key"), F.col("component").alias("in_group")), "text_key")
@@ -431,7 +510,7 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     known = texts.select("text_key", F.col("doc_id").alias("owner")).join(gone, "text_key", "left")
     extra = prints.select("doc_id", "text_key").join(known, "text_key").where("gone or doc_id <> owner").select("doc_id", "text_key").distinct()
     extra = common.materialize(extra, "extra")
-    common.discard(spark, asked, sizes, sets, compared, rare, nodes, texts, prints)
+    common.discard(spark, compared, nodes, texts, prints)
     same = (F.col("x.doc_id") == F.col("y.doc_id")) & (text_key("x.text") == F.col("y.text_key"))
     return docs.alias("x").join(extra.alias("y"), same, "left_anti").select(docs.columns)
 

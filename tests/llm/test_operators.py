@@ -375,6 +375,88 @@ def test_near_duplicates_are_removed_by_their_shingles(spark):
     assert len(set(got) - set(want)) <= 1  # candidates are found by fingerprints
 
 
+def most_join_rows(spark, after):
+    """The most rows that a join made in the SQL executions from number ``after`` on, and the number of the next execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, n = 0, store.executionsCount()
+    for i in range(n):
+        at = store.executionsList().apply(i).executionId()
+        if at < after:
+            continue
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name():
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    found = values.get(m.accumulatorId())
+                    if m.name() == "number of output rows" and found.isDefined():
+                        most = max(most, int(found.get().replace(",", "").split()[0]))
+    return most, store.executionsList().apply(n - 1).executionId() + 1
+
+
+def copies_of(template, n, part, rnd):
+    """Copies of which each has its own words in up to ``part`` of the places."""
+    out = []
+    for _ in range(n):
+        words = list(template)
+        for j in rnd.sample(range(len(words)), int(rnd.random() * part * len(words))):
+            words[j] = "own%d" % rnd.randint(0, 1 << 40)
+        out.append(words)
+    return out
+
+
+def groups_by_all_pairs(texts, least=0.8, width=5):
+    """For each text the first of its group: single linkage over every pair."""
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in texts]
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if of[i] != of[j] and (len(sets[i] & sets[j]) >= least * union - 1e-9):
+                a, b = sorted((of[i], of[j]))
+                of = [a if x == b else x for x in of]
+    return of
+
+
+@pytest.mark.parametrize("slice_size", [simhash.SLICE, 400])
+def test_no_link_between_candidates_is_lost(spark, monkeypatch, slice_size):
+    rnd = random.Random(5)
+    base = ["t%d" % i for i in range(120)]
+    other = [w if i % 9 else "u%d" % i for i, w in enumerate(base)]  # another group, of the same words mostly
+    texts = [["first", "of", "all"]] + copies_of(base, 60, 0.1, rnd) + copies_of(other, 60, 0.1, rnd) + [base[:k] for k in (60, 75, 94, 100, 115)] + [[], [" "]]
+    texts += [x[:-1] + ["end%d" % i] for i, x in enumerate(texts[5:40])] + [["a", "b"], ["A", "b"], ["w%d" % rnd.randint(0, 9) for _ in range(80)]]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    # all are candidates: one component
+    monkeypatch.setattr(simhash, "_components", lambda nodes, tables, bound: nodes.select("node", F.lit(0).cast("long").alias("component")))
+    monkeypatch.setattr(simhash, "SLICE", slice_size)
+    want = [i for i, x in enumerate(groups_by_all_pairs([" ".join(w).lower().split() for w in texts])) if i == x]
+    assert 30 < len(want) < len(texts) - 30
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_joins_follow_the_texts_and_not_their_pairs(spark):
+    rnd = random.Random(6)
+    base = ["t%d" % i for i in range(200)]
+    texts = copies_of(base, 500, 0.06, rnd)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    _, at = most_join_rows(spark, 1 << 60)
+    simhash.keep_one(docs).collect()
+    most, _ = most_join_rows(spark, at)
+    assert 0 < most < 60 * len(texts)
+
+
+def test_components_read_a_large_group_s_links_once(spark):
+    n = 2_000  # a path between two stars, each link given several times
+    links = [(i, 0) for i in range(1, n)] + [(i, n) for i in range(n + 1, 2 * n)] + [(2 * n + i, 2 * n + i + 1) for i in range(40)] + [(n - 1, 2 * n), (2 * n + 40, 2 * n - 1)]
+    df = spark.createDataFrame(links + [(b, a) for a, b in links], "a long, b long")
+    _, at = most_join_rows(spark, 1 << 60)
+    got = components.connected_components(df).groupBy("component").count().collect()
+    most, _ = most_join_rows(spark, at)
+    assert [tuple(r) for r in got] == [(0, 2 * n + 41)]
+    assert 0 < most <= 1.1 * len(links)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (500, 500), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(links).collect()}
