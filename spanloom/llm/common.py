@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +100,30 @@ def utf8(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for `mapInArrow` in a worker that gives memory back: workers go on from stage to stage.
+
+    Before it, the tokenizer that an earlier stage has left in the worker goes, with its
+    memos; after it, memory that is free goes back to the system.
+    """
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        if (left := sys.modules.get(f"{__package__}.byte_bpe")) is not None and left._loaded:
+            left._loaded.clear()
+            give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 #: Bits of the filter of `member` for each key, and the fewest and most bits of a filter.
 KEY_BITS, LEAST_BITS, MOST_BITS = 10, 1 << 20, 1 << 29
 

@@ -81,6 +81,7 @@ def term_ids(hashes: np.ndarray) -> np.ndarray:
 def _reduced(docs: DataFrame, per_task) -> dict[int, np.ndarray]:
     """Sum, over all tasks, the float32 rows {key: vector} that ``per_task(batches of texts)`` returns."""
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() // TREE
         rows = per_task(batch.column(0).to_pylist() for batch in batches)
@@ -289,6 +290,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, le
     """
     find = matcher(docs, benchmark, cosine, least, answer)
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = find(batch.column(1).to_pylist())

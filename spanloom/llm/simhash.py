@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """Return (doc_id, fp), fp the fingerprint as a signed long."""
     common.arrow_rows(docs.sparkSession)
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
@@ -202,6 +203,7 @@ def near_links(nodes: DataFrame, bound: int) -> DataFrame:
     parts = np.uint64(max(1, -(-most // GROUP)))
     cuts = blocks(bound)
 
+    @common.tidied
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(1).to_numpy().view(np.uint64)
@@ -218,6 +220,8 @@ def near_links(nodes: DataFrame, bound: int) -> DataFrame:
         for q, f in index.pairs(index.fps, bound):
             forest.add(q, f)
         held = node[index.order]
+        if len(fp) > GROUP // 8:
+            common.give_back()
         a, b = np.array(forest.kept, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": held[a], "b": held[b]})
 
@@ -295,6 +299,7 @@ def word_set_fingerprints(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> Da
     names = [f"f{i}" for i in range(len(seeds))]
     salts = [np.uint64(xxhash.xxh64_intdigest(b"", s)) for s in seeds]
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = flat.Words([t.translate(flat.LOWER) for t in batch.column(2).to_pylist()])
@@ -333,6 +338,7 @@ def _set(data: bytes) -> np.ndarray:
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``texts`` with the sorted hashes of its distinct shingles, ``shingles``, and their number, ``size``, for its text."""
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -368,6 +374,7 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
     names = ["component", "text_key", "group", "size"]
     kinds = "component long, text_key binary, group binary, size int"
 
+    @common.tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, slices, parts = [], [], []
@@ -399,6 +406,7 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
         alone = np.bincount(owner[held == 1], minlength=len(sets)).astype(np.int32)
         return pa.table([*(found[n] for n in names), pa.array(alone), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], [*names, "alone", "h", "held"])
 
+    @common.tidied
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hashes, at = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]

@@ -112,6 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, sha256, anchors, content) of every row."""
     common.arrow_rows(docs.sparkSession)
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -137,6 +138,7 @@ def windows(texts: DataFrame, every: bool) -> DataFrame:
     row per place, else a row per different window of a document.
     """
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
@@ -348,6 +350,7 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs``."""
     signed, decided = deduplicate(docs, batches)
 
+    @common.tidied
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             removed, kept = [], []

@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(max_rows)  # a bounded table
     common.arrow_rows(docs.sparkSession)
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(features(t)) for t in batch.column(-1 + batch.num_columns).to_pylist()]
@@ -174,6 +175,7 @@ def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFr
     scorer = Scorer(chain)
     names = ["doc_id", *[f"p_{c}" for c in categories]]
 
+    @common.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [scorer(text) for text in batch.column(1).to_pylist()]
