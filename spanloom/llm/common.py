@@ -71,6 +71,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     for made in _open:
         made.append(path)
     df.write.parquet(path)
+    give_back()
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out

@@ -509,7 +509,8 @@ def keep_one(docs: DataFrame, bound: int = 3, seeds: tuple[int, ...] = SEEDS, wo
     rare = common.materialize(rare.join(main, at).select(*rare.columns, (F.col("group") != F.col("main")).alias("beside")), "rare")
     of = rare.select(*at, F.col("p").alias("p_b"), F.col("size").alias("size_b"), F.col("text_key").alias("b"), F.col("group").alias("group_b"))
     last = verified(rare.where("beside").join(of, at).where((F.col("group") != F.col("group_b")) & reach).select(F.col("text_key").alias("a"), "b"))
-    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
+    if last.limit(1).count():
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
 
     # the first text of each group stays
     grouped = texts.join(groups.select(F.col("node").alias("text_key"), F.col("component").alias("in_group")), "text_key")
